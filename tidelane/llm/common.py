@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,26 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the tables that cut() wrote for df, which no later stage reads."""
+    spark = df.sparkSession
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"{shared_dir(spark).split(':')[-1].lstrip('/')}/tidelane/" in f:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(id_col, m: int):
     """crc32 of the id as text, modulo m; a null id counts as the empty string."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % m

@@ -14,7 +14,13 @@ def _path(name: str = "byte_bpe_50k.json") -> str:
 def op1_ngram_jaccard_join(spark, sf_dir):
     from .shingle_join import join
 
-    return join(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return join(table(spark, sf_dir, "documents"), width=4, percent=85).drop("set_id")
+
+
+def op2_quality_rules(spark, sf_dir):
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark, sf_dir):
@@ -35,12 +41,24 @@ def op5_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _path(), 2048, 1)
 
 
+def op6_decontamination(spark, sf_dir):
+    from .decontamination import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
 def op7_pii(spark, sf_dir):
     from .pii import find
 
     return find(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), 400)
+
+
 def op9_warc(spark, sf_dir):
     from .warc import round_trip
 
@@ -57,5 +75,42 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _shingles(table: str, key: str, width: int) -> str:
+    """SQL of a table's distinct shingles (key, g): A-Z lowered, words between ASCII blanks."""
+    words = rf"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    runs = f"list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i:i + {width - 1}], ' '))"
+    return f"SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')] ELSE {runs} END) AS g FROM (SELECT {key}, {words} AS ws FROM {table})"
+
+
+OP1 = f"""
+WITH RECURSIVE s AS MATERIALIZED ({_shingles("documents", "doc_id", 4)}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.reach) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+"""
+
+OP6 = f"""
+WITH d AS MATERIALIZED ({_shingles("documents", "doc_id", 5)}),
+i AS MATERIALIZED ({_shingles("benchmark", "item_id", 5)}),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item, c AS n_common FROM c JOIN n USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(0, 5), lambda j: (strpos('0123456789abcdef', substr(h, (1 + 5 * k + j)::INT, 1)) - 1) * (16 ** (4 - j))::BIGINT))::BIGINT >> b) & 31)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": OP1, "op6_decontamination": OP6, "op9_warc": OP9}
