@@ -28,7 +28,7 @@ def equity_summary(equity: DataFrame, initial: float, bar_seconds: int) -> DataF
     """Per run: total_return, sharpe, sortino, max_drawdown, annual_return, calmar. Deviations are population ones."""
     w = Window.partitionBy("run").orderBy("bar_idx")
     e = drawdowns(equity).withColumn("r", F.col("equity") / F.lag("equity").over(w) - 1)
-    down = F.when(F.col("r") < 0, F.col("r"))
+    down = F.when(F.col("r") < -1e-12, F.col("r"))  # steps of nothing are no losses
     scale = (YEAR_S / bar_seconds) ** 0.5
     s = e.groupBy("run").agg(
         F.max_by("equity", "bar_idx").alias("last"),

@@ -17,8 +17,8 @@ def first_crossing(events: DataFrame, bars: DataFrame) -> DataFrame:
     direction 1: a low at or below the level, -1: a high at or above it. Blocks of bars are compared by their extremes
     first, so an event meets the bars of two blocks and not all later ones.
     """
-    b = bars.select("series", "bar_idx", "h", "l", F.floor(F.col("bar_idx") / BLOCK).alias("block"))
-    low = b.groupBy("series", "block").agg(F.min("l").alias("low"), F.max("h").alias("high"))
+    b = bars.select("series", F.col("bar_idx").alias("at"), F.col("h").alias("at_h"), F.col("l").alias("at_l"), F.floor(F.col("bar_idx") / BLOCK).alias("block"))
+    low = b.groupBy("series", "block").agg(F.min("at_l").alias("low"), F.max("at_h").alias("high"))
     e = events.withColumn("own", F.floor(F.col("from_idx") / BLOCK))
 
     def crossed(lowest, highest):
@@ -28,8 +28,8 @@ def first_crossing(events: DataFrame, bars: DataFrame) -> DataFrame:
     block = later.groupBy("series", "event").agg(F.min("block").alias("later"))
     e = e.join(block, ["series", "event"], "left")
     looked = e.withColumn("block", F.explode(F.array_compact(F.array("own", "later"))))
-    hit = looked.join(b, ["series", "block"]).filter((F.col("bar_idx") >= F.col("from_idx")) & crossed("l", "h"))
-    first = hit.groupBy("series", "event").agg(F.min("bar_idx").alias("crossed_idx"))
+    hit = looked.join(b, ["series", "block"]).filter((F.col("at") >= F.col("from_idx")) & crossed("at_l", "at_h"))
+    first = hit.groupBy("series", "event").agg(F.min("at").alias("crossed_idx"))
     return e.drop("own", "later").join(first, ["series", "event"], "left")
 
 

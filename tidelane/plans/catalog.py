@@ -1,6 +1,12 @@
-def queries():
-    return {}
+"""All queries of the engine and their SQL."""
 
+from . import queries_bars, queries_indicators, queries_metrics, queries_validation  # noqa: F401
+from .registry import QUERIES, SQL
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
