@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelane.functions import kernels
 
@@ -33,9 +34,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ou
                 rows.append(got if isinstance(got, tuple) else (got,))
             yield x.assign(**{name: [r[k] for r in rows] for k, name in enumerate(outputs)})
 
-    schema = df.schema
-    for name in outputs:
-        schema = schema.add(name, "double")
+    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in outputs)])
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 

@@ -73,8 +73,10 @@ def params_json(trials: DataFrame, top: int = 10) -> DataFrame:
     from pyspark.sql import Window
 
     t = trials.withColumn("rank", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score")))).filter(F.col("rank") <= top)
-    each = F.struct("rank", "params", "metrics")
-    g = t.groupBy("strategy").agg(F.min_by("params", "rank").alias("best_params"), F.min_by("metrics", "rank").alias("metrics"), F.sort_array(F.collect_list(each)).alias("top_trials"))  # top trials a strategy
+    # maps have no order, their entries have
+    each = F.struct("rank", F.map_entries("params").alias("p"), F.map_entries("metrics").alias("m"))
+    back = lambda x: F.struct(x["rank"].alias("rank"), F.map_from_entries(x["p"]).alias("params"), F.map_from_entries(x["m"]).alias("metrics"))
+    g = t.groupBy("strategy").agg(F.min_by("params", "rank").alias("best_params"), F.min_by("metrics", "rank").alias("metrics"), F.transform(F.sort_array(F.collect_list(each)), back).alias("top_trials"))  # `top` rows a strategy
     return g.select("strategy", F.to_json(F.struct("strategy", "best_params", "metrics", "top_trials")).alias("value"))
 
 
