@@ -202,7 +202,7 @@ def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> Da
                 good = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == want[a + i]]
                 yield pa.RecordBatch.from_arrays([pa.array([want[a + i] for i in good], pa.int64()), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["set_id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "set_id"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "set_id").hint("merge"), "rep")
     sets = texts.select("set_id", "text").mapInArrow(load, "set_id long, shingles binary").dropDuplicates(["set_id"])
     dealt = sets.join(_tiles(members.select("set_id", "n_shingles", "cluster")), "set_id")
 
