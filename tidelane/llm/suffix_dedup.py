@@ -35,11 +35,13 @@ RANGE_NAMES = 800_000  # in a task that sorts names
 
 @cache
 def cover(length: int) -> tuple[int, tuple[int, ...]]:
-    """(v, D): a perfect difference set modulo v = q * q + q + 1, with v at most 4/5 of length.
+    """(v, D): a perfect difference set modulo v = q * q + q + 1, with v at most half of length.
+
+    A larger v samples less but makes the tuples, of length - v + 1 bytes, shorter and so more often equal by chance.
 
     The points of a projective plane over the prime q, as powers of a root of a cubic; those in one line are D.
     """
-    primes = [q for q in range(2, 200) if all(q % k for k in range(2, q)) and 5 * (q * q + q + 1) <= 4 * length]
+    primes = [q for q in range(2, 200) if all(q % k for k in range(2, q)) and 2 * (q * q + q + 1) <= length]
     for q in reversed(primes):
         v = q * q + q + 1
         for a in range(q):
