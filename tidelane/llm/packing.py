@@ -7,17 +7,19 @@ and sequences are complete but for one of each class; the pieces of those few, f
 together.
 """
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, cut
-from .token_count import BLOCK_CHARS, pretokens, split_special
+from .token_count import BLOCK_CHARS, _loaded, pretokens, split_special
 
 #: Classes: the documents a sequence takes. Above 32 pieces are so small that coarser steps waste little.
 CLASSES = (*range(1, 33), 40, 48, 64, 96, 128, 256, 512, 1024, 2048)
@@ -28,36 +30,47 @@ MEMO = 1_000_000
 
 @cache
 def _tokenizer(path: str):
+    """The library's tokenizer, its special strings, a quick encoder of pretokens or None, and the pretokens met before.
+
+    Where the merges stand in the order of their ids, a pretoken's ids are those of rank-ordered merging with the same
+    vocabulary, which is quicker; other files go through the library whole.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, tuple(x.content for x in t.get_added_tokens_decoder().values()), {}
+    specials = tuple(x.content for x in t.get_added_tokens_decoder().values())
+    try:
+        merger, _ = _loaded.__wrapped__(path)  # not kept
+    except ValueError:
+        return t, specials, None, {}
+    in_order = all(merger.ids[a + b] == 256 + k for (a, b), k in merger.rank.items())
+    quick = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=merger.ids, special_tokens={}) if in_order else None
+    if quick and len(specials) == 1:
+        ids = {s: t.token_to_id(s) for s in specials}
+        return ids, specials, quick, {}
+    return t, specials, None, {}
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit, as the library gives them.
-
-    Byte-level BPE treats pretokens apart, so each pretoken goes through the library when first met.
-    """
-    import numpy as np
-
-    t, specials, memo = _tokenizer(path)
-    special = {s: np.array([t.token_to_id(s)], "<u4").tobytes() for s in specials}
-    if len(special) > 1:
+    """Each text's ids as little-endian unsigned 32-bit, as the library gives them."""
+    t, specials, quick, memo = _tokenizer(path)
+    if quick is None:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    joint = b"".join(np.array([t[s]], "<u4").tobytes() for s in specials)
     out = []
     for a, b in blocks([len(x) for x in texts], BLOCK_CHARS):
         split = [split_special(x, specials)[0] for x in texts[a:b]]
         words = pretokens([p for parts in split for p in parts])
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [w for w in set().union(*map(set, words)) if w not in memo] if words else []
-        for w, e in zip(new, t.encode_batch(new, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        if len(memo) > MEMO:  # short pretokens are the frequent ones
+            for w in [w for w in memo if len(w) > 6]:
+                del memo[w]
+        for w in set().union(*map(set, words)).difference(memo) if words else ():
+            ids = quick.encode_ordinary(w)
+            memo[w] = struct.pack(f"<{len(ids)}I", *ids)
         words = iter(words)
-        joint = next(iter(special.values()), b"")
         out += [joint.join([b"".join(map(memo.__getitem__, next(words))) for _ in parts]) for parts in split]
     return out
 

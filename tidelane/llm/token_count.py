@@ -90,6 +90,27 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return step, mark
 
 
+def chunk_maps(kinds: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """[chunks, states]: where each start state ends after a chunk; kinds: [characters, chunks].
+
+    Most maps become constant after a few characters; such chunks go on with one state.
+    """
+    n = kinds.shape[1]
+    out = np.zeros((n, 12), np.uint8)
+    full, maps = np.arange(n), np.tile(np.arange(12, dtype=np.uint8), (n, 1))
+    for start, end in zip((0, 12, 24, 48, 96), (12, 24, 48, 96, len(kinds))):
+        for k in range(start, end):
+            maps = step[kinds[k, full][:, None] + maps]
+        constant = (maps == maps[:, :1]).all(1)
+        one, state = full[constant], maps[constant, 0]
+        for k in range(end, len(kinds)):
+            state = step[kinds[k, one] + state]
+        out[one] = state[:, None]
+        full, maps = full[~constant], maps[~constant]
+    out[full] = maps
+    return out
+
+
 def scan_states(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The start state of every chunk: an exclusive parallel prefix scan over the chunks' state maps.
 
@@ -124,14 +145,10 @@ def pretoken_starts(texts: list[str]) -> list[np.ndarray]:
     first[(np.cumsum(n_chunks) - n_chunks)[n_chunks > 0]] = True
     wide = np.ascontiguousarray(lanes.T).astype(np.intp) * 16
     starts = np.zeros(len(lanes), np.uint8)
-    later = np.flatnonzero(~first)  # maps matter for chunks that another one follows
-    if len(later):
-        need = later - 1
+    need = np.flatnonzero(~first) - 1  # maps matter for chunks that another one follows
+    if len(need):
         maps = np.tile(np.arange(12, dtype=np.uint8), (len(lanes), 1))
-        part = maps[need]
-        for k in range(CHUNK):
-            part = step[wide[k, need][:, None] + part]
-        maps[need] = part
+        maps[need] = chunk_maps(wide[:, need], step)
         starts = scan_states(maps, first)
     marks, state = np.zeros((CHUNK, len(lanes)), np.uint8), starts.astype(np.intp)
     for k in range(CHUNK):
@@ -267,8 +284,9 @@ def count_texts(texts: list[str], path: str, memo: dict[str, int]) -> list[int]:
                 try:
                     n += sum(map(memo.__getitem__, words))
                 except KeyError:
-                    if len(memo) > MEMO:
-                        memo.clear()
+                    if len(memo) > MEMO:  # short pretokens are the frequent ones
+                        for w in [w for w in memo if len(w) > 6]:
+                            del memo[w]
                     for w in set(words).difference(memo):
                         memo[w] = merger.count(w)
                     n += sum(map(memo.__getitem__, words))
