@@ -176,12 +176,12 @@ def weighted(spark):
 @query(
     "portfolio_weights",
     f"""WITH bars, {RET}, {PAIR}, eq AS (SELECT *, exp(sum(ln(1 + p)) OVER (ORDER BY ts_ms)) AS e FROM pp), f AS (SELECT *, 1 - e / greatest(1, max(e) OVER (ORDER BY ts_ms)) AS fall FROM eq)
-    SELECT 'a' AS combo, round(arg_max(e, ts_ms) - 1, 4) AS total, round(avg(p) * sqrt(365) / stddev_pop(p), 6) AS sharpe, round(max(fall), 6) AS max_drawdown FROM f""",
+    SELECT 'a' AS combo, round(log10(arg_max(e, ts_ms)), 6) AS total, round(avg(p) * sqrt(365) / stddev_pop(p), 6) AS sharpe, round(max(fall), 6) AS max_drawdown FROM f""",
 )
 def _(spark, d):
     r = returns(spark, d).filter("r is not null").withColumn("r", F.col("r") / 100)
     m = portfolio.metrics(r, weighted(spark))
-    return rounded(m.select("combo", F.round("total", 4).alias("total"), "sharpe", "max_drawdown"))
+    return rounded(m.select("combo", F.log10(F.col("total") + 1).alias("total"), "sharpe", "max_drawdown"))
 
 
 @query("diversification_ratio", f"WITH bars, {RET}, {PAIR}, sd AS (SELECT name, stddev_pop(r) AS s FROM sr GROUP BY name) SELECT 'a' AS combo, round((SELECT sum(s * weight) FROM sd JOIN wt USING (name)) / stddev_pop(p), 6) AS diversification FROM pp")
