@@ -8,6 +8,8 @@ different contexts of the entity, so copies of one text prove nothing.
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,19 +102,32 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode(near("text")).alias("x")).select("doc_id", "x.*")
 
 
-def terms_of(text: Column, only: frozenset[str] | None = None) -> Column:
-    """The different terms of each text, or those of them in `only`."""
-    held = SparkSession.active().sparkContext.broadcast(only)
+def terms_of(text: Column) -> Column:
+    """The different terms of each text."""
 
     @F.pandas_udf("array<string>")
     def found(s: pd.Series) -> pd.Series:
-        wanted = held.value
-        every = (set(_TERM.findall(t.lower())) for t in s.fillna(""))
-        return pd.Series([list(x if wanted is None else x & wanted) for x in every])
+        return pd.Series([list(set(_TERM.findall(t.lower()))) for t in s.fillna("")])
 
     return found(text)
 
 
+def frequencies(docs: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """term, docs: in how many texts each term stands, or each of `only`; a batch of texts is summed before the shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = held.value
+        for x in batches:
+            n: Counter[str] = Counter()
+            for t in x["text"].fillna(""):
+                words = set(_TERM.findall(t.lower()))
+                n.update(words if wanted is None else words & wanted)
+            yield pd.DataFrame({"term": list(n), "docs": list(n.values())}).astype({"term": object, "docs": "int64"})
+
+    return docs.select("text").mapInPandas(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
 def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """term, removed: the terms that disclose an entity of the corpus.
 
@@ -127,11 +142,7 @@ def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
     few = [r[0] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
     if not few:
         return pairs.select("term", F.lit(True).alias("removed"))
-    if len(few) <= BROADCAST_TERMS:
-        hits = docs.select(F.explode(terms_of(F.col("text"), frozenset(few))).alias("term"))
-    else:
-        hits = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    seen = hits.groupBy("term").agg(F.count("*").alias("docs"))
+    seen = frequencies(docs, frozenset(few) if len(few) <= BROADCAST_TERMS else None)
     n = docs.count()
     given = F.log(F.least(F.col("both") / F.col("docs"), F.lit(1.0)))
     share = 1 - given / F.log(F.col("alone") / F.lit(float(n)))
