@@ -103,9 +103,16 @@ def monthly_trades(trades: DataFrame, initial: float = 1000.0) -> DataFrame:
 
 
 def monthly_equity(equity: DataFrame) -> DataFrame:
-    """Per run and month: end equity and pnl_pct against the end of the month before (the first equity at first)."""
+    """Per run and month: end equity and pnl_pct against the end of the month before (the first equity at first).
+
+    Months without a point between the first and the last one keep the equity and return nothing.
+    """
     m = equity.withColumn("month", _month("ts_ms")).groupBy("run", "month").agg(F.max_by("equity", "ts_ms").alias("end"), F.min_by("equity", "ts_ms").alias("begin"))
+    day = lambda agg: F.to_date(F.concat(agg("month"), F.lit("-01")))
+    grid = m.groupBy("run").agg(F.sequence(day(F.min), day(F.max), F.expr("interval 1 month")).alias("all"))
+    grid = grid.select("run", F.explode("all").alias("day")).select("run", F.date_format("day", "yyyy-MM").alias("month"))
     w = Window.partitionBy("run").orderBy("month")
+    m = grid.join(m, ["run", "month"], "left").withColumn("end", F.last("end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.coalesce(F.lag("end").over(w), F.col("begin"))
     return m.select("run", "month", "end", ((F.col("end") / start - 1) * 100).alias("pnl_pct"))
 

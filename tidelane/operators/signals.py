@@ -82,7 +82,7 @@ def with_exits(s: DataFrame, p: dict) -> DataFrame:
     s = s.withColumn("stop", stop).withColumn("_r", F.abs(e - F.col("stop")))
     return s.withColumns(
         {
-            "targets": F.array(*(e + d * F.col("_r") * r for r in p["reward"])),
+            "targets": F.col("targets") if "targets" in s.columns else F.array(*(e + d * F.col("_r") * r for r in p["reward"])),
             "portions": F.array(*(F.lit(float(x)) for x in p["portions"])),
             "be_trigger": e + d * e * min(pcts) / 100 if pcts else F.lit(0.0),
             "trail_distance": e * p["trail_pullback_pct"] / 100 if p["trailing"] else F.lit(0.0),
@@ -91,6 +91,29 @@ def with_exits(s: DataFrame, p: dict) -> DataFrame:
     ).drop("_r")
 
 
+#: Rungs of the ladder: the level that may set it, and its distance in risks from the one before.
+RUNGS = (("near", 0.8), ("near", 1.5), ("mid", 2.0), ("far", 2.5), (None, 4.0))
+
+
+def ladder(s: DataFrame) -> DataFrame:
+    """Adds targets of five rungs from entry, stop, direction, atr and levels near, mid, far (missing columns: none).
+
+    Risk is the stop's distance, half an ATR at least. A level sets its rung when it lies more than 0.3 risks beyond the
+    rung before.
+    """
+    d = F.col("direction")
+    risk = F.greatest(F.abs(F.col("entry") - F.col("stop")), F.col("atr") * 0.5)
+    s, at, rungs = s.withColumn("_risk", risk), "entry", []
+    for k, (level, step) in enumerate(RUNGS):
+        plain = F.col(at) + d * F.col("_risk") * step
+        if level in s.columns:
+            plain = F.when(d * (F.col(level) - F.col(at)) > 0.3 * F.col("_risk"), F.col(level)).otherwise(plain)
+        at = f"_t{k}"
+        s = s.withColumn(at, plain)
+        rungs.append(at)
+    return s.withColumn("targets", F.array(*rungs)).drop("_risk", *rungs)
+
+
 def cycle_table(bars: DataFrame, p: dict) -> DataFrame:
     """Bars with the cycle's indicators and the parts of its score on either side."""
     w = in_order()
@@ -177,29 +200,30 @@ def _(bars, p):
     return b.select("series", "bar_idx", "ts_ms", "direction", confidence("itrend", parts).alias("confidence"), F.col("c").alias("entry"), "atr")
 
 
-@strategy("gaussian_bands", min_bars=0, confidence_min=0.0, range_bars=10, reward=(1.0, 2.0, 3.0, 4.0, 5.0), portions=(0.2,) * 5, buffer=0.25)
+@strategy("gaussian_bands", min_bars=0, confidence_min=0.0, range_bars=10, pivot_bars=5, portions=(0.30, 0.25, 0.20, 0.15, 0.10), buffer=0.25)
 def _(bars, p):
-    """Closes that cross the trend line of the Gaussian bundle; the stop lies beyond the range before."""
+    """Closes that cross the trend line of the Gaussian bundle; the stop lies beyond the range before, the targets are a
+    ladder that the nearest liquidity may set."""
     from .windows import previous_range
 
     b = folds.rma(multi_trend(bars).withColumn("tr", true_range()), "tr", p["atr_period"], "atr").select("*", *previous_range(p["range_bars"]))
     b = crossunder(crossover(b, "c", "line", "up"), "c", "line", "down").filter((F.col("bar_idx") >= 25) & (F.col("up") | F.col("down")))
     b = b.withColumn("direction", F.when(F.col("up"), 1).otherwise(-1))
     stop = F.when(F.col("up"), F.col("range_low") - F.col("atr") * p["buffer"]).otherwise(F.col("range_high") + F.col("atr") * p["buffer"])
-    return b.select("series", "bar_idx", "ts_ms", "direction", F.lit(100.0).alias("confidence"), F.col("c").alias("entry"), "atr", stop.alias("stop"))
+    b = b.withColumn("stop", stop).withColumn("stop", F.when(F.col("direction") * (F.col("c") - F.col("stop")) > 0, F.col("stop")).otherwise(F.col("c") - F.col("direction") * F.col("atr") * 1.5))
+    b = b.join(structure.liquidity(bars, p["pivot_bars"]), ["series", "bar_idx"], "left").withColumn("near", F.when(F.col("up"), F.col("bsl")).otherwise(F.col("ssl"))).withColumn("entry", F.col("c"))
+    return ladder(b).select("series", "bar_idx", "ts_ms", "direction", F.lit(100.0).alias("confidence"), "entry", "atr", "stop", "targets")
 
 
-@strategy("smart_money", confidence_min=50.0, swing=5, reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3), gap_lookback=10)
+@strategy("smart_money", confidence_min=50.0, swing=5, osc_low=40.0, osc_high=60.0, reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3), gap_lookback=10)
 def _(bars, p):
     """Breaks of structure, scored with the oscillator's side and an open gap."""
     b = folds.rma(bars.withColumn("tr", true_range()), "tr", p["atr_period"], "atr")
-    w = in_order().rowsBetween(-4 * p["swing"] + 1, 0)
-    low, high = F.min("l").over(w), F.max("h").over(w)
-    b = b.withColumn("place", F.when(high > low, (F.col("c") - low) / (high - low)).otherwise(0.5))
+    b = b.join(structure.oscillator(bars, p["swing"]), ["series", "bar_idx"])
     s = structure.breaks(bars, p["swing"]).select("series", "bar_idx", "direction", "kind")
     b = b.join(s, ["series", "bar_idx"]).join(structure.gap_zones(bars, p["gap_lookback"]), ["series", "bar_idx"]).filter("bar_idx >= 30")
     level = F.when(F.col("kind") == "CHoCH", 60.0).otherwise(50.0)
-    level = level + F.when(F.col("direction") * (F.col("place") - 0.5) < 0, 20.0).otherwise(0.0) + F.when(F.when(F.col("direction") == 1, F.col("in_bull")).otherwise(F.col("in_bear")), 20.0).otherwise(0.0)
+    level = level + F.when(F.when(F.col("direction") == 1, F.col("osc") <= p["osc_low"]).otherwise(F.col("osc") >= p["osc_high"]), 20.0).otherwise(0.0) + F.when(F.when(F.col("direction") == 1, F.col("in_bull")).otherwise(F.col("in_bear")), 20.0).otherwise(0.0)
     return b.select("series", "bar_idx", "ts_ms", "direction", level.alias("confidence"), F.col("c").alias("entry"), "atr")
 
 
@@ -210,10 +234,17 @@ def vote(signals: DataFrame, least: float = 0.5) -> DataFrame:
         F.sum(F.when(F.col("direction") == 1, F.col("weight") * F.col("confidence")).otherwise(0.0)).alias("long"),
         F.sum(F.when(F.col("direction") == -1, F.col("weight") * F.col("confidence")).otherwise(0.0)).alias("short"),
         F.count("*").alias("members"),
+        F.sort_array(F.collect_set(F.when(F.col("direction") == 1, F.col("member")))).alias("for_long"),  # members are few
+        F.sort_array(F.collect_set(F.when(F.col("direction") == -1, F.col("member")))).alias("for_short"),
     )
     best = F.greatest("long", "short")
     s = s.filter((F.col("long") != F.col("short")) & (best >= least * (F.col("long") + F.col("short"))))
-    return s.select("series", "bar_idx", F.when(F.col("long") > F.col("short"), 1).otherwise(-1).alias("direction"), (best / (F.col("long") + F.col("short")) * 100).alias("confidence"), "members")
+    return s.select("series", "bar_idx", F.when(F.col("long") > F.col("short"), 1).otherwise(-1).alias("direction"), (best / (F.col("long") + F.col("short")) * 100).alias("confidence"), "members", F.when(F.col("long") > F.col("short"), F.col("for_long")).otherwise(F.col("for_short")).alias("contributors"))
+
+
+def contributions(signals: DataFrame) -> DataFrame:
+    """How often each member stands behind an ensemble's signals (contributors: array)."""
+    return signals.select("series", F.explode("contributors").alias("member")).groupBy("series", "member").agg(F.count("*").alias("n"))
 
 
 def by_regime(signals: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:

@@ -115,10 +115,10 @@ class Account:
         self.cash -= fee + risk
         self.open = Position(self.n, int(x["direction"]), x["entry"], size, x["leverage"], x["stop"], list(x["targets"]), list(x["portions"]), x["be_trigger"] or 0.0, x["trail_distance"] or 0.0, bar, ms, x["confidence"], fee)
 
-    def bar(self, k: int, ms: int, high: float, low: float, close: float, signal: dict | None) -> float:
-        """Takes one bar; returns the equity after it."""
+    def bar(self, k: int, ms: int, high: float, low: float, close: float, signal: dict | None, exits: bool = True) -> float:
+        """Takes one bar; returns the equity after it. exits: False where finer bars have been checked already."""
         s = self.s
-        if self.open:
+        if self.open and exits:
             self.exits(high, low, k, ms)
         if self.open and k > 0 and k % s.funding_bars == 0:
             paid = self.open.side * self.open.size * self.open.left * s.funding_rate
@@ -137,18 +137,23 @@ class Account:
         return self.cash + (p.size * p.left * (p.gain(close) + 1 / p.leverage) if p else 0.0)
 
 
-def simulate(bars: DataFrame, signals: DataFrame, settings: Settings | None = None, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+def simulate(bars: DataFrame, signals: DataFrame, settings: Settings | None = None, keys: tuple[str, ...] = ("series",), detail: DataFrame | None = None) -> DataFrame:
     """Tagged rows of all runs: kind 'trade' or 'equity', the key columns, and both kinds' columns.
 
+    detail: finer bars with the bar_idx they lie in; a bar that has them checks its exits on them in order of time.
+
     bars need bar_idx, ts_ms, h, l, c; signals the columns of SIGNAL. Each key is sorted by bar in its partition and passed
     once, with only its account in memory.
     """
     s = settings or Settings()
     marked = bars.select(*keys, "bar_idx", "ts_ms", "h", "l", "c").join(signals.select(*keys, "bar_idx", *SIGNAL), [*keys, "bar_idx"], "left")
+    marked = marked.withColumn("fine", F.lit(0))
+    if detail is not None:
+        marked = marked.unionByName(detail.select(*keys, "bar_idx", "ts_ms", "h", "l", "c", F.lit(1).alias("fine")), allowMissingColumns=True)
     columns = [f.strip().split() for f in f"{TRADE}, {EQUITY}".split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = account = last = None
+        key = account = last = seen = None
 
         def rows(done):
             got = [dict(zip([c for c, _ in columns[:15]], t)) for t in account.trades]
@@ -163,9 +168,15 @@ def simulate(bars: DataFrame, signals: DataFrame, settings: Settings | None = No
                     if account and account.open:
                         account.close(last[2], last[0], last[1], "end_of_data")
                         out += rows(key)
-                    key, account = now, Account(s)
+                    key, account, seen = now, Account(s), None
+                if r["fine"]:
+                    seen = r["bar_idx"]
+                    if account.open:
+                        account.exits(r["h"], r["l"], r["bar_idx"], r["ts_ms"])
+                        out += rows(key)
+                    continue
                 signal = r if r["direction"] == r["direction"] and r["direction"] is not None else None
-                equity = account.bar(r["bar_idx"], r["ts_ms"], r["h"], r["l"], r["c"], signal)
+                equity = account.bar(r["bar_idx"], r["ts_ms"], r["h"], r["l"], r["c"], signal, seen != r["bar_idx"])
                 last = (r["bar_idx"], r["ts_ms"], r["c"])
                 out += rows(key)
                 out.append({"kind": "equity", **dict(zip(keys, key)), "bar_idx": r["bar_idx"], "ts_ms": r["ts_ms"], "equity": equity})
@@ -180,7 +191,7 @@ def simulate(bars: DataFrame, signals: DataFrame, settings: Settings | None = No
 
     types = dict(bars.dtypes)
     schema = "kind string, " + ", ".join(f"{k} {types[k]}" for k in keys) + f", {TRADE}, {EQUITY}"
-    return marked.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInPandas(run, schema)
+    return marked.repartition(*keys).sortWithinPartitions(*keys, "bar_idx", F.desc("fine"), "ts_ms").mapInPandas(run, schema)
 
 
 def trades(tagged: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:

@@ -134,6 +134,36 @@ def block_proximity(bars: DataFrame, length: int = 10, reach: float = 0.02) -> D
     return bars.select("series", "bar_idx").join(best, ["series", "bar_idx"], "left")
 
 
+def oscillator(bars: DataFrame, n: int = 5, length: int = 10, reach: float = 0.02, point_in_time: bool = False) -> DataFrame:
+    """series, bar_idx, osc in 0..100: 0.6 of the close's place in the range of 4 n bars, with 0.2 for the structure's trend,
+    and 0.4 of the nearness of unmitigated blocks: bullish ones below less bearish ones above, none beyond `reach`.
+
+    Blocks that are mitigated at any time do not count; with point_in_time they count until they are, from when they are
+    made. Bars and blocks meet by bands of price.
+    """
+    w = in_order().rowsBetween(-4 * n, 0)
+    b = trend(bars, breaks(bars, n)).withColumn("_hi", F.max("h").over(w)).withColumn("_lo", F.min("l").over(w))
+    place = F.when((F.col("bar_idx") >= 4 * n) & (F.col("_hi") > F.col("_lo")), ((F.col("c") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - 0.5) * 2).otherwise(0.0)
+    bonus = F.when(F.col("bar_idx") >= 4 * n, F.col("trend") * 0.2).otherwise(0.0)
+    b = b.withColumn("_place", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), place + bonus)))
+    step = F.log(F.lit(1 + 2 * reach))
+    e = mitigated_blocks(bars, length).withColumn("edge", F.when(F.col("direction") == 1, F.col("top")).otherwise(F.col("bottom")))
+    e = e.withColumnRenamed("bar_idx", "from_idx")
+    if not point_in_time:
+        e = e.filter("crossed_idx is null")
+    at = F.floor(F.log("edge") / step)
+    e = e.withColumn("band", F.explode(F.array(at - 1, at, at + 1))).select("series", "band", "direction", "edge", "from_idx", "made_idx", "crossed_idx")
+    met = b.withColumn("band", F.floor(F.log("c") / step)).join(e, ["series", "band"])
+    live = (F.col("made_idx") <= F.col("bar_idx")) & (F.col("crossed_idx").isNull() | (F.col("crossed_idx") > F.col("bar_idx"))) if point_in_time else F.col("from_idx") <= F.col("bar_idx")
+    far = F.col("direction") * (F.col("c") - F.col("edge")) / F.col("c")
+    met = met.filter(live).withColumn("far", far).filter((F.col("far") > 0) & (F.col("far") < reach))
+    score = 1 - F.col("far") / reach
+    near = met.groupBy("series", "bar_idx").agg(F.max(F.when(F.col("direction") == 1, score)).alias("bull"), F.max(F.when(F.col("direction") == -1, score)).alias("bear"))
+    o = b.select("series", "bar_idx", "_place").join(near, ["series", "bar_idx"], "left").fillna(0.0, ["bull", "bear"])
+    osc = (0.6 * F.col("_place") + 0.4 * (F.col("bull") - F.col("bear")) + 1) * 50
+    return o.select("series", "bar_idx", F.greatest(F.lit(0.0), F.least(F.lit(100.0), osc)).alias("osc"))
+
+
 def liquidity(bars: DataFrame, n: int = 5) -> DataFrame:
     """Nearest unswept pivot above the high (bsl) and below the low (ssl) of each bar, without a cap on the pivots kept.
 

@@ -166,6 +166,26 @@ def robustness(r: DataFrame) -> DataFrame:
     return r.withColumn("score", score).withColumn("all_passed", passed)
 
 
+def layers(bars: DataFrame, trades: DataFrame, equity: DataFrame, n_trials: int, sims: int = 200, n_windows: int = 5) -> DataFrame:
+    """Per series with five trades: wfe, degradation, dsr, p_value, score, all_passed of one set of parameters.
+
+    Windows score in- and out-of-sample bars by the Sharpe ratio of equity steps; degradation is the mean relative loss of
+    the folds' test bars against their train bars.
+    """
+    e = equity.withColumn("r", F.col("equity") / F.lag("equity").over(Window.partitionBy("series").orderBy("bar_idx")) - 1)
+    sharpe = ratio(F.avg("r"), F.stddev_pop("r"))
+    sizes = bars.groupBy("series").agg(F.count("*").alias("n_bars"))
+    w = walk_forward_windows(sizes, n_windows)
+    part = lambda a, z, name: in_windows(e, w, a, z).groupBy("series", "window_id").agg(sharpe.alias(name))
+    wfe = efficiency(part("is_start", "is_end", "is_score").join(part("oos_start", "oos_end", "oos_score"), ["series", "window_id"])).select("series", "wfe")
+    folds = e.join(purged_folds(sizes), ["series", "bar_idx"]).groupBy("series", "fold_id", "role").agg(sharpe.alias("s"))
+    folds = folds.groupBy("series", "fold_id").agg(F.max(F.when(F.col("role") == "train", F.col("s"))).alias("a"), F.max(F.when(F.col("role") == "test", F.col("s"))).alias("b"))
+    lost = folds.groupBy("series").agg(F.coalesce(F.avg(F.when(F.col("a") > 0, 1 - F.col("b") / F.col("a"))), F.lit(1.0)).alias("degradation"))
+    dsr = deflated_sharpe(e, n_trials).select("series", "dsr")
+    p = shuffle_test(trades.withColumnRenamed("series", "run"), sims).select(F.col("run").alias("series"), "p_value")
+    return robustness(wfe.join(lost, "series").join(dsr, "series").join(p, "series"))
+
+
 def window_aggregate(windows: DataFrame, initial: float = 1000.0) -> DataFrame:
     """Over window results (run, window_id, ret in percent, days, degradation): mean, median, deviation, compounded
     equity and return, drawdown, win rate, profit factor, mean degradation of windows where it is not nearly 0."""

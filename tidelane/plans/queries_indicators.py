@@ -446,7 +446,45 @@ def _(spark, d):
     b = hourly(spark, d)
     member = lambda n, w, cond, conf: b.select("series", "bar_idx", F.lit(n).alias("member"), F.lit(w).alias("weight"), F.when(cond, 1).otherwise(-1).alias("direction"), F.lit(conf).alias("confidence"))
     s = member("a", 1.0, F.col("c") > F.col("o"), 60.0).union(member("b", 0.7, F.col("c") > 50, 80.0)).union(member("c", 1.2, F.col("v") > 3, 70.0))
-    return rounded(signals.vote(s, 0.6))
+    return rounded(signals.vote(s, 0.6).drop("contributors"))
+
+
+@query(
+    "ensemble_contributions",
+    """WITH bars, s AS (SELECT series, bar_idx, 'a' AS m, CASE WHEN c > o THEN 1 ELSE -1 END AS d FROM bars UNION ALL SELECT series, bar_idx, 'b', CASE WHEN c > 50 THEN 1 ELSE -1 END FROM bars UNION ALL SELECT series, bar_idx, 'c', CASE WHEN v > 3 THEN 1 ELSE -1 END FROM bars),
+    g AS (SELECT series, bar_idx, sign(sum(d)) AS side FROM s GROUP BY ALL) SELECT series, m AS member, count(*) AS n FROM s JOIN g USING (series, bar_idx) WHERE d = side GROUP BY ALL""",
+)
+def _(spark, d):
+    b = hourly(spark, d)
+    member = lambda n, cond: b.select("series", "bar_idx", F.lit(n).alias("member"), F.lit(1.0).alias("weight"), F.when(cond, 1).otherwise(-1).alias("direction"), F.lit(50.0).alias("confidence"))
+    return signals.contributions(signals.vote(member("a", F.col("c") > F.col("o")).union(member("b", F.col("c") > 50)).union(member("c", F.col("v") > 3))))
+
+
+@query(
+    "smc_oscillator",
+    f"""WITH bars, {BREAKS}, {OB}, tr AS (SELECT b.series, b.bar_idx, coalesce(last_value(br.direction IGNORE NULLS) OVER (PARTITION BY b.series ORDER BY b.bar_idx), 0) AS trend FROM bars b LEFT JOIN br USING (series, bar_idx)),
+    pl AS (SELECT *, max(h) OVER w AS hi, min(l) OVER w AS lo FROM bars WINDOW w AS ({P} ROWS 20 PRECEDING)),
+    ps AS (SELECT p.series, p.bar_idx, CASE WHEN bar_idx < 20 THEN 0 ELSE greatest(-1, least(1, ((c - lo) / (hi - lo) - 0.5) * 2 + trend * 0.2)) END AS place FROM pl p JOIN tr USING (series, bar_idx)),
+    nr AS (SELECT b.series, b.bar_idx, max(CASE WHEN direction = 1 AND b.c > top AND (b.c - top) / b.c < 0.02 THEN 1 - (b.c - top) / b.c / 0.02 END) AS bull, max(CASE WHEN direction = -1 AND b.c < bottom AND (bottom - b.c) / b.c < 0.02 THEN 1 - (bottom - b.c) / b.c / 0.02 END) AS bear
+    FROM bars b JOIN obm o ON o.series = b.series AND o.bar_idx <= b.bar_idx AND o.crossed_idx IS NULL GROUP BY ALL)
+    SELECT series, bar_idx, round(greatest(0, least(100, (0.6 * place + 0.4 * (coalesce(bull, 0) - coalesce(bear, 0)) + 1) * 50)), 6)::DOUBLE AS osc FROM ps LEFT JOIN nr USING (series, bar_idx)""",
+)
+def _(spark, d):
+    return rounded(structure.oscillator(hourly(spark, d)))
+
+
+@query(
+    "target_ladder",
+    f"""WITH bars, k AS (SELECT *, CASE WHEN c >= o THEN 1 ELSE -1 END AS d, lag(h) OVER ({P}) AS near0, lag(l) OVER ({P}) AS near1 FROM bars), r AS (SELECT series, bar_idx, d, c, greatest(abs(c - o), (h - l) * 0.5) AS r, CASE WHEN d = 1 THEN near0 ELSE near1 END AS near FROM k),
+    a AS (SELECT *, CASE WHEN d * (near - c) > 0.3 * r THEN near ELSE c + d * r * 0.8 END AS t0 FROM r), b AS (SELECT *, CASE WHEN d * (near - t0) > 0.3 * r THEN near ELSE t0 + d * r * 1.5 END AS t1 FROM a)
+    SELECT series, bar_idx, round(t0, 6) AS t0, round(t1, 6) AS t1, round(t1 + d * r * 8.5, 6) AS t4 FROM b""",
+)
+def _(spark, d):
+    w = B.in_order()
+    b = hourly(spark, d).withColumn("direction", F.when(F.col("c") >= F.col("o"), 1).otherwise(-1))
+    b = b.withColumn("near", F.when(F.col("direction") == 1, F.lag("h").over(w)).otherwise(F.lag("l").over(w))).withColumn("atr", F.col("h") - F.col("l"))
+    x = signals.ladder(b.withColumn("entry", F.col("c")).withColumn("stop", F.col("o")))
+    return rounded(x.select("series", "bar_idx", *(F.col("targets")[k].alias(f"t{k}") for k in (0, 1, 4))))
 
 
 for _name in signals.REGISTRY:

@@ -214,6 +214,25 @@ def _(spark, d):
     return rounded(simulation.equity(simulated(spark, d)))
 
 
+@query("simulate_intrabar")
+def _(spark, d):
+    """Trades of the hourly simulation whose exits are checked on five-minute bars."""
+    from tidelane.operators import htf
+
+    from .queries_bars import fine
+    from .registry import HOUR
+
+    b = hourly(spark, d)
+    s = signals.REGISTRY["cycle_no_htf"].signals(b, confidence_min=40.0, min_bars=5)
+    return rounded(simulation.trades(simulation.simulate(b, s, detail=htf.detail_index(b, fine(spark, d), HOUR))))
+
+
+@query("validation_layers")
+def _(spark, d):
+    """The four layers over each series' simulated trades: windows, folds, deflated Sharpe ratio, shuffles."""
+    return rounded(V.layers(hourly(spark, d), simulation.trades(simulated(spark, d)), simulation.equity(simulated(spark, d)), n_trials=20, sims=40))
+
+
 @query("funding_accrual", "WITH bars SELECT series, round(sum(CASE WHEN bar_idx > 0 AND bar_idx % 8 = 0 THEN c * 0.0001 ELSE 0 END), 6) AS funding FROM bars GROUP BY series")
 def _(spark, d):
     due = F.when((F.col("bar_idx") > 0) & (F.col("bar_idx") % 8 == 0), F.col("c") * 0.0001).otherwise(0.0)

@@ -183,3 +183,22 @@ def walk_forward(bars: DataFrame, strategy: str, params: list[Param], windows: l
         best = max(range(len(trials)), key=lambda i: scores[i])
         out.append({"window_id": k, "params": trials[best], "is_score": scores[best], "oos_score": evaluate(part(c, d), strategy, [trials[best]], **how)[0]})
     return out
+
+
+def rolling(bars: DataFrame, strategy: str, params: list[Param], windows: list[dict], tries: int = 24, top: int = 3, gate: Callable[[float], bool] = lambda s: s > 0, seed: int = 42, **how) -> list[dict]:
+    """Rolling search with two tests. For each window (opt, test1, test2: pairs of positions): a search on opt, the best few
+    on test1, and the best that passes the gate there on test2; without one the window is empty. Scores and degradation."""
+    out = []
+    for k, w in enumerate(windows):
+        part = lambda key: bars.filter((F.col("bar_idx") >= w[key][0]) & (F.col("bar_idx") < w[key][1])).withColumn("bar_idx", F.col("bar_idx") - w[key][0])  # noqa: E731, B023
+        found = tpe(lambda trials: evaluate(part("opt"), strategy, trials, **how), params, tries, start=min(20, tries // 2), seed=seed + k)  # noqa: B023
+        best = [t for _, t in found[:top]]
+        first = evaluate(part("test1"), strategy, best, **how)
+        ranked = sorted(((s, i) for i, s in enumerate(first) if gate(s)), reverse=True)
+        row = {"window_id": k, "opt_score": found[0][0], "params": None, "test1_score": None, "test2_score": None, "degradation": None}
+        if ranked:
+            s, i = ranked[0]
+            row |= {"params": best[i], "test1_score": s, "test2_score": evaluate(part("test2"), strategy, [best[i]], **how)[0]}
+            row["degradation"] = (s - row["test2_score"]) / abs(s) * 100 if s else 0.0
+        out.append(row)
+    return out
