@@ -169,3 +169,16 @@ def test_quality_score(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     odd = score(frame(spark, ODD), labels.limit(0)).collect()
     assert len(odd) == len(ODD) and {r["score"] for r in odd} == {0.5}
+
+
+def test_many_disclosing_terms_are_joined(spark, monkeypatch):
+    """Beyond the bound on what is broadcast the same spans come from a join."""
+    from tidelane.llm import pii
+
+    texts = [f"note {w} Zaphod {w}{w} zb@mail.example.com {w} end" for w in ("alpha", "gamma", "delta", "omega")] + ["alpha gamma delta omega note"] * 30 + [None, ""]
+    want = sorted(map(str, pii.find(frame(spark, texts)).collect()))
+    clean = sorted(map(str, pii.redact(frame(spark, texts)).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, pii.find(frame(spark, texts)).collect())) == want
+    assert sorted(map(str, pii.redact(frame(spark, texts)).collect())) == clean
+    assert any("term:" in r for r in want)

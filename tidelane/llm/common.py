@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,9 +16,27 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+#: Arrow batches to Python hold at most so many rows and bytes: a worker keeps one batch of texts at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH; smaller settings stay."""
+    for key, most in BATCH.items():
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
+    digits = text.lower().rstrip("b") or "0"
+    return int(digits[:-1]) * units[digits[-1]] if digits[-1] in units else int(digits)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read back: later stages start there, whichever executor is lost."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     at = f"{shared_dir(spark)}/tidelane/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def released(*caches: dict) -> None:
+    """At the end of a task: empties caches and gives free memory of this worker back, for it lives on through later stages."""
+    for c in caches:
+        c.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc keeps what is freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of frames that nothing refers to any more."""
     gc.collect()
     jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
+    for _ in range(2 if jvm is not None else 0):  # the first finds what Python has let go, the second what that held
+        time.sleep(0.3)
         jvm.System.gc()
 
 

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut
+from .common import blocks, cut, released
 from .token_count import BLOCK_CHARS, _loaded, pretokens, split_special
 
 #: Classes: the documents a sequence takes. Above 32 pieces are so small that coarser steps waste little.
 CLASSES = (*range(1, 33), 40, 48, 64, 96, 128, 256, 512, 1024, 2048)
 SLACK = 12
 SHARDS = 64
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 @cache
@@ -106,6 +106,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
                     rows += [(doc, s, k, zlib.crc32(got[4 * s : 4 * (s + k)]), n, j) for s, k, j in pieces(n, capacity)]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
+        released(_tokenizer(path)[3])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -124,6 +124,7 @@ def frequencies(docs: DataFrame, only: frozenset[str] | None = None) -> DataFram
                 words = set(_TERM.findall(t.lower()))
                 n.update(words if wanted is None else words & wanted)
             yield pd.DataFrame({"term": list(n), "docs": list(n.values())}).astype({"term": object, "docs": "int64"})
+        released()
 
     return docs.select("text").mapInPandas(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
@@ -151,25 +152,28 @@ def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
     return best.select("term", (F.col("share") >= remove).alias("removed"))
 
 
-def with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with `told`, the disclosing terms of each text (removed ones with a '-' before them), null or empty if none."""
+def with_terms(docs: DataFrame, terms: DataFrame):
+    """docs with `told`, and a broadcast dictionary: together the disclosing terms of each text, a '-' before removed ones.
+
+    While the terms are at most BROADCAST_TERMS they are all in the dictionary, and the function that takes it looks for
+    them, so a text passes one Python worker only; beyond that told holds them and the dictionary is empty.
+    """
     terms = cut(terms, "pii-terms")
     few = terms.limit(BROADCAST_TERMS + 1).collect()
-    if not few:
-        return docs.withColumn("told", F.lit(None).cast("array<string>"))
+    marks = {r["term"]: ("-" if r["removed"] else "+") + r["term"] for r in few} if len(few) <= BROADCAST_TERMS else {}
+    held = docs.sparkSession.sparkContext.broadcast(marks)
     if len(few) <= BROADCAST_TERMS:
-        marks = SparkSession.active().sparkContext.broadcast({r["term"]: ("-" if r["removed"] else "+") + r["term"] for r in few})
-
-        @F.pandas_udf("array<string>")
-        def told(s: pd.Series) -> pd.Series:
-            known = marks.value
-            return pd.Series([[known[w] for w in set(_TERM.findall(t.lower())) if w in known] for t in s.fillna("")])
-
-        return docs.withColumn("told", told("text"))
+        return docs.withColumn("told", F.lit(None).cast("array<string>")), held
     marked = terms.select("term", F.concat(F.when(F.col("removed"), "-").otherwise("+"), "term").alias("mark"))
     pairs = docs.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term")).distinct().join(marked, "term")
     lists = pairs.groupBy("key").agg(F.collect_list("mark").alias("told"))  # at most the terms of one text
-    return docs.withColumn("key", F.xxhash64("text")).join(lists, "key", "left").drop("key")
+    return docs.withColumn("key", F.xxhash64("text")).join(lists, "key", "left").drop("key"), held
+
+
+def _told(text: str | None, told, marks: dict[str, str]):
+    if not marks or not text:
+        return told
+    return [marks[w] for w in set(_TERM.findall(text.lower())) if w in marks]
 
 
 def all_spans(text: str, told) -> list[tuple[int, int, int]]:
@@ -207,29 +211,30 @@ def find(docs: DataFrame) -> DataFrame:
     Offsets are code points. Null and empty texts have no spans, so base_sha256 is that of the empty string. Repeated rows
     are judged each for itself; other columns are ignored.
     """
+    own = docs.select("doc_id", "text")
+    marked, held = with_terms(own, disclosing(own))
     schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
 
     @F.pandas_udf(schema)
     def found(s: pd.Series, told: pd.Series) -> pd.DataFrame:
         rows = []
         for text, t in zip(s.fillna(""), told):
-            spans = all_spans(text, t)
+            spans = all_spans(text, _told(text, t, held.value))
             base = [x for x in spans if x[1] < 4]
             kinds = [x[1] for x in base]
             rows.append((*map(kinds.count, range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans) - len(base)))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"])
 
-    own = docs.select("doc_id", "text")
-    marked = with_terms(own, disclosing(own))
     return marked.select("doc_id", found("text", "told").alias("x")).select("doc_id", "x.*")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """All columns of docs, with text sanitised; a null text stays null."""
+    columns = docs.columns
+    marked, held = with_terms(docs, disclosing(docs))
 
     @F.pandas_udf("string")
     def clean(s: pd.Series, told: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else redacted(x, t) for x, t in zip(s, told)], dtype=object)
+        return pd.Series([None if x is None else redacted(x, _told(x, t, held.value)) for x, t in zip(s, told)], dtype=object)
 
-    columns = docs.columns
-    return with_terms(docs, disclosing(docs)).withColumn("text", clean("text", "told")).select(*columns)
+    return marked.withColumn("text", clean("text", "told")).select(*columns)

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, mix
+from .common import blocks, cut, forget, mix, released
 from .graph import components
 
 KEYS = 64
 LEAST_PART = 4  # elements of a part that may be a key
 SMALL = 32  # sets below this use the prefix filter
 BLOCK_ROWS, BLOCK_SHINGLES = 400, 400_000
+MEMO = 300_000  # word hashes kept in a worker
 _MEMO: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -35,7 +36,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: A-Z lowered, words between ASCII blanks."""
     import xxhash
 
-    if len(_MEMO) > 1_000_000:
+    if len(_MEMO) > MEMO:
         _MEMO.clear()
     out = []
     for t in texts:
@@ -101,6 +102,7 @@ def describe(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
                 columns = [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([candidate_keys(s, threshold) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "keys"])
+        released(_MEMO)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>")
 
@@ -190,6 +192,7 @@ def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> Da
     cluster = components(stars, "set_id", "low")
     members = reps.select("set_id", "rep", "n_shingles").join(cluster.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id")
     members = cut(members, "members")
+    forget(docs.sparkSession)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -201,6 +204,7 @@ def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> Da
                 # rows that repeat a doc_id with another text are not the representative
                 good = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == want[a + i]]
                 yield pa.RecordBatch.from_arrays([pa.array([want[a + i] for i in good], pa.int64()), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["set_id", "shingles"])
+        released(_MEMO)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "set_id").hint("merge"), "rep")
     sets = texts.select("set_id", "text").mapInArrow(load, "set_id long, shingles binary").dropDuplicates(["set_id"])

@@ -29,7 +29,7 @@ LETTER, NUMBER, SPACE, BLANK, QUOTE, OTHER, S_LIKE, R, V, E, LL, PAD = range(12)
 OPEN, IN_L, IN_N, IN_O, SP, SPS, BL, BLS, Q, QR, QV, QL = range(12)
 HERE, BEFORE = 16, 32  # a pretoken starts at this character, at the one before
 CHUNK = 256
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 MEMO = 1_000_000  # pretokens kept in a worker
 STATES = 300_000  # compiled states kept in a worker
 # The characters with the White_Space property.
