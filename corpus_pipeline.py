@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, table
+from tidelane.llm.common import bounded, cut, table
 from tidelane.llm.decontamination import clean
 from tidelane.llm.language_id import language, learn
 from tidelane.llm.packing import pack
@@ -21,6 +21,7 @@ BROADCAST_IDS = 500_000
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; those without a letter go."""
+    bounded(spark)
     columns = docs.columns
     tagged = docs.withColumn("_said", language(F.col("text"), learn(docs)))
     return tagged.filter(F.col("_said.lang_pred") != "und").select(*columns)
