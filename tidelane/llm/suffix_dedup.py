@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, forget, mix
+from .common import cut, drop, forget, mix, released
 
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
@@ -119,42 +119,51 @@ def masked(edges, n: int) -> np.ndarray:
     return np.cumsum(edge[:n], dtype=np.int8) > 0
 
 
-def _emit(names: dict[int, list[np.ndarray]], ranges: int) -> Iterator[tuple[int, int, bytes]]:
-    """(range, group, sorted names) rows: of names met more than once two, of others one."""
-    edges = np.array([(k << 64) // ranges for k in range(ranges)], _U)
+#: part: range of names; names by group, with the groups and their counts.
+NAMES = "part long, names binary, grps binary, counts binary"
+HELD = 2_000_000  # names that a task gathers before it hands them on
+
+
+def _emit(names: dict[int, list[np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """A row for each range: of names that a group met more than once two, of others one."""
+    every, grps = [np.zeros(0, _U)], [np.zeros(0, np.int32)]
     for group, lists in names.items():
-        every, counts = np.unique(np.concatenate(lists), return_counts=True)
-        every = np.repeat(every, np.minimum(counts, 2))
-        cuts = [*np.searchsorted(every, edges), len(every)]
-        for k in range(ranges):
-            if cuts[k + 1] > cuts[k]:
-                yield k, group, every[cuts[k] : cuts[k + 1]].tobytes()
+        found, counts = np.unique(np.concatenate(lists), return_counts=True)
+        every.append(np.repeat(found, np.minimum(counts, 2)))
+        grps.append(np.full(len(every[-1]), group, np.int32))
+    name, grp = np.concatenate(every), np.concatenate(grps)
+    edges = np.array([(k << 64) // ranges for k in range(ranges)], _U)
+    part = np.searchsorted(edges, name, side="right") - 1
+    order = np.lexsort((grp, part))
+    name, grp, part = name[order], grp[order], part[order]
+    cuts = np.searchsorted(part, np.arange(ranges + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(cuts)):
+        g, n = np.unique(grp[cuts[k] : cuts[k + 1]], return_counts=True)
+        rows.append((int(k), name[cuts[k] : cuts[k + 1]].tobytes(), g.tobytes(), n.astype(np.int32).tobytes()))
+    cols = list(zip(*rows)) or [()] * 4
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["part", "names", "grps", "counts"])
 
 
 def _name_rows(ranges: int, of_row):
-    """A function for mapInArrow from rows with `grp` to (part, grp, names); of_row gives a row's names."""
+    """A function for mapInArrow from rows with `grp` to NAMES; of_row gives a row's names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
-            names: dict[int, list[np.ndarray]] = {}
-            held = 0
-
-            def flush():
-                got = list(_emit(names, ranges))
-                names.clear()
-                cols = list(zip(*got)) or [()] * 3
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["part", "grp", "names"])
-
             for i in range(batch.num_rows):
                 new = of_row({c: x[i].as_py() for c, x in columns.items()})
                 if len(new):
                     names.setdefault(columns["grp"][i].as_py(), []).append(new)
                     held += len(new)
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
-            yield flush()
+                if held > HELD:
+                    yield _emit(names, ranges)
+                    names, held = {}, 0
+        yield _emit(names, ranges)
+        released()
 
     return run
 
@@ -165,7 +174,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     def run(x: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(b, _U) for b in x["names"]]
         names = np.concatenate(lists)
-        groups = np.repeat(x["grp"].to_numpy(), [len(b) for b in lists])
+        grps, counts = (np.concatenate([np.frombuffer(b, np.int32) for b in x[c]]) for c in ("grps", "counts"))
+        groups = np.repeat(grps, counts)
         order = np.lexsort((groups, names))
         names, groups = names[order], groups[order]
         first = np.r_[True, names[1:] != names[:-1]]
@@ -241,7 +251,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     def ranges(n: float) -> int:
         return int(max(4, -(-n // RANGE_NAMES)))
 
-    rows = texts.select("grp", "text").mapInArrow(_name_rows(ranges(n_bytes * len(residues) / v), lambda r: Text(r["text"]).names(samples(len(r["text"]), short, v, residues), short) if len(r["text"]) >= length else ()), "part long, grp long, names binary")
+    rows = texts.select("grp", "text").mapInArrow(_name_rows(ranges(n_bytes * len(residues) / v), lambda r: Text(r["text"]).names(samples(len(r["text"]), short, v, residues), short) if len(r["text"]) >= length else ()), NAMES)
     hot = repeated(rows)
 
     def near(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -273,7 +283,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         return t.names(at, long)
 
     spans = left.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = left.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(spans * len(residues) / v), long_names), "part long, grp long, names binary")
+    rows = left.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(spans * len(residues) / v), long_names), NAMES)
 
     def settle(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, least = _joined(found["hot"]), _joined(found["least"])
@@ -310,7 +320,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         return Text(r["text"]).names(np.flatnonzero(masked(r["emit"], n)), length)
 
     open_bytes = second.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = second.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(open_bytes / 2), last_names), "part long, grp long, names binary")
+    rows = second.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(open_bytes / 2), last_names), NAMES)
 
     def finish(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, out = _joined(found["hot"]), []
