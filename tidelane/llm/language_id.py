@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, released
 
 SAMPLE_CHARS = 24_000  # labelled text a language is learned from at most
 PART_CHARS = 400  # of one document
@@ -145,8 +145,7 @@ def sample(docs: DataFrame, most_chars: int = SAMPLE_CHARS) -> dict[str, list[st
     """
     rows = most_chars // PART_CHARS
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("[^\\s\\d\\p{Punct}]")).select("lang", F.substring("text", 1, PART_CHARS).alias("part"))
-    best = known.groupBy("lang", "part").agg(F.lit(1)).select("lang", "part", F.xxhash64("part").alias("h"))
-    near = best.withColumn("cell", F.pmod("h", F.lit(rows * 2)))
+    near = known.withColumn("h", F.xxhash64("part")).withColumn("cell", F.pmod("h", F.lit(rows * 2)))
     picked = near.groupBy("lang", "cell").agg(F.min_by("part", "h").alias("part")).orderBy("lang", "cell").limit(1000 * rows * 2).collect()
     out: dict[str, list[str]] = {}
     for r in picked:
@@ -169,6 +168,7 @@ def language(text: Column, model: Model) -> Column:
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             yield pd.DataFrame(held.value.predict(s.fillna("").tolist()), columns=["lang_pred", "score"])
+        released()
 
     return predicted(text)
 

@@ -29,6 +29,7 @@ from .common import cut, shared_dir
 
 ARCHIVE_BYTES = 32 << 20  # of records in an archive, before compression
 LEVEL = 3
+MOST_TASKS = 50_000
 MADE = "page_id long, archive string, record long, digest string, size long"
 INDEXED = "archive string, records long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -136,7 +137,9 @@ def normalise(made: DataFrame, folder: str) -> DataFrame:
             out.write(json.dumps(index).encode())
         return pd.DataFrame({"archive": [name], "records": [len(index)]})
 
-    return made.groupBy("archive").applyInPandas(run, INDEXED)
+    # the rows are small but the archives are not: a task for each few of them
+    n = made.select("archive").distinct().count()
+    return made.repartition(max(1, min(n, MOST_TASKS)), "archive").groupBy("archive").applyInPandas(run, INDEXED)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -162,7 +165,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield out.astype({"page_id": "Int64", "payload_bytes": "int64"}).assign(refers_to=out["refers_to"].astype("Int64"))
 
-    return index.mapInPandas(run, READ)
+    n = index.count()
+    return index.repartition(max(1, min(n, MOST_TASKS))).mapInPandas(run, READ)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
