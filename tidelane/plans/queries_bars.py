@@ -39,10 +39,11 @@ def _(spark, d):
     return B.row_range(hourly(spark, d), 100, 200).select("series", "bar_idx", "c")
 
 
-@query("row_set_slice", "WITH bars SELECT series, (row_number() OVER (PARTITION BY series ORDER BY bar_idx) - 1)::BIGINT AS bar_idx, c FROM bars WHERE bar_idx % 3 = 1")
+@query("row_set_slice", "WITH bars SELECT series, (row_number() OVER (PARTITION BY series ORDER BY bar_idx) - 1)::BIGINT AS bar_idx, c FROM bars WHERE c > o")
 def _(spark, d):
+    """The rising bars, numbered anew."""
     b = hourly(spark, d)
-    return B.row_set(b, b.filter("bar_idx % 3 = 1").select("series", "bar_idx")).select("series", "bar_idx", "c")
+    return B.row_set(b, b.filter("c > o").select("series", "bar_idx")).select("series", "bar_idx", "c")
 
 
 @query("train_validation_split", "WITH bars SELECT series, bar_idx, CASE WHEN bar_idx < floor(count(*) OVER (PARTITION BY series) * 0.7::DOUBLE) THEN 'train' ELSE 'validation' END AS part FROM bars")
@@ -97,12 +98,13 @@ def _(spark, d):
 
 @query(
     "merge_dedupe",
-    """WITH bars, a AS (SELECT series, ts_ms, c, 0 AS k FROM bars WHERE bar_idx % 2 = 0 UNION ALL SELECT series, ts_ms, c + 1, 1 FROM bars WHERE bar_idx % 3 = 0)
+    """WITH bars, a AS (SELECT series, ts_ms, c, 0 AS k FROM bars UNION ALL SELECT series, ts_ms + 86400000, c + 1, 1 FROM bars)
     SELECT series, ts_ms, arg_min(c, k) AS c FROM a GROUP BY series, ts_ms""",
 )
 def _(spark, d):
+    """All bars, and the same a day later as the new side: most hours are held by both."""
     b = hourly(spark, d)
-    return B.merge(b.filter("bar_idx % 2 = 0").select("series", "ts_ms", "c"), b.filter("bar_idx % 3 = 0").select("series", "ts_ms", (F.col("c") + 1).alias("c")))
+    return B.merge(b.select("series", "ts_ms", "c"), b.select("series", (F.col("ts_ms") + 86400000).alias("ts_ms"), (F.col("c") + 1).alias("c")))
 
 
 @query(
@@ -186,10 +188,10 @@ def _(spark, d):
 
 @query(
     "as_of_join",
-    "WITH bars, e AS (SELECT event_id, event_type AS series, epoch_ms(ts) AS ms FROM events WHERE event_id % 5 = 0) SELECT e.event_id, b.c AS asof_c FROM e ASOF LEFT JOIN bars b ON e.series = b.series AND e.ms >= b.ts_ms",
+    "WITH bars, e AS (SELECT event_id, event_type AS series, epoch_ms(ts) AS ms FROM events) SELECT e.event_id, b.c AS asof_c FROM e ASOF LEFT JOIN bars b ON e.series = b.series AND e.ms >= b.ts_ms",
 )
 def _(spark, d):
-    e = read(spark, d, "events").filter("event_id % 5 = 0").select("event_id", F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    e = read(spark, d, "events").select("event_id", F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return htf.as_of(e, hourly(spark, d).select("series", "ts_ms", "c"), ["c"]).select("event_id", "asof_c")
 
 

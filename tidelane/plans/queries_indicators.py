@@ -400,12 +400,12 @@ def _(spark, d):
 
 @query(
     "trades_by_regime",
-    f"""WITH bars, {LABEL}, t AS (SELECT series, bar_idx, lead(c, 5) OVER ({P}) - c AS pnl, regime FROM lb), u AS (SELECT * FROM t WHERE bar_idx % 7 = 0 AND pnl IS NOT NULL)
+    f"""WITH bars, {LABEL}, t AS (SELECT series, bar_idx, lead(c, 5) OVER ({P}) - c AS pnl, regime FROM lb), u AS (SELECT * FROM t WHERE pnl IS NOT NULL)
     SELECT series, regime, count(*) AS n_trades, round(sum(pnl), 6) AS pnl, round(avg((pnl > 0)::INT) * 100, 6) AS win_rate, round(CASE WHEN stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(count(*)) ELSE 0 END, 6) AS sharpe FROM u GROUP BY ALL""",
 )
 def _(spark, d):
     b = labelled(hourly(spark, d))
-    t = b.withColumn("net_pnl", F.lead("c", 5).over(B.in_order()) - F.col("c")).filter("bar_idx % 7 = 0 and net_pnl is not null").select("series", F.col("bar_idx").alias("entry_idx"), "net_pnl")
+    t = b.withColumn("net_pnl", F.lead("c", 5).over(B.in_order()) - F.col("c")).filter("net_pnl is not null").select("series", F.col("bar_idx").alias("entry_idx"), "net_pnl")
     return rounded(regime.trades_by_regime(t, b))
 
 

@@ -76,12 +76,11 @@ def evaluate(bars: DataFrame, strategy: str, trials: list[dict], objective: str
 
     All trials' signals are one table keyed by trial, so simulation and metrics are one job.
     """
-    spark = bars.sparkSession
     found = None
     for k, t in enumerate(trials):
         s = signals.REGISTRY[strategy].signals(bars, **t).withColumn("trial", F.lit(k))
         found = s if found is None else found.unionByName(s)
-    every = bars.join(F.broadcast(spark.range(len(trials)).select(F.col("id").cast("int").alias("trial"))))
+    every = bars.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))))
     keys = ("series", "trial")
     tagged = simulation.simulate(every, found, settings, keys)
     run = F.concat_ws("/", *keys)
