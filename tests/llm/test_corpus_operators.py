@@ -196,6 +196,18 @@ def test_outliers_are_found_despite_many(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[i] for i in range(300, 390))
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4, 0.45])
+def test_outliers_are_found_up_to_half(spark, share):
+    """Junk of one kind that is almost half of a group is rejected as a quarter is, and clean rows stay."""
+    from tidelane.llm.quality_rules import judge
+
+    rng = random.Random(18)
+    n, bad = 300, round(300 * share / (1 - share))
+    text = lambda end: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) + end for _ in range(rng.randint(60, 400)))
+    got = {r["doc_id"]: r["kept"] for r in judge(frame(spark, [text("") for _ in range(n)] + [text("***") for _ in range(bad)])).collect()}
+    assert sum(got[i] for i in range(n)) >= 297 and not any(got[i] for i in range(n, n + bad))
+
+
 def test_distance_equals_linear_algebra(spark):
     from pyspark.sql import functions as F
 

@@ -1,14 +1,16 @@
 """Quality rules: text statistics and robust multivariate outliers, in DataFrame operations only.
 
 Base statistics are counted on each whole text. A transformed vector of them gets a minimum-covariance-determinant
-estimate per language and source: from the medians on, concentration steps take mean and covariance of the fraction of
-rows that lie nearest, until the last of STEPS. Rows whose squared Mahalanobis distance exceeds a chi-square quantile are
-outliers. All estimates are aggregates by group that combine before the shuffle; no group is ever gathered.
+estimate per language and source: from each of several starts, concentration steps take mean and covariance of the half
+of the rows that lies nearest; after the FIRST steps the BEST starts of a group with the least determinants go on until
+none falls, and the least of them is reweighted: all rows inside its quantile INNER give mean and covariance. Rows whose
+squared Mahalanobis distance exceeds a chi-square quantile are outliers. Just under half of a group may be junk of one
+kind. All estimates are aggregates by group that combine before the shuffle; no group is ever gathered.
 """
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -18,8 +20,11 @@ SYMBOLS = "#*$%&|<>"
 VECTOR = ("x0", "x1", "x2", "x3", "x4")
 #: Least standard deviation of each coordinate: steadier groups count as this wide.
 FLOOR = (0.6, 0.12, 0.05, 0.10, 0.10)
-SUBSET = 0.75
-STEPS = 4
+#: A group of n rows concentrates on (n + p + 1) / 2n of them, rounded up to one of these.
+SUBSETS = tuple(0.5 + k / 200 for k in range(61))
+FIRST, BEST = 2, 2
+STEPS, FALL = 40, 1e-3  # steps at most, and the fall of the determinant's logarithm that makes another
+INNER = 0.975
 TAIL = 1e-6
 LEAST_GROUP = 60
 BROADCAST_GROUPS = 20_000
@@ -103,10 +108,10 @@ def vector(stats: DataFrame) -> DataFrame:
     )
 
 
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("fit",)) -> DataFrame:
     """Rows with their group's values: sent to every task while the groups are few, else a join that Spark may split."""
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return rows.join(F.broadcast(groups) if few else groups, "fit")
+    return rows.join(F.broadcast(groups) if few else groups, list(keys))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -121,8 +126,8 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total)
 
 
-def _factored(groups: DataFrame) -> DataFrame:
-    """Cholesky factor l of the covariances c."""
+def _factored(groups: DataFrame, keys: tuple[str, ...] = ("fit",)) -> DataFrame:
+    """Cholesky factor l of the covariances c, and the logarithm of its determinant."""
     for i in range(len(VECTOR)):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -131,32 +136,86 @@ def _factored(groups: DataFrame) -> DataFrame:
             value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
             groups = groups.withColumn(f"l{i}{j}", value)
     keep = [f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)]
-    return groups.select("fit", *(f"m{i}" for i in range(len(VECTOR))), *keep)
+    volume = sum(F.log(f"l{i}{i}") for i in range(len(VECTOR)))
+    return groups.select(*keys, *(f"m{i}" for i in range(len(VECTOR))), *keep, volume.alias("volume"))
 
 
-def estimates(rows: DataFrame, subset: float = SUBSET) -> DataFrame:
-    """fit, location m and Cholesky factor l of each group of rows (fit, x0...)."""
-    dims = len(VECTOR)
-    # consistent at the normal distribution: the nearest fraction underestimates the spread by this factor
-    factor = subset / _gamma_p(dims / 2 + 1, chi_square(dims, subset) / 2)
-    middle = rows.groupBy("fit").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in VECTOR))
-    start = []
+def _moments(factor: Column) -> list[Column]:
+    """Mean m and covariance c of a group, the latter times a factor and with variances of FLOOR at least."""
+    out = [F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)]
     for i, x in enumerate(VECTOR):
-        start.append(F.col(x)[1].alias(f"m{i}"))
-        spread = F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(FLOOR[i]))
-        start += [(spread * spread if i == j else F.lit(0.0)).alias(f"c{i}{j}") for j in range(i + 1)]
-    fit = cut(_factored(middle.select("fit", *start)), "mcd")
-    for _ in range(STEPS):
-        near = _distance(_joined(rows, fit))
-        edge = near.groupBy("fit").agg(F.percentile_approx("d2", subset, 2000).alias("edge"))
-        kept = _joined(near, cut(edge, "mcd")).filter("d2 <= edge")
-        sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)]
-        for i, x in enumerate(VECTOR):
-            for j in range(i + 1):
-                c = F.covar_pop(x, VECTOR[j]) * factor
-                sums.append((F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c).alias(f"c{i}{j}"))
-        fit = cut(_factored(kept.groupBy("fit").agg(*sums)), "mcd")
-    return fit
+        for j in range(i + 1):
+            c = F.covar_pop(x, VECTOR[j]) * factor
+            out.append((F.greatest(c, F.lit(FLOOR[i] ** 2)) if i == j else c).alias(f"c{i}{j}"))
+    return out
+
+
+def _consistent(share: float) -> float:
+    """The nearest share of normal rows underestimates their covariance by this factor."""
+    return share / _gamma_p(len(VECTOR) / 2 + 1, chi_square(len(VECTOR), share) / 2)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """fit, start, m, l: medians with quartile ranges, with tanh and with spatial-sign covariances; both outer quartiles."""
+    middle = rows.groupBy("fit").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, x in enumerate(VECTOR)), F.count("*").alias("n"))
+    for i in range(len(VECTOR)):
+        middle = middle.withColumn(f"w{i}", F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])))
+    middle = cut(middle, "mcd")
+    scaled = _joined(rows, middle)
+    pairs = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+    z = [(F.col(x) - F.col(f"q{i}")[1]) / F.col(f"w{i}") for i, x in enumerate(VECTOR)]
+    norm = F.greatest(F.sqrt(sum(v * v for v in z)), F.lit(1e-9))
+    bent = {"tanh": [F.tanh(v) for v in z], "sign": [v / norm for v in z]}
+    # tanh about its mean, signs about the medians; the scale of a start does not matter
+    shapes = [F.covar_pop(bent["tanh"][i], bent["tanh"][j]).alias(f"tanh{i}{j}") for i, j in pairs]
+    shapes += [F.avg(bent["sign"][i] * bent["sign"][j]).alias(f"sign{i}{j}") for i, j in pairs]
+    known = middle.join(cut(scaled.groupBy("fit").agg(*shapes), "mcd"), "fit")
+
+    def start(name: str, q: int, shape: str | None) -> Column:
+        m = [F.col(f"q{i}")[q].alias(f"m{i}") for i in range(len(VECTOR))]
+        c = []
+        for i, j in pairs:
+            own = F.lit(1.0 if i == j else 0.0) if shape is None else F.col(f"{shape}{i}{j}")
+            v = own * F.col(f"w{i}") * F.col(f"w{j}")
+            c.append((F.greatest(v, F.lit(FLOOR[i] ** 2 / 4)) if i == j else v).alias(f"c{i}{j}"))
+        return F.struct(F.lit(name).alias("start"), *m, *c)
+
+    every = F.array(start("median", 1, None), start("tanh", 1, "tanh"), start("sign", 1, "sign"), start("low", 0, None), start("high", 2, None))
+    return _factored(known.select("fit", "n", F.explode(every).alias("x")).select("fit", "n", "x.*"), ("fit", "n", "start"))
+
+
+def _concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """One step: each start's estimate from the rows of its group that lie nearest."""
+    near = _distance(_joined(rows, fit.drop("volume")))
+    dims = len(VECTOR)
+    k = F.ceil(((F.col("n") + dims + 1) / (2 * F.col("n")) - SUBSETS[0]) * 200 - F.lit(1e-9)).cast("int")
+    k = F.least(F.greatest(k, F.lit(0)), F.lit(len(SUBSETS) - 1)) + 1
+    factors = F.array(*(F.lit(_consistent(s)) for s in SUBSETS))
+    edge = near.groupBy("fit", "n", "start").agg(F.percentile_approx("d2", list(SUBSETS), 2000).alias("edges"))
+    edge = cut(edge.select("fit", "start", F.element_at("edges", k).alias("edge"), F.element_at(factors, k).alias("factor")), "mcd")
+    kept = _joined(near, edge, ("fit", "start")).filter("d2 <= edge")
+    return cut(_factored(kept.groupBy("fit", "n", "start").agg(*_moments(F.first("factor"))), ("fit", "n", "start")), "mcd")
+
+
+def _least(fit: DataFrame, most: int) -> DataFrame:
+    """The starts of each group with the least determinants."""
+    order = Window.partitionBy("fit").orderBy("volume", "start")  # five rows a group
+    return cut(fit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place"), "mcd")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """fit, location m and Cholesky factor l of each group of rows (fit, x0...)."""
+    fit = cut(_starts(rows), "mcd")
+    for _ in range(FIRST):
+        fit = _concentrated(rows, fit)
+    fit = _least(fit, BEST)
+    for _ in range(STEPS - FIRST):
+        last, fit = fit.select("fit", "start", F.col("volume").alias("last")), _concentrated(rows, fit)
+        if not fit.join(last, ["fit", "start"]).filter(F.col("volume") < F.col("last") - FALL).limit(1).count():
+            break
+    near = _distance(_joined(rows, _least(fit, 1).drop("volume")))
+    kept = near.filter(F.col("d2") <= chi_square(len(VECTOR), INNER))
+    return cut(_factored(kept.groupBy("fit").agg(*_moments(F.lit(_consistent(INNER))))).drop("volume"), "mcd")
 
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
