@@ -171,6 +171,22 @@ def test_quality_score(spark, sf_dir):
     assert len(odd) == len(ODD) and {r["score"] for r in odd} == {0.5}
 
 
+def test_quality_scores_keep_the_share_beyond_the_cap(spark, monkeypatch):
+    """Scores agree whether ROWS lies below or above the labels' counts, and have the labels' share."""
+    from tidelane.llm import quality_classifier as Q
+
+    rng = random.Random(21)
+    good, bad = (["".join(rng.choice(c) for _ in range(6)) for _ in range(80)] for c in ("abcdefgh", "ijklmnop"))
+    label = [int(rng.random() < 0.86) for _ in range(1500)]
+    texts = [" ".join(rng.choice(good if rng.random() < (0.56 if q else 0.44) else bad) for _ in range(60)) for q in label]
+    docs, labels = frame(spark, texts), spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    share, means = sum(label) / len(label), []
+    for rows in (1500, 40):
+        monkeypatch.setattr(Q, "ROWS", rows)
+        means.append(np.mean([r["score"] for r in Q.score(docs, labels).collect()]))
+    assert abs(means[0] - means[1]) < 0.06 and all(abs(m - share) < 0.06 for m in means)
+
+
 def test_many_disclosing_terms_are_joined(spark, monkeypatch):
     """Beyond the bound on what is broadcast the same spans come from a join."""
     from tidelane.llm import pii

@@ -22,25 +22,25 @@ LEVEL = 1
 class Model:
     """Both dictionaries and the curve; without rows of both labels, the share of label 1 is every score."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        parts = {q: [t.encode("utf-8", "surrogatepass") for t, label in rows if label == q] for q in (0, 1)}
-        self.share = len(parts[1]) / len(rows) if rows else 0.5
+    def __init__(self, parts: dict[int, list[str]], share: float):
+        """Dictionaries of the parts of each label; none when a label has fewer than ten."""
+        self.share = share
         self.dicts: dict[int, bytes] | None = None
-        if min(map(len, parts.values())) < 20:
-            return
-        self.dicts = {q: self._dictionary([p[:PART_BYTES] for p in x[::2]]) for q, x in parts.items()}
-        held = [(p, q) for q, x in parts.items() for p in x[1::2]]
-        x = np.array(self.differences([p for p, _ in held]))
-        y = np.array([q for _, q in held], float)
-        # each label weighs as in the labelled rows, which `rows` may hold in other shares
-        self.centre, self.scale = x.mean(), x.std() or 1.0
+        if min(len(parts[q]) for q in (0, 1)) >= 10:
+            self.dicts = {q: self._dictionary([t.encode("utf-8", "surrogatepass")[:PART_BYTES] for t in x]) for q, x in parts.items()}
+
+    def fit(self, x: np.ndarray, y: np.ndarray, totals: dict[int, int]) -> None:
+        """The curve through differences x of rows with labels y, a label weighing as its count in totals."""
+        weight = np.array([totals[q] / max(1, (y == q).sum()) for q in (0, 1)])[y.astype(int)]
+        weight = weight * len(y) / weight.sum()
+        self.centre, self.scale = np.average(x, weights=weight), x.std() or 1.0
         x = (x - self.centre) / self.scale
         w = np.zeros(2)
         design = np.stack([np.ones_like(x), x], 1)
         for _ in range(30):  # Newton steps on the penalised likelihood
             p = 1 / (1 + np.exp(-design @ w))
-            grad = design.T @ (y - p) - 1e-3 * w
-            hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+            grad = design.T @ (weight * (y - p)) - 1e-3 * w
+            hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
             w = w + np.linalg.solve(hess, grad)
         self.weights = w
 
@@ -76,17 +76,48 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of at most 2 * ROWS rows a label, those with the least hashes of all labelled rows."""
+    """A model of at most 2 * ROWS rows a label, those with the least hashes of all labelled rows.
+
+    Every other one is for the dictionary, the rest for the curve, whose texts are compressed whole where they lie. Each
+    label weighs in the curve as in all labelled rows, which are counted.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    totals = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in texts.select("doc_id").join(one, "doc_id").groupBy("quality").count().collect()}
     picked = None
     for q in (0, 1):
         part = one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * ROWS)
         picked = part if picked is None else picked.union(part)
-    near = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # 4 * ROWS rows at most
-    rows = near.select("doc_id", F.substring("text", 1, 20_000).alias("text"), "quality").collect()
+    near = texts.join(F.broadcast(picked), "doc_id")  # 4 * ROWS rows at most
+    rows = near.select("doc_id", F.substring("text", 1, PART_BYTES).alias("text"), "quality").collect()
     rows = sorted(((r["doc_id"], r["text"], r["quality"]) for r in rows), key=lambda r: (hash_of(r[0]), r[0]))
-    return Model([(t, q) for _, t, q in rows])
+    parts: dict[int, list[str]] = {0: [], 1: []}
+    held = []
+    for q in (0, 1):
+        ids = list(dict.fromkeys(i for i, _, label in rows if label == q))
+        first = set(ids[::2])
+        parts[q] = [t for i, t, label in rows if label == q and i in first]
+        held += [(i, q) for i in ids[1::2]]
+    model = Model(parts, totals[1] / sum(totals.values()) if sum(totals.values()) else 0.5)
+    if model.dicts is None or {q for _, q in held} != {0, 1}:
+        model.dicts = None
+        return model
+    curve = docs.sparkSession.createDataFrame(held, "doc_id long, quality int").select(F.col("doc_id").cast(one.schema["doc_id"].dataType), "quality")
+    got = texts.join(F.broadcast(curve), "doc_id").select("quality", differing(F.col("text"), model).alias("x")).collect()
+    model.fit(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got], float), totals)
+    return model
+
+
+def differing(text: Column, model: Model) -> Column:
+    """The difference of both compressed sizes of a text column."""
+    held = SparkSession.active().sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
+
+    @F.pandas_udf("double")
+    def found(s: pd.Series) -> pd.Series:
+        return pd.Series(held.value.differences([t.encode("utf-8", "surrogatepass") for t in s]), dtype="float64")
+
+    return found(text)
 
 
 def hash_of(x: int) -> int:
