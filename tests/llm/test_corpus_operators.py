@@ -155,6 +155,29 @@ def test_dedup_equals_all_substrings(spark, length):
     assert dedup(frame(spark, []), length).count() == 0
 
 
+@pytest.mark.parametrize("size", [8, 50])
+def test_passages_equal_all_runs_of_words(spark, size):
+    """Words in a run that another row has too, whatever its case and blanks; repeats inside one text do not count."""
+    from tidelane.llm.suffix_dedup import dedup
+
+    rng = random.Random(size)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    run = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passages = [run(rng.choice([size - 1, size, size + 1, size + 9, 3 * size])) for _ in range(12)]
+    texts = [" ".join([*run(rng.randint(0, 90)), *rng.choice(passages), *run(rng.randint(0, 90))]) for _ in range(60)]
+    texts += [" ".join(run(2 * size) * 3), "\n".join(passages[1]).upper(), "  ".join(passages[4]), " ".join(passages[4]), "", None, " ", "word"]
+    lists = [words(t) for t in texts]
+    owners = collections.defaultdict(set)
+    for i, w in enumerate(lists):
+        for k in range(len(w) - size + 1):
+            owners[tuple(w[k : k + size])].add(i)
+    got = {r["doc_id"]: r["n_passage_words"] for r in dedup(frame(spark, texts), 400, size).collect()}
+    for i, w in enumerate(lists):
+        held = {k + j for k in range(len(w) - size + 1) if len(owners[tuple(w[k : k + size])]) > 1 for j in range(size)}
+        assert got[i] == len(held), i
+    assert sum(n > 0 for n in got.values()) > 20
+
+
 @pytest.mark.parametrize("length", [7, 20, 57, 200, 400])
 def test_difference_cover(length):
     from tidelane.llm.suffix_dedup import cover

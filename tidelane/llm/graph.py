@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,19 +19,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): component is the least node reachable. Nodes without edges don't appear.
 
-    Each round is written to the shared folder. Per node only a minimum is kept, so a hub is combined before the
-    shuffle and its join side can be split.
+    Each round is written to the shared folder, and the one before deleted. Per node only a minimum is kept, so a hub is
+    combined before the shuffle and its join side can be split. Rounds go on until nothing changes: each lowers the sum of
+    the nodes' labels, and their number grows with the logarithm of the longest path.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     e = cut(e, "edges")
     said = None
-    for _ in range(most_rounds):
-        e = cut(_star(_star(e, True), False), "edges")
+    while True:
+        last, e = e, cut(_star(_star(e, True), False), "edges")
+        drop(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == said:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         said = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, forget, mix, released
+from .common import blocks, cut, drop, forget, mix, released
 from .graph import components
 
 KEYS = 64

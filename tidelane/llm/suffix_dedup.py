@@ -13,10 +13,14 @@ construction of suffix arrays, cut off at L bytes:
 
 Names are 64-bit hashes, dealt to tasks by range and sorted there; a task answers which names are repeated. Texts are
 dealt into groups by their hash. Every number of tasks follows the input's size.
+
+The same rounds look for repeated runs of words as well, with words in place of bytes: a passage of WORDS words that also
+stands in another text may be shorter than L bytes. Both kinds of names travel together, so nothing is shuffled twice.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -29,19 +33,20 @@ from .common import cut, drop, forget, mix, released
 
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
+WORDS = 50
 GROUP_BYTES = 8 << 20  # of text in a group
 RANGE_NAMES = 800_000  # in a task that sorts names
 
 
 @cache
-def cover(length: int) -> tuple[int, tuple[int, ...]]:
-    """(v, D): a perfect difference set modulo v = q * q + q + 1, with v at most half of length.
+def cover(length: int, share: float = 0.5) -> tuple[int, tuple[int, ...]]:
+    """(v, D): a perfect difference set modulo v = q * q + q + 1, with v at most that share of length.
 
-    A larger v samples less but makes the tuples, of length - v + 1 bytes, shorter and so more often equal by chance.
+    A larger v samples less but makes the tuples, of length - v + 1 symbols, shorter and so more often equal by chance.
 
     The points of a projective plane over the prime q, as powers of a root of a cubic; those in one line are D.
     """
-    primes = [q for q in range(2, 200) if all(q % k for k in range(2, q)) and 2 * (q * q + q + 1) <= length]
+    primes = [q for q in range(2, 200) if all(q % k for k in range(2, q)) and q * q + q + 1 <= share * length]
     for q in reversed(primes):
         v = q * q + q + 1
         for a in range(q):
@@ -89,6 +94,52 @@ class Text:
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
 
+class Words:
+    """Hashes of the runs of words of one text: A-Z lowered, words between ASCII blanks."""
+
+    def __init__(self, data: bytes):
+        words = data.lower().split()
+        self.n = len(words)
+        self.text = Text(b" ".join(words) + b" ")
+        self.edges = np.r_[0, np.flatnonzero(self.text.data == 32) + 1]
+
+    def names(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Of the `size` words from each position, apart from those of bytes."""
+        a, b = self.edges[at], self.edges[at + size]
+        return mix((self.text.sums[b] - self.text.sums[a]) * self.text.down[a] + _U(0x632BE59BD9B4E019))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What is compared: strings of `length` symbols, the symbols of a text by `of`; across: in another text only."""
+
+    name: str
+    of: Callable
+    length: int
+    v: int
+    residues: tuple[int, ...]
+    across: bool
+
+    @property
+    def short(self) -> int:
+        return self.length - self.v + 1
+
+    @property
+    def long(self) -> int:
+        return self.length + self.v - 1
+
+    def told(self, names: np.ndarray) -> np.ndarray:
+        """Names that a text hands on: each once where only other texts count."""
+        return np.unique(names) if self.across else names
+
+    def starts(self, t) -> int:
+        """Positions of a text where a string of `length` starts."""
+        return max(0, t.n - self.length + 1)
+
+    def samples(self, t, size: int) -> np.ndarray:
+        return samples(t.n, size, self.v, self.residues)
+
+
 def samples(n: int, size: int, v: int, residues) -> np.ndarray:
     """Positions of a text of n bytes in the cover where `size` bytes start."""
     if n < size:
@@ -132,8 +183,7 @@ def _emit(names: dict[int, list[np.ndarray]], ranges: int) -> pa.RecordBatch:
         every.append(np.repeat(found, np.minimum(counts, 2)))
         grps.append(np.full(len(every[-1]), group, np.int32))
     name, grp = np.concatenate(every), np.concatenate(grps)
-    edges = np.array([(k << 64) // ranges for k in range(ranges)], _U)
-    part = np.searchsorted(edges, name, side="right") - 1
+    part = ((name >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
     order = np.lexsort((grp, part))
     name, grp, part = name[order], grp[order], part[order]
     cuts = np.searchsorted(part, np.arange(ranges + 1))
@@ -211,17 +261,16 @@ def _inside(names: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == names
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-OPEN = "text binary, known binary, emit binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
 
-def _result(doc_id, data: bytes, mask: np.ndarray | None, length: int) -> list:
+def _result(doc_id, data: bytes, mask: np.ndarray | None, length: int, passages: int = 0) -> list:
     """Counts and digest of a text whose repeated positions are known."""
     if mask is None or not mask.any():
-        return [doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest()]
+        return [doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), passages]
     gone = spread(np.flatnonzero(mask), 0, length, len(data))
     left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    return [doc_id, len(data), int(gone.sum()), len(runs(gone)) // 2, hashlib.sha256(left).hexdigest()]
+    return [doc_id, len(data), int(gone.sum()), len(runs(gone)) // 2, hashlib.sha256(left).hexdigest(), passages]
 
 
 def _frame(rows: list, schema: str) -> pd.DataFrame:
@@ -233,16 +282,55 @@ def _frame(rows: list, schema: str) -> pd.DataFrame:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
+def _near(unit: Unit, t, names: np.ndarray) -> np.ndarray:
+    """Round 1: edges of the positions near a sample with a repeated name."""
+    at = unit.samples(t, unit.short) if unit.starts(t) else ()
+    if not len(at) or not len(names):
+        return np.zeros(0, np.int64)
+    at = at[_inside(t.names(at, unit.short), names)]
+    return runs(spread(at, unit.v - 1, 1, unit.starts(t)))
+
+
+def _open_samples(unit: Unit, t, emit: np.ndarray) -> np.ndarray:
+    """Samples whose long tuple lies in the text and whose v positions are all open."""
+    at = unit.samples(t, unit.long)
+    before = np.r_[0, np.cumsum(emit)]
+    return at[before[at + unit.v] - before[at] == unit.v]
+
+
+def _settled(unit: Unit, t, emit: np.ndarray, names: np.ndarray, least: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Round 2: edges of the positions now known to repeat, and of those that are still to be named."""
+    n = unit.starts(t)
+    known = np.zeros(n, bool)
+    if len(names):
+        at = _open_samples(unit, t, emit)
+        own = t.names(at, unit.long)
+        hit = _inside(own, names)
+        at, own = at[hit], own[hit]
+        known = spread(at, 0, unit.v, n)
+        # the least occurrence: this group is the first with the name, and meets it for the first time
+        lead = np.zeros(len(at), bool)
+        if len(least):
+            where = np.minimum(np.searchsorted(least, own), len(least) - 1)
+            _, firsts = np.unique(own, return_index=True)
+            lead[firsts] = True
+            lead &= (least[where] == own) & ~used[where]
+            used[where[lead]] = True
+        emit = emit & ~spread(at[~lead], 0, unit.v, n)
+    return runs(known), runs(emit)
+
+
+def dedup(docs: DataFrame, length: int = 400, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words of each row.
 
     A byte goes when it lies in a string of `length` bytes that also starts anywhere else, in the same text or another,
     judged on the input. Texts shorter than that, null and empty ones (no bytes) lose nothing. Rows that repeat a text
-    are repeats of each other in whole. Other columns are ignored.
+    are repeats of each other in whole. Other columns are ignored. n_passage_words only tells: the words that lie in a run
+    of `words` words (A-Z lowered, blanks alike) which also stands in another row; no byte goes for it.
     """
     spark = docs.sparkSession
-    v, residues = cover(length)
-    short, long = length - v + 1, length + v - 1
+    units = (Unit("bytes", Text, length, *cover(length), False), Unit("words", Words, words, *cover(words, 0.7), True))
+    opened = ", ".join(f"{u.name}_known binary, {u.name}_emit binary" for u in units)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(4, -(-n_bytes // GROUP_BYTES))
@@ -251,85 +339,78 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     def ranges(n: float) -> int:
         return int(max(4, -(-n // RANGE_NAMES)))
 
-    rows = texts.select("grp", "text").mapInArrow(_name_rows(ranges(n_bytes * len(residues) / v), lambda r: Text(r["text"]).names(samples(len(r["text"]), short, v, residues), short) if len(r["text"]) >= length else ()), NAMES)
-    hot = repeated(rows)
+    def sampled(n: float) -> float:
+        """Samples of n bytes of text, a word taken as six."""
+        return sum(n * len(u.residues) / u.v / (6 if u.across else 1) for u in units)
+
+    def first_names(r):
+        found = [(u, u.of(r["text"])) for u in units if len(r["text"]) >= min(length, 2 * words - 1)]
+        return np.concatenate([np.zeros(0, _U), *(u.told(t.names(u.samples(t, u.short), u.short)) for u, t in found if u.starts(t))])
+
+    hot = repeated(texts.select("grp", "text").mapInArrow(_name_rows(ranges(sampled(n_bytes)), first_names), NAMES))
 
     def near(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, out = _joined(found["hot"]), []
         for doc_id, text in zip(own["doc_id"], own["text"]):
-            mask = None
-            if len(text) >= length and len(names):
-                at = samples(len(text), short, v, residues)
-                at = at[_inside(Text(text).names(at, short), names)]
-                if len(at):
-                    mask = spread(at, v - 1, 1, len(text) - length + 1)
-            out.append([*_result(doc_id, text, None, length), text, b"", runs(mask).tobytes()] if mask is not None else [*_result(doc_id, text, None, length), None, None, None])
-        return _frame(out, f"{RESULT}, {OPEN}").assign(grp=key[0])
-
-    schema = f"{RESULT}, {OPEN}, grp long"
-    first = cut(hot.groupBy("grp").cogroup(texts.groupBy("grp")).applyInPandas(near, schema), "dedup-1")
+            edges = [_near(u, u.of(text), names) if len(names) and len(text) >= min(length, 2 * words - 1) else () for u in units]
+            held = [text, *(x for e in edges for x in (b"", np.asarray(e, np.int64).tobytes()))] if any(map(len, edges)) else [None] * (1 + 2 * len(units))
+            out.append([*(_result(doc_id, text, None, length) if held[0] is None else [doc_id, *[None] * 5]), *held])
+        return _frame(out, f"{RESULT}, text binary, {opened}").assign(grp=key[0])
+
+    first = cut(hot.groupBy("grp").cogroup(texts.groupBy("grp")).applyInPandas(near, f"{RESULT}, text binary, {opened}, grp long"), "dedup-1")
     forget(spark)
-    done, left = first.filter("text is null"), first.filter("text is not null").select("doc_id", "text", "emit", "grp")
+    state = [c.split()[0] for c in opened.split(", ")]
+    done, left = first.filter("text is null"), first.filter("text is not null").select("doc_id", "text", "grp", *state)
 
-    def long_samples(r) -> tuple[Text, np.ndarray]:
-        """Of a candidate text: samples whose long tuple lies in the text and whose v positions are all open."""
-        n = len(r["text"])
-        at = samples(n, long, v, residues)
-        before = np.r_[0, np.cumsum(masked(r["emit"], n - length + 1))]
-        return Text(r["text"]), at[before[at + v] - before[at] == v]
+    def open_texts(r):
+        """Of a candidate text: each unit that has open positions, its symbols and the mask of those positions."""
+        for u in units:
+            if len(r[f"{u.name}_emit"]):
+                t = u.of(r["text"])
+                yield u, t, masked(r[f"{u.name}_emit"], u.starts(t))
 
     def long_names(r):
-        t, at = long_samples(r)
-        return t.names(at, long)
+        return np.concatenate([np.zeros(0, _U), *(u.told(t.names(_open_samples(u, t, emit), u.long)) for u, t, emit in open_texts(r))])
 
     spans = left.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = left.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(spans * len(residues) / v), long_names), NAMES)
+    rows = left.select("grp", "text", *state).mapInArrow(_name_rows(ranges(sampled(spans)), long_names), NAMES)
 
     def settle(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, least = _joined(found["hot"]), _joined(found["least"])
         used = np.zeros(len(least), bool)
         out = []
         for r in own.to_dict("records"):
-            n = len(r["text"]) - length + 1
-            emit = masked(r["emit"], n)
-            known = np.zeros(n, bool)
-            if len(names):
-                t, at = long_samples(r)
-                own_names = t.names(at, long)
-                hit = _inside(own_names, names)
-                at, own_names = at[hit], own_names[hit]
-                known = spread(at, 0, v, n)
-                # the least occurrence: this group is the first with the name, and meets it for the first time
-                lead = np.zeros(len(at), bool)
-                if len(least):
-                    where = np.minimum(np.searchsorted(least, own_names), len(least) - 1)
-                    may = (least[where] == own_names) & ~used[where]
-                    _, firsts = np.unique(own_names, return_index=True)
-                    lead[firsts] = True
-                    lead &= may
-                    used[where[lead]] = True
-                emit &= ~spread(at[~lead], 0, v, n)
-            out.append([r["doc_id"], r["text"], runs(known).tobytes(), runs(emit).tobytes()])
-        return _frame(out, f"doc_id long, {OPEN}").assign(grp=key[0])
-
-    second = cut(repeated(rows).groupBy("grp").cogroup(left.groupBy("grp")).applyInPandas(settle, f"doc_id long, {OPEN}, grp long"), "dedup-2")
+            for u, t, emit in open_texts(r):
+                known, emit = _settled(u, t, emit, names, least, used)
+                r |= {f"{u.name}_known": known.tobytes(), f"{u.name}_emit": emit.tobytes()}
+            out.append([r["doc_id"], r["text"], *(r[c] for c in state)])
+        return _frame(out, f"doc_id long, text binary, {opened}").assign(grp=key[0])
+
+    second = cut(repeated(rows).groupBy("grp").cogroup(left.groupBy("grp")).applyInPandas(settle, f"doc_id long, text binary, {opened}, grp long"), "dedup-2")
     forget(spark)
 
     def last_names(r):
-        n = len(r["text"]) - length + 1
-        return Text(r["text"]).names(np.flatnonzero(masked(r["emit"], n)), length)
+        return np.concatenate([np.zeros(0, _U), *(u.told(t.names(np.flatnonzero(emit), u.length)) for u, t, emit in open_texts(r))])
 
     open_bytes = second.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = second.select("grp", "text", "emit").mapInArrow(_name_rows(ranges(open_bytes / 2), last_names), NAMES)
+    rows = second.select("grp", "text", *state).mapInArrow(_name_rows(ranges(open_bytes / 2), last_names), NAMES)
 
     def finish(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, out = _joined(found["hot"]), []
         for r in own.to_dict("records"):
-            n = len(r["text"]) - length + 1
-            mask, emit = masked(r["known"], n), masked(r["emit"], n)
-            at = np.flatnonzero(emit & ~mask)
-            mask[at[_inside(Text(r["text"]).names(at, length), names)]] = True
-            out.append(_result(r["doc_id"], r["text"], mask, length))
+            mask, passages = None, 0
+            for u in units:
+                if not len(r[f"{u.name}_known"]) and not len(r[f"{u.name}_emit"]):
+                    continue
+                t = u.of(r["text"])
+                got, emit = (masked(r[f"{u.name}_{x}"], u.starts(t)) for x in ("known", "emit"))
+                at = np.flatnonzero(emit & ~got)
+                got[at[_inside(t.names(at, u.length), names)]] = True
+                if u.across:
+                    passages = int(spread(np.flatnonzero(got), 0, u.length, t.n).sum())
+                else:
+                    mask = got
+            out.append(_result(r["doc_id"], r["text"], mask, length, passages))
         return _frame(out, RESULT)
 
     rest = repeated(rows).groupBy("grp").cogroup(second.groupBy("grp")).applyInPandas(finish, RESULT)
