@@ -124,6 +124,76 @@ def test_disclosing_terms(spark):
     assert "Zaphod" not in out[0] and "[email]" in out[0] and out[50] == texts[50]
 
 
+def terms_by_hand(texts):
+    """Kind of each disclosing term, from counts of all pairs in plain Python."""
+    import collections
+    import math
+
+    word = re.compile(r"[^\W_]+")
+    contexts, rows = collections.defaultdict(set), collections.defaultdict(set)
+    places, alone = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        spans = [(k, a, b) for k, a, b in plain_spans(t or "")]
+        for kind, a, b in spans:
+            value = t[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", t[a:b])
+            good = [m for m in word.finditer(t) if not any(m.start() < y and x < m.end() for _, x, y in spans)]
+            near = frozenset(m[0].lower() for m in [*[m for m in good if m.end() <= a][-40:], *[m for m in good if m.start() >= b][:40]])
+            e = kind, value
+            places[e].add(near)
+            alone[e].add(i)
+            for w in near:
+                contexts[e, w].add(near)
+                rows[e, w].add(i)
+    n, best = len(texts), {}
+    held = [{w.lower() for w in word.findall(t or "")} for t in texts]
+    capital = [{w.lower() for w in word.findall(t or "") if w[0].isupper()} for t in texts]
+    for (e, w), c in contexts.items():
+        both, docs = len(rows[e, w]), sum(w in h for h in held)
+        k = min(both, len(c))
+        if k < 2 or len(alone[e]) >= n:
+            continue
+        p = math.comb(len(places[e]), k) * math.perm(docs, k) / math.perm(n, k)
+        if p * sum(x == e for x, _ in contexts) <= 0.01:
+            best[w] = max(best.get(w, 0), 1 - math.log(both / docs) / math.log(len(alone[e]) / n))
+    return {w: "" if s >= 0.95 else "id" if re.search("[0-9]", w) else "name" if 2 * sum(w in c for c in capital) > sum(w in h for h in held) else "word" for w, s in best.items() if s >= 0.85}
+
+
+def test_terms_equal_all_pairs(spark):
+    """Planted terms of entities with two to four mentions, and everything else, against counts of all pairs."""
+    from tidelane.llm.pii import find, redact
+
+    rng = random.Random(17)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(900)]
+    texts = [" ".join(rng.choices(filler, k=rng.randint(1, 120))) for _ in range(400)]
+    planted = []
+    for e in range(20):
+        name, value = f"{'Xy' if e % 2 else 'x9'}{filler[e]}q", f"p{e}@mail.example.com" if e % 3 else f"10.{e}.7.9"
+        planted.append(name.lower())
+        for i in rng.sample(range(400), 2 + e % 3):
+            w = texts[i].split()
+            at = rng.randint(0, len(w))
+            texts[i] = " ".join([*w[:at], name, *rng.choices(filler, k=rng.randint(0, 30)), value, *w[at:]])
+        if e % 4 < 2:
+            texts[rng.randrange(400)] += f" {name}"
+    texts += [texts[0]] * 9 + ["Copied note of one@mail.example.com"] * 30 + [None, "", "word " * 3000, "z" * 100 + " 1.2.3.4 a", "z" * 100 + " 1.2.3.4 b"]
+    want = terms_by_hand(texts)
+    assert len(set(planted) & set(want)) >= 18 and {"", "id", "name"} <= set(want.values())
+    df = spark.createDataFrame([(i, t, 1, "x", None) for i, t in enumerate(texts)], "doc_id long, text string, told int, key string, term string").repartition(3)
+    got = {r["doc_id"]: r for r in find(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact(df).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t or "")
+        terms = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t or "") if m[0].lower() in want and not any(m.start() < b and a < m.end() for _, a, b in base)]
+        order = ["email", "ip", "card", "phone", "term"]
+        spans = sorted([(a, order.index(k), b) for k, a, b in base] + [(a, 4, b) for a, b in terms])
+        assert got[i]["spans"] == ",".join(f"{order[k]}:{a}:{b}" for a, k, b in spans)
+        assert (got[i]["n_terms"], got[i]["n_found"]) == (len(terms), len(base))
+        for a, b in terms:
+            assert t is not None and not re.search(rf"(?<![^\W_]){t[a:b]}(?![^\W_])", clean[i])
+    assert {c: str(redact(df).schema[c].dataType) for c in df.columns} == {c: str(df.schema[c].dataType) for c in df.columns}
+    assert find(df.filter("text is null")).count() == 1
+
+
 def test_language(spark, sf_dir):
     from tidelane.llm.language_id import identify
 

@@ -1,21 +1,28 @@
 """Personal data: patterns for the plain kinds, and corpus co-occurrence for terms that give a protected entity away.
 
-An entity is one value of a plain kind (an address, a number). Terms near its mentions are counted with it; a term t
-discloses an entity e by PMI(t; e) / IC(e) = 1 - log P(e|t) / log P(e), the share of the entity's information that
-the term reveals. Terms over the upper threshold are removed, over the lower one generalised. A term must stand in several
-different contexts of the entity, so copies of one text prove nothing.
+An entity is one value of a plain kind (an address, a number). Every term that stands within AROUND words of one of its
+mentions is counted with it, over all documents; a term t discloses an entity e by
+PMI(t; e) / IC(e) = 1 - log P(e|t) / log P(e), the share of the entity's information that the term reveals. The share is
+taken only where the co-occurrence is no accident: t must stand in so many different contexts of e that chance would give
+them, by the hypergeometric distribution and over all terms of e, with a probability of at most CHANCE. Contexts with the
+same terms count once, so copies of one text prove nothing, and one context alone never tells. Terms over the upper
+threshold are removed; those over the lower one are generalised to their class: an id (with a digit), a name (written with
+a capital in most texts that have it) or a word.
 """
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, released
+from .common import cut, free, released
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,9 +30,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{4,40}(?![^\W\d_])")
-AROUND = 60  # characters on each side of a mention whose terms are counted with it
-CONTEXTS = 3  # different contexts that a term must stand in
+_TERM = re.compile(r"[^\W_]+")
+AROUND = 40  # words on each side of a mention that are counted with it
+CHANCE = 0.01  # that an entity without any disclosing term gets one
+LONG = 64  # a term of more characters is known by its hash
+ROWS = 50_000  # rows that a task gathers before it hands them on
 REMOVE, GENERALISE = 0.95, 0.85
 BROADCAST_TERMS = 200_000
 
@@ -74,32 +83,63 @@ def written(spans, names=(*KINDS, "term")) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def key_of(term: str) -> str:
+    """A term in lower case, or its hash where it is very long."""
+    term = term.lower()
+    return term if len(term) <= LONG else f"\0{hashlib.sha256(term.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def mentions(text: str) -> Iterator[tuple[str, set[str]]]:
+    """Entity and surrounding terms of each mention in a text; terms that touch a base span do not count."""
+    spans = base_spans(text)
+    if not spans:
+        return
+    found, k = [], 0
+    busy = sorted((a, b) for a, _, b in spans)
+    reach = np.maximum.accumulate([b for _, b in busy]).tolist()
+    for m in _TERM.finditer(text):
+        while k < len(busy) and reach[k] <= m.start():
+            k += 1
+        if not (k < len(busy) and busy[k][0] < m.end()):
+            found.append((m.start(), m.end(), key_of(m[0])))
+    starts, ends = [x[0] for x in found], [x[1] for x in found]
+    for a, kind, b in spans:
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        value = text[a:b].lower() if kind == 0 else _digits(text[a:b])
+        yield f"{KINDS[kind]}:{value}", {x[2] for x in (*found[max(0, before - AROUND) : before], *found[after : after + AROUND])}
+
+
 def contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, entity, term, context: the terms near each mention, and the empty term for the mention itself.
+    """entity, term, context, docs: the terms near each mention, and the empty term for the mention itself.
 
-    Terms that the window cuts or that lie in the mention do not count. A context is known by its set of terms.
+    A context is known by its set of terms. Counted per batch; docs are the rows in which this is the first context.
     """
 
-    @F.pandas_udf("array<struct<entity: long, term: string, context: long>>")
-    def near(s: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        out = []
-        for text in s.fillna(""):
-            rows = {}
-            for a, k, b in base_spans(text):
-                value = text[a:b].lower() if k == 0 else _digits(text[a:b])
-                entity = xxhash.xxh3_64_intdigest(f"{KINDS[k]}:{value}") - (1 << 63)
-                lo, hi = max(0, a - AROUND), min(len(text), b + AROUND)
-                terms = {m[0].lower() for m in _TERM.finditer(text, lo, a) if m.start() > lo or not lo}
-                terms |= {m[0].lower() for m in _TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text)}
-                context = xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - (1 << 63)
-                for t in ("", *terms):
-                    rows[entity, t, context] = {"entity": entity, "term": t, "context": context}
-            out.append(list(rows.values()))
-        return pd.Series(out)
+        def sign(x: str) -> int:
+            return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode(near("text")).alias("x")).select("doc_id", "x.*")
+        def frame(n: Counter) -> pd.DataFrame:
+            out = pd.DataFrame([(*k, v) for k, v in n.items()], columns=["entity", "term", "context", "docs"])
+            return out.astype({"entity": "int64", "term": object, "context": "int64", "docs": "int64"})
+
+        for x in batches:
+            n: Counter[tuple[int, str, int]] = Counter()
+            for text in x["text"].fillna(""):
+                met = set()
+                for entity, terms in mentions(text):
+                    e, context = sign(entity), sign(" ".join(sorted(terms)))
+                    for t in ("", *terms):
+                        n[e, t, context] += (e, t) not in met
+                        met.add((e, t))
+                    if len(n) > ROWS:
+                        yield frame(n)
+                        n.clear()
+            yield frame(n)
+
+    return docs.select("text").mapInPandas(run, "entity long, term string, context long, docs long")
 
 
 def terms_of(text: Column) -> Column:
@@ -107,113 +147,146 @@ def terms_of(text: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def found(s: pd.Series) -> pd.Series:
-        return pd.Series([list(set(_TERM.findall(t.lower()))) for t in s.fillna("")])
+        return pd.Series([list(set(map(key_of, _TERM.findall(t)))) for t in s.fillna("")])
 
     return found(text)
 
 
+def _keys(text: str) -> set[str]:
+    words = set(_TERM.findall(text.lower()))
+    return {w if len(w) <= LONG else key_of(w) for w in words}
+
+
 def frequencies(docs: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """term, docs: in how many texts each term stands, or each of `only`; a batch of texts is summed before the shuffle."""
+    """term, docs, capital: in how many texts each term stands, or each of `only`, and in how many with a capital; a batch
+    of texts is summed before the shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = held.value
         for x in batches:
             n: Counter[str] = Counter()
+            big: Counter[str] = Counter()
             for t in x["text"].fillna(""):
-                words = set(_TERM.findall(t.lower()))
-                n.update(words if wanted is None else words & wanted)
-            yield pd.DataFrame({"term": list(n), "docs": list(n.values())}).astype({"term": object, "docs": "int64"})
+                words = _keys(t) if wanted is None else _keys(t) & wanted
+                if words:
+                    n.update(words)
+                    big.update({key_of(w) for w in _TERM.findall(t) if w[0].isupper()} & words)
+            yield pd.DataFrame({"term": list(n), "docs": list(n.values()), "capital": [big[t] for t in n]}).astype({"term": object, "docs": "int64", "capital": "int64"})
         released()
 
-    return docs.select("text").mapInPandas(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    counted = docs.select("text").mapInPandas(run, "term string, docs long, capital long")
+    return counted.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("capital").alias("capital"))
+
+
+def log_chance(contexts: float, both: float, docs: float, n: float) -> float:
+    """Logarithm of a bound on the chance that a term of `docs` of n texts stands in `both` of an entity's contexts:
+    ways to choose them, times the chance that all chosen have the term."""
+    if both > docs:
+        return -math.inf
+    g = math.lgamma
+    ways = g(contexts + 1) - g(both + 1) - g(contexts - both + 1)
+    return ways + g(docs + 1) - g(docs - both + 1) - g(n + 1) + g(n - both + 1)
 
 
 def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """term, removed: the terms that disclose an entity of the corpus.
+    """term, kind: the terms that disclose an entity of the corpus; kind is their class, empty where they are removed.
 
     Co-occurrence is counted over all documents, combined per entity and term before anything is joined. The frequency of
     candidate terms is counted over all texts: with the candidates sent to each worker while they are at most
     BROADCAST_TERMS, beyond that by a join on the term.
     """
-    near = contexts(docs).groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("both"), F.countDistinct("context").alias("contexts"))
-    met = cut(near.filter((F.col("term") == "") | (F.col("contexts") >= CONTEXTS)), "pii-pairs")
-    pairs = met.filter("term != ''").join(met.filter("term = ''").select("entity", F.col("both").alias("alone")), "entity")
+    once = contexts(docs).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
+    near = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts")), "pii-pairs")
+    mention = F.col("term") == ""
+    entities = near.groupBy("entity").agg(F.max(F.when(mention, F.col("both"))).alias("alone"), F.max(F.when(mention, F.col("contexts"))).alias("places"), F.count_if(~mention).alias("terms"))
+    seen_with = F.least("both", "contexts")
+    pairs = near.filter(~mention & (seen_with >= 2)).withColumn("evidence", seen_with).join(entities, "entity")
     wanted = pairs.select("term").distinct()
     few = [r[0] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
     if not few:
-        return pairs.select("term", F.lit(True).alias("removed"))
+        return pairs.select("term", F.lit("").alias("kind"))
     seen = frequencies(docs, frozenset(few) if len(few) <= BROADCAST_TERMS else None)
     n = docs.count()
+
+    @F.pandas_udf("double")
+    def chance(places: pd.Series, evidence: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([log_chance(a, b, d, n) for a, b, d in zip(places, evidence, texts)], dtype="float64")
+
     given = F.log(F.least(F.col("both") / F.col("docs"), F.lit(1.0)))
     share = 1 - given / F.log(F.col("alone") / F.lit(float(n)))
-    told = pairs.join(seen, "term").filter(F.col("alone") < n).withColumn("share", share)
-    best = told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
-    return best.select("term", (F.col("share") >= remove).alias("removed"))
+    told = pairs.join(seen, "term").filter(F.col("alone") < n)
+    told = told.filter(chance("places", "evidence", "docs") + F.log("terms") <= math.log(CHANCE)).withColumn("share", share)
+    best = told.groupBy("term").agg(F.max("share").alias("share"), F.first("docs").alias("docs"), F.first("capital").alias("capital")).filter(F.col("share") >= generalise)
+    kind = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "id").when(2 * F.col("capital") > F.col("docs"), "name").otherwise("word")
+    return best.select("term", kind.alias("kind"))
 
 
 def with_terms(docs: DataFrame, terms: DataFrame):
-    """docs with `told`, and a broadcast dictionary: together the disclosing terms of each text, a '-' before removed ones.
+    """docs, the name of a column added to it, and a broadcast dictionary: together the disclosing terms of each text.
 
-    While the terms are at most BROADCAST_TERMS they are all in the dictionary, and the function that takes it looks for
-    them, so a text passes one Python worker only; beyond that told holds them and the dictionary is empty.
+    A term is written kind:term. While the terms are at most BROADCAST_TERMS they are all in the dictionary, and the
+    function that takes it looks for them, so a text passes one Python worker only; beyond that the column holds them and
+    the dictionary is empty.
     """
+    told, key = free(docs, "told"), free(docs, "key")
     terms = cut(terms, "pii-terms")
     few = terms.limit(BROADCAST_TERMS + 1).collect()
-    marks = {r["term"]: ("-" if r["removed"] else "+") + r["term"] for r in few} if len(few) <= BROADCAST_TERMS else {}
+    marks = {r["term"]: f"{r['kind']}:{r['term']}" for r in few} if len(few) <= BROADCAST_TERMS else {}
     held = docs.sparkSession.sparkContext.broadcast(marks)
     if len(few) <= BROADCAST_TERMS:
-        return docs.withColumn("told", F.lit(None).cast("array<string>")), held
-    marked = terms.select("term", F.concat(F.when(F.col("removed"), "-").otherwise("+"), "term").alias("mark"))
-    pairs = docs.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term")).distinct().join(marked, "term")
-    lists = pairs.groupBy("key").agg(F.collect_list("mark").alias("told"))  # at most the terms of one text
-    return docs.withColumn("key", F.xxhash64("text")).join(lists, "key", "left").drop("key"), held
+        return docs.withColumn(told, F.lit(None).cast("array<string>")), told, held
+    marked = terms.select("term", F.concat_ws(":", "kind", "term").alias("mark"))
+    pairs = docs.select(F.xxhash64("text").alias(key), F.explode(terms_of(F.col("text"))).alias("term")).distinct().join(marked, "term")
+    lists = pairs.groupBy(key).agg(F.collect_list("mark").alias(told))  # at most the terms of one text
+    return docs.withColumn(key, F.xxhash64("text")).join(lists, key, "left").drop(key), told, held
 
 
-def _told(text: str | None, told, marks: dict[str, str]):
-    if not marks or not text:
-        return told
-    return [marks[w] for w in set(_TERM.findall(text.lower())) if w in marks]
+def _told(text: str | None, told, marks: dict[str, str]) -> dict[str, str]:
+    """Kind of each disclosing term of a text."""
+    found = (told if told is not None else ()) if not marks or not text else [marks[w] for w in _keys(text) if w in marks]
+    return {t: kind for kind, _, t in (x.partition(":") for x in found)}
 
 
-def all_spans(text: str, told) -> list[tuple[int, int, int]]:
-    """Base spans and those of disclosing terms, which lie in no base span."""
+def all_spans(text: str, told: dict[str, str]) -> list[tuple[int, int, int]]:
+    """Base spans and those of disclosing terms, which touch no base span."""
     spans = base_spans(text)
-    if told is None or not len(told):
+    if not told:
         return spans
-    words = {t[1:] for t in told}
-    taken = sorted((a, b) for a, _, b in spans)
+    busy = sorted((a, b) for a, _, b in spans)
+    reach = np.maximum.accumulate([b for _, b in busy]).tolist() if busy else []
     out, k = list(spans), 0
     for m in _TERM.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
+        while k < len(busy) and reach[k] <= m.start():
             k += 1
-        if m[0].lower() in words and not (k < len(taken) and taken[k][0] < m.end()):
+        if key_of(m[0]) in told and not (k < len(busy) and busy[k][0] < m.end()):
             out.append((m.start(), 4, m.end()))
     return sorted(out)
 
 
-def redacted(text: str, told) -> str:
-    """The text with plain kinds replaced by their names, removed terms left out and generalised ones as [term]."""
-    removed = {t[1:] for t in told if t[0] == "-"} if told is not None else set()
+def redacted(text: str, told: dict[str, str]) -> str:
+    """The text with plain kinds replaced by their names, removed terms left out and generalised ones by their class."""
     out, at = [], 0
     for a, k, b in all_spans(text, told):
         if a < at:  # inside or across the one before, which is replaced already
             at = max(at, b)
             continue
-        out += [text[at:a], f"[{(*KINDS, 'term')[k]}]" if k < 4 or text[a:b].lower() not in removed else ""]
+        name = KINDS[k] if k < 4 else told[key_of(text[a:b])]
+        out += [text[at:a], f"[{name}]" if name else ""]
         at = b
     return "".join([*out, text[at:]])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms of each row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_found of each row.
 
-    Offsets are code points. Null and empty texts have no spans, so base_sha256 is that of the empty string. Repeated rows
-    are judged each for itself; other columns are ignored.
+    Offsets are code points; n_found counts the spans of the plain kinds. Null and empty texts have no spans, so
+    base_sha256 is that of the empty string. Repeated rows are judged each for itself, and are one context of their
+    entities; other columns are ignored. An empty table gives no rows. A term at a threshold exactly counts as over it.
     """
     own = docs.select("doc_id", "text")
-    marked, held = with_terms(own, disclosing(own))
-    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
+    marked, column, held = with_terms(own, disclosing(own))
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, n_found long"
 
     @F.pandas_udf(schema)
     def found(s: pd.Series, told: pd.Series) -> pd.DataFrame:
@@ -222,19 +295,19 @@ def find(docs: DataFrame) -> DataFrame:
             spans = all_spans(text, _told(text, t, held.value))
             base = [x for x in spans if x[1] < 4]
             kinds = [x[1] for x in base]
-            rows.append((*map(kinds.count, range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans) - len(base)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"])
+            rows.append((*map(kinds.count, range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans) - len(base), len(base)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return marked.select("doc_id", found("text", "told").alias("x")).select("doc_id", "x.*")
+    return marked.select("doc_id", found("text", column).alias("x")).select("doc_id", "x.*")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """All columns of docs, with text sanitised; a null text stays null."""
     columns = docs.columns
-    marked, held = with_terms(docs, disclosing(docs))
+    marked, column, held = with_terms(docs, disclosing(docs))
 
     @F.pandas_udf("string")
     def clean(s: pd.Series, told: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else redacted(x, _told(x, t, held.value)) for x, t in zip(s, told)], dtype=object)
 
-    return marked.withColumn("text", clean("text", "told")).select(*columns)
+    return marked.withColumn("text", clean("text", column)).select(*columns)
