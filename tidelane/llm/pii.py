@@ -112,7 +112,8 @@ def mentions(text: str) -> Iterator[tuple[str, set[str]]]:
 def contexts(docs: DataFrame) -> DataFrame:
     """entity, term, context, docs: the terms near each mention, and the empty term for the mention itself.
 
-    A context is known by its set of terms. Counted per batch; docs are the rows in which this is the first context.
+    A context is known by its set of terms. Counted per batch; docs are the rows in which this is the first context. With
+    a null entity, docs are the rows in which the term stands near any mention.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,10 +124,10 @@ def contexts(docs: DataFrame) -> DataFrame:
 
         def frame(n: Counter) -> pd.DataFrame:
             out = pd.DataFrame([(*k, v) for k, v in n.items()], columns=["entity", "term", "context", "docs"])
-            return out.astype({"entity": "int64", "term": object, "context": "int64", "docs": "int64"})
+            return out.astype({"entity": "Int64", "term": object, "context": "int64", "docs": "int64"})
 
         for x in batches:
-            n: Counter[tuple[int, str, int]] = Counter()
+            n: Counter[tuple[int | None, str, int]] = Counter()
             for text in x["text"].fillna(""):
                 met = set()
                 for entity, terms in mentions(text):
@@ -134,6 +135,9 @@ def contexts(docs: DataFrame) -> DataFrame:
                     for t in ("", *terms):
                         n[e, t, context] += (e, t) not in met
                         met.add((e, t))
+                        if t and (None, t) not in met:
+                            met.add((None, t))
+                            n[None, t, 0] += 1
                     if len(n) > ROWS:
                         yield frame(n)
                         n.clear()
@@ -197,26 +201,30 @@ def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
     BROADCAST_TERMS, beyond that by a join on the term.
     """
     once = contexts(docs).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
-    near = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts")), "pii-pairs")
-    mention = F.col("term") == ""
+    met = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts")), "pii-pairs")
+    near, mention, n = met.filter("entity is not null"), F.col("term") == "", docs.count()
     entities = near.groupBy("entity").agg(F.max(F.when(mention, F.col("both"))).alias("alone"), F.max(F.when(mention, F.col("contexts"))).alias("places"), F.count_if(~mention).alias("terms"))
     seen_with = F.least("both", "contexts")
-    pairs = near.filter(~mention & (seen_with >= 2)).withColumn("evidence", seen_with).join(entities, "entity")
+    pairs = near.filter(~mention & (seen_with >= 2)).withColumn("evidence", seen_with).join(entities, "entity").filter(F.col("alone") < n)
+
+    def share(texts: str) -> Column:
+        """Of the entity's information that a term in so many texts reveals."""
+        return 1 - F.log(F.least(F.col("both") / F.col(texts), F.lit(1.0))) / F.log(F.col("alone") / F.lit(float(n)))
+
+    # a term stands in no fewer texts than near mentions, which bounds its share from above: frequent words go here
+    pairs = pairs.join(met.filter("entity is null").select("term", F.col("both").alias("least")), "term").filter(share("least") >= generalise)
+    pairs = cut(pairs, "pii-candidates")
     wanted = pairs.select("term").distinct()
     few = [r[0] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
     if not few:
         return pairs.select("term", F.lit("").alias("kind"))
     seen = frequencies(docs, frozenset(few) if len(few) <= BROADCAST_TERMS else None)
-    n = docs.count()
 
     @F.pandas_udf("double")
     def chance(places: pd.Series, evidence: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([log_chance(a, b, d, n) for a, b, d in zip(places, evidence, texts)], dtype="float64")
 
-    given = F.log(F.least(F.col("both") / F.col("docs"), F.lit(1.0)))
-    share = 1 - given / F.log(F.col("alone") / F.lit(float(n)))
-    told = pairs.join(seen, "term").filter(F.col("alone") < n)
-    told = told.filter(chance("places", "evidence", "docs") + F.log("terms") <= math.log(CHANCE)).withColumn("share", share)
+    told = pairs.join(seen, "term").filter(chance("places", "evidence", "docs") + F.log("terms") <= math.log(CHANCE)).withColumn("share", share("docs"))
     best = told.groupBy("term").agg(F.max("share").alias("share"), F.first("docs").alias("docs"), F.first("capital").alias("capital")).filter(F.col("share") >= generalise)
     kind = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "id").when(2 * F.col("capital") > F.col("docs"), "name").otherwise("word")
     return best.select("term", kind.alias("kind"))
