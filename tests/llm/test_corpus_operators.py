@@ -133,6 +133,18 @@ def test_containment_equals_all_pairs(spark):
     assert search(df, it.limit(0)).count() == 0 and search(df.limit(0), it).count() == 0 and clean(df, it.limit(0)).count() == len(texts)
 
 
+def test_sketches_are_short_and_rarely_miss():
+    """The chance that a contained item hides, by the binomials, for every size of the first octaves; m levels off."""
+    import math
+
+    from tidelane.llm.decontamination import sketch_size
+
+    for n in range(1, 2000):
+        missed, m = n * 20 // 100, min(n, sketch_size(n.bit_length(), 80))
+        assert math.comb(missed, m) / math.comb(n, m) <= 1e-12
+    assert sketch_size(1, 80) == 1 and all(sketch_size(k, 80) <= 18 for k in range(1, 32))
+
+
 @pytest.mark.parametrize("length", [20, 57, 400])
 def test_dedup_equals_all_substrings(spark, length):
     from tidelane.llm.suffix_dedup import dedup

@@ -72,6 +72,25 @@ def test_packing_holds_every_id_once(spark, sf_dir):
     assert pack(df.limit(0), PATH).count() == 0
 
 
+def test_packing_of_repeated_ids_and_clashing_columns(spark, monkeypatch):
+    """Rows with one doc_id are documents of their own; shards of a few pieces pack as well."""
+    from tidelane.llm import packing
+
+    texts = ["one two", "one two", "x " * 5000, None, "y " * 900, "y " * 900] * 3
+    df = spark.createDataFrame([(7, t, 1, 2, 3, 4) for t in texts], "doc_id long, text string, start int, shard int, sequence_id int, dealt int").repartition(3)
+    sizes = sorted(len(library().encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    for most in (200_000, 1):
+        monkeypatch.setattr(packing, "SHARD_PIECES", most)
+        monkeypatch.setattr(packing, "BROADCAST_SHARDS", 10_000 if most > 1 else 0)
+        pieces = packing.pack(df, PATH).collect()
+        assert sorted(p["doc_tokens"] for p in pieces if p["start"] == 0) == sizes and sum(p["length"] for p in pieces) == sum(sizes)
+        ends = {}
+        for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+            assert p["offset"] == ends.get(p["sequence_id"], 0)
+            ends[p["sequence_id"]] = p["offset"] + p["length"]
+        assert max(ends.values()) <= 2048
+
+
 def plain_spans(text):
     out = []
     for kind, rule in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -224,10 +243,60 @@ def test_cross_parsing_counts_longest_matches():
                     k += 1
                 at, phrases = at + k, phrases + 1
             want.append(phrases)
-        got = model.phrases([plain(text)])[0]
+        got = model.phrases([plain(text)])[0][0]
         assert len(text) < LANE and all(abs(g - w) <= 1 for g, w in zip(got, want))
 
 
+def parsed(text, known, lane):
+    """Phrases of the greedy parse of each lane of a text."""
+    phrases = 0
+    for a in range(0, len(text), lane):
+        t, at = text[a : a + lane], 0
+        while at < len(t):
+            k = 1
+            while at + k < len(t) and any(t[at : at + k + 1] in part for part in known):
+                k += 1
+            at, phrases = at + k, phrases + 1
+    return phrases
+
+
+def test_predictions_equal_plain_parsing(spark):
+    """Whole texts of several lanes, samples of unlike sizes and scripts: phrases, languages and scores by hand."""
+    import math
+
+    from tidelane.llm.language_id import LANE, Model, identify, plain
+
+    rng = random.Random(23)
+    vocab = {k: ["".join(rng.choice(c) for _ in range(rng.randint(2, 7))) for _ in range(150)] for k, c in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "abklmnop"))}
+    speak = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    known = {"aa": [speak("aa", 60) for _ in range(20)], "bb": [speak("bb", 60) for _ in range(20)], "cc": [speak("cc", 60)]}
+    known["zh"] = ["".join(chr(0x4E00 + rng.randrange(4200)) for _ in range(380)) for _ in range(12)]
+    known["ko"] = ["".join(chr(0xAC00 + rng.randrange(1500)) for _ in range(380)) for _ in range(12)]
+    model = Model(known)
+    texts = [(k, speak(k, rng.choice([3, 40, 400]))) for k in ("aa", "bb", "cc") for _ in range(12)]
+    texts += [(k, "".join(rng.choice("".join(known[k])) for _ in range(700))) for k in ("zh", "ko") for _ in range(4)] + [(None, "жук 12"), (None, "!!")]
+    counts, _ = model.phrases([plain(t) for _, t in texts])
+    chars = [set("".join(map(plain, known[k]))) for k in model.languages]
+    sizes = [sum(len(plain(t)) for t in known[k]) for k in model.languages]
+    for (want, t), row, (lang, score) in zip(texts, counts, model.predict([t for _, t in texts])):
+        p = plain(t)
+        assert [parsed(p, [plain(x) for x in known[k]], LANE) for k in model.languages] == list(row)
+        if not p.strip():
+            assert (lang, score) == ("und", 0.0)
+            continue
+        new = [sum(c not in x for c in p) for x in chars]
+        entropy = [((n - k) * math.log(size) + k * math.log(0x110000)) / len(p) for n, size, k in zip(row, sizes, new)]
+        assert lang == model.languages[entropy.index(min(entropy))] and want in (None, lang)
+        assert score == pytest.approx(1 / sum(math.exp(4 * (min(entropy) - e)) for e in entropy))
+    for a in model.automata:
+        assert a.nbytes < 10 << 20
+    assert {a.table is None for a in model.automata} == {True, False}
+    rows = [(i, t, k, "x") for i, (k, t) in enumerate([(k, t) for k, parts in known.items() for t in parts] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = identify(df).collect()
+    assert len(got) == len(rows) and sum(g["lang_pred"] == rows[g["doc_id"]][2] for g in got) >= 0.95 * len(rows)
+
+
 def test_quality_score(spark, sf_dir):
     from tidelane.llm.quality_classifier import score
 
