@@ -24,7 +24,8 @@ from .token_count import BLOCK_CHARS, _loaded, pretokens, split_special
 #: Classes: the documents a sequence takes. Above 32 pieces are so small that coarser steps waste little.
 CLASSES = (*range(1, 33), 40, 48, 64, 96, 128, 256, 512, 1024, 2048)
 SLACK = 12
-SHARDS = 64
+SHARD_PIECES = 200_000  # pieces of a class that one task numbers
+BROADCAST_SHARDS = 10_000
 MEMO = 500_000
 
 
@@ -119,13 +120,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1) -> D
     no rows. Other columns are ignored.
     """
     p = cut_documents(docs, path, capacity, end_id)
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SHARDS)))
-    p = cut(p, "pieces")
+    p = cut(p.withColumn("dealt", F.xxhash64("doc_id", "start", "ids_crc32")), "pieces")
+    # as many shards as the largest class needs, 64 at least: tasks grow with the pieces
+    most = p.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+    shards = max(64, -(-most // SHARD_PIECES))
+    p = p.withColumn("shard", F.pmod("dealt", F.lit(shards))).drop("dealt")
     counts = p.groupBy("class", "shard").count()  # at most classes x shards rows
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("class", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"), F.sum("count").over(Window.partitionBy("class")).alias("all"))
     inside = Window.partitionBy("class", "shard").orderBy("doc_id", "start", "length", "ids_crc32")
-    p = p.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(counts), ["class", "shard"])
+    p = p.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(counts) if shards <= BROADCAST_SHARDS else counts, ["class", "shard"])
     p = p.withColumn("at", F.col("at") + F.col("base"))
     full = F.col("at") < F.col("all") - F.col("all") % F.col("class")
     whole = p.filter(full).withColumn("sequence_id", F.floor(F.col("at") / F.col("class")) * 4096 + F.col("class"))
