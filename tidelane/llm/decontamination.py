@@ -1,10 +1,11 @@
 """Benchmark decontamination: MinHash containment search, in DataFrame operations only.
 
 Items are partitioned by set size (octaves of their shingle count). In a partition each item keeps a bottom sketch: its m
-least shingle hashes, with m set by the partition's largest size so that an item contained to the threshold in a document
-cannot lack more than `missed` of them. Documents are searched whole, however long: all their shingles are looked up among
-the sketches, and a document with enough hits of an item is a candidate. Candidates are verified by exact containment of
-the item's shingle set.
+least shingle hashes. An item that a document contains to the threshold lacks at most `missed` of its n shingles, which of
+them is up to the hash; m is the least number for which the chance that a document lacks all of the sketch is at most
+MISS, so m stays near 17 however large the items, and small items cannot hide at all. Documents are searched whole, however
+long: all their shingles are looked up among the sketches, a document with a hit of an item is a candidate, and candidates
+are verified by exact containment of the item's shingle set.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from .quality_rules import BLANKS
 
 WIDTH = 5
 PERCENT = 80
+MISS = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
 
@@ -36,12 +38,21 @@ def with_shingles(df: DataFrame, width: int) -> DataFrame:
     return d.withColumn("set", shingles).drop("h")
 
 
+def sketch_size(octave: int, percent: int) -> int:
+    """m for items of less than 2^octave shingles: the chance that all m are among the missed ones is at most MISS."""
+    n = (1 << octave) - 1
+    missed, chance, m = n * (100 - percent) // 100, 1.0, 0
+    while chance > MISS:
+        chance *= max(missed - m, 0) / (n - m)
+        m += 1
+    return m
+
+
 def sketches(items: DataFrame, percent: int) -> DataFrame:
-    """item, set, n, missed, sketch of each item; without a word both are empty."""
+    """item, set, n, sketch of each item; without a word both are empty."""
     d = items.withColumn("set", F.sort_array("set")).withColumn("n", F.size("set").cast("long"))
-    largest = F.pow(F.lit(2.0), F.length(F.bin("n"))) - 1
-    d = d.withColumn("missed", F.floor(largest * (100 - percent) / 100))
-    return d.withColumn("sketch", F.slice("set", 1, F.least(F.col("n"), 2 * F.col("missed") + 2).cast("int")))
+    sizes = F.array(*(F.lit(sketch_size(k, percent)) for k in range(1, 32)))
+    return d.withColumn("sketch", F.slice("set", 1, F.least(F.col("n").cast("int"), F.element_at(sizes, F.length(F.bin("n"))))))
 
 
 def search(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -55,13 +66,12 @@ def search(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int =
     wanted = cut(sketches(with_shingles(wanted, width), percent), "items")
     small = wanted.agg(F.sum("n")).first()[0] or 0
     # the sketches go to every task while they are few, else they are joined on the hash
-    marks = wanted.select("item_id", "n", F.size("sketch").alias("m"), "missed", F.explode_outer("sketch").alias("hash"))
+    marks = wanted.select("item_id", F.explode_outer("sketch").alias("hash"))
     marks = F.broadcast(marks) if small <= BROADCAST_ROWS else marks
     # explode_outer: explode would filter on the size of the set, and pushed below the projections that filter would hash
     # all words again for each shingle; null hashes join nothing
     asked = with_shingles(own, width).select("doc_id", F.explode_outer("set").alias("hash")).join(marks, "hash")
-    hits = asked.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("m").alias("m"), F.first("missed").alias("missed"))
-    candidates = cut(hits.filter(F.col("hits") >= F.greatest(F.col("m") - F.col("missed"), F.lit(1))).select("doc_id", "item_id"), "candidates")
+    candidates = cut(asked.select("doc_id", "item_id").distinct(), "candidates")
     ids = candidates.select("doc_id").distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     near = with_shingles(own.join(F.broadcast(ids) if few else ids, "doc_id"), width)
