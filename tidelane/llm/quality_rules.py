@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -108,9 +108,12 @@ def vector(stats: DataFrame) -> DataFrame:
     )
 
 
-def _joined(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("fit",)) -> DataFrame:
+def _few(groups: DataFrame) -> bool:
+    return groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+
+def _joined(rows: DataFrame, groups: DataFrame, few: bool, keys: tuple[str, ...] = ("fit",)) -> DataFrame:
     """Rows with their group's values: sent to every task while the groups are few, else a join that Spark may split."""
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     return rows.join(F.broadcast(groups) if few else groups, list(keys))
 
 
@@ -155,13 +158,13 @@ def _consistent(share: float) -> float:
     return share / _gamma_p(len(VECTOR) / 2 + 1, chi_square(len(VECTOR), share) / 2)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """fit, start, m, l: medians with quartile ranges, with tanh and with spatial-sign covariances; both outer quartiles."""
     middle = rows.groupBy("fit").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, x in enumerate(VECTOR)), F.count("*").alias("n"))
     for i in range(len(VECTOR)):
         middle = middle.withColumn(f"w{i}", F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])))
     middle = cut(middle, "mcd")
-    scaled = _joined(rows, middle)
+    scaled = _joined(rows, middle, few)
     pairs = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
     z = [(F.col(x) - F.col(f"q{i}")[1]) / F.col(f"w{i}") for i, x in enumerate(VECTOR)]
     norm = F.greatest(F.sqrt(sum(v * v for v in z)), F.lit(1e-9))
@@ -169,7 +172,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     # tanh about its mean, signs about the medians; the scale of a start does not matter
     shapes = [F.covar_pop(bent["tanh"][i], bent["tanh"][j]).alias(f"tanh{i}{j}") for i, j in pairs]
     shapes += [F.avg(bent["sign"][i] * bent["sign"][j]).alias(f"sign{i}{j}") for i, j in pairs]
-    known = middle.join(cut(scaled.groupBy("fit").agg(*shapes), "mcd"), "fit")
+    known = middle.join(scaled.groupBy("fit").agg(*shapes), "fit")
 
     def start(name: str, q: int, shape: str | None) -> Column:
         m = [F.col(f"q{i}")[q].alias(f"m{i}") for i in range(len(VECTOR))]
@@ -181,19 +184,21 @@ def _starts(rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("start"), *m, *c)
 
     every = F.array(start("median", 1, None), start("tanh", 1, "tanh"), start("sign", 1, "sign"), start("low", 0, None), start("high", 2, None))
-    return _factored(known.select("fit", "n", F.explode(every).alias("x")).select("fit", "n", "x.*"), ("fit", "n", "start"))
+    out = cut(_factored(known.select("fit", "n", F.explode(every).alias("x")).select("fit", "n", "x.*"), ("fit", "n", "start")), "mcd")
+    drop(middle)
+    return out
 
 
-def _concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """One step: each start's estimate from the rows of its group that lie nearest."""
-    near = _distance(_joined(rows, fit.drop("volume")))
+    near = _distance(_joined(rows, fit.drop("volume"), few))
     dims = len(VECTOR)
     k = F.ceil(((F.col("n") + dims + 1) / (2 * F.col("n")) - SUBSETS[0]) * 200 - F.lit(1e-9)).cast("int")
     k = F.least(F.greatest(k, F.lit(0)), F.lit(len(SUBSETS) - 1)) + 1
     factors = F.array(*(F.lit(_consistent(s)) for s in SUBSETS))
     edge = near.groupBy("fit", "n", "start").agg(F.percentile_approx("d2", list(SUBSETS), 2000).alias("edges"))
-    edge = cut(edge.select("fit", "start", F.element_at("edges", k).alias("edge"), F.element_at(factors, k).alias("factor")), "mcd")
-    kept = _joined(near, edge, ("fit", "start")).filter("d2 <= edge")
+    edge = edge.select("fit", "start", F.element_at("edges", k).alias("edge"), F.element_at(factors, k).alias("factor"))
+    kept = _joined(near, edge, few, ("fit", "start")).filter("d2 <= edge")
     return cut(_factored(kept.groupBy("fit", "n", "start").agg(*_moments(F.first("factor"))), ("fit", "n", "start")), "mcd")
 
 
@@ -203,19 +208,25 @@ def _least(fit: DataFrame, most: int) -> DataFrame:
     return cut(fit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place"), "mcd")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """fit, location m and Cholesky factor l of each group of rows (fit, x0...)."""
-    fit = cut(_starts(rows), "mcd")
-    for _ in range(FIRST):
-        fit = _concentrated(rows, fit)
-    fit = _least(fit, BEST)
-    for _ in range(STEPS - FIRST):
-        last, fit = fit.select("fit", "start", F.col("volume").alias("last")), _concentrated(rows, fit)
-        if not fit.join(last, ["fit", "start"]).filter(F.col("volume") < F.col("last") - FALL).limit(1).count():
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """fit, location m and Cholesky factor l of each group of rows (fit, x0...); few: the groups may be sent to every task."""
+    fit = _starts(rows, few)
+    for k in range(STEPS):
+        if k == FIRST:
+            fit, last = _least(fit, BEST), fit
+            drop(last)
+        last, fit = fit, _concentrated(rows, fit, few)
+        falls = k >= FIRST and fit.join(last.select("fit", "start", F.col("volume").alias("last")), ["fit", "start"]).filter(F.col("volume") < F.col("last") - FALL).limit(1).count()
+        drop(last)
+        if k >= FIRST and not falls:
             break
-    near = _distance(_joined(rows, _least(fit, 1).drop("volume")))
+    best = _least(fit, 1)
+    near = _distance(_joined(rows, best.drop("volume"), few))
     kept = near.filter(F.col("d2") <= chi_square(len(VECTOR), INNER))
-    return cut(_factored(kept.groupBy("fit").agg(*_moments(F.lit(_consistent(INNER))))).drop("volume"), "mcd")
+    out = cut(_factored(kept.groupBy("fit").agg(*_moments(F.lit(_consistent(INNER))))).drop("volume"), "mcd")
+    drop(fit)
+    drop(best)
+    return out
 
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
@@ -234,12 +245,13 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     langs = sized.filter("small").groupBy("l").agg((F.sum("count") < LEAST_GROUP).alias("few"))
     named = sized.join(langs, "l", "left").withColumn("fit", F.when(~F.col("small"), F.concat_ws("/", "l", "s")).when(~F.col("few"), F.concat("l", F.lit("/"))).otherwise(F.lit("/")))
     named = cut(named.select(F.concat_ws("/", "l", "s").alias("group"), F.col("fit").alias("own")), "groups")
-    few = named.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    few = _few(named)
     rows = stats.withColumn("group", F.concat_ws("/", "l", "s")).join(F.broadcast(named) if few else named, "group", "left")
     rows = rows.withColumn("fit", F.coalesce("own", F.lit("/"))).drop("group", "own", "l", "s")
     fitted = cut(rows.filter("not base_failed").select("fit", *VECTOR), "vectors")
     enough = fitted.groupBy("fit").count().filter(F.col("count") >= LEAST_GROUP // 3).select("fit")
-    fit = estimates(fitted).join(enough, "fit", "left_semi")
+    fit = cut(estimates(fitted, few).join(enough, "fit", "left_semi"), "mcd")
+    drop(fitted)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = _distance(rows.join(F.broadcast(fit) if few else fit, "fit", "left"))
     limit = chi_square(len(VECTOR), 1 - tail)
