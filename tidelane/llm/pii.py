@@ -34,7 +34,7 @@ _TERM = re.compile(r"[^\W_]+")
 AROUND = 40  # words on each side of a mention that are counted with it
 CHANCE = 0.01  # that an entity without any disclosing term gets one
 LONG = 64  # a term of more characters is known by its hash
-ROWS = 50_000  # rows that a task gathers before it hands them on
+ROWS, COUNTS = 50_000, 200_000  # rows and term counts that a task gathers before it hands them on
 REMOVE, GENERALISE = 0.95, 0.85
 BROADCAST_TERMS = 200_000
 
@@ -162,21 +162,30 @@ def _keys(text: str) -> set[str]:
 
 
 def frequencies(docs: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """term, docs, capital: in how many texts each term stands, or each of `only`, and in how many with a capital; a batch
-    of texts is summed before the shuffle."""
+    """term, docs, capital: in how many texts each term stands, or each of `only`, and in how many with a capital; a
+    task sums its texts before the shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = held.value
+        n: Counter[str] = Counter()
+        big: Counter[str] = Counter()
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame({"term": list(n), "docs": list(n.values()), "capital": [big[t] for t in n]}).astype({"term": object, "docs": "int64", "capital": "int64"})
+            n.clear()
+            big.clear()
+            return out
+
         for x in batches:
-            n: Counter[str] = Counter()
-            big: Counter[str] = Counter()
             for t in x["text"].fillna(""):
                 words = _keys(t) if wanted is None else _keys(t) & wanted
                 if words:
                     n.update(words)
                     big.update({key_of(w) for w in _TERM.findall(t) if w[0].isupper()} & words)
-            yield pd.DataFrame({"term": list(n), "docs": list(n.values()), "capital": [big[t] for t in n]}).astype({"term": object, "docs": "int64", "capital": "int64"})
+                if len(n) > COUNTS:
+                    yield frame()
+        yield frame()
         released()
 
     counted = docs.select("text").mapInPandas(run, "term string, docs long, capital long")
@@ -211,8 +220,16 @@ def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
         """Of the entity's information that a term in so many texts reveals."""
         return 1 - F.log(F.least(F.col("both") / F.col(texts), F.lit(1.0))) / F.log(F.col("alone") / F.lit(float(n)))
 
-    # a term stands in no fewer texts than near mentions, which bounds its share from above: frequent words go here
-    pairs = pairs.join(met.filter("entity is null").select("term", F.col("both").alias("least")), "term").filter(share("least") >= generalise)
+    @F.pandas_udf("double")
+    def chance(places: pd.Series, evidence: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([log_chance(a, b, d, n) for a, b, d in zip(places, evidence, texts)], dtype="float64")
+
+    def sure(texts: str) -> Column:
+        """Whether chance hardly gives a term in so many texts that evidence."""
+        return chance("places", "evidence", texts) + F.log("terms") <= math.log(CHANCE)
+
+    # a term stands in no fewer texts than near mentions, which bounds both from above: frequent words go here
+    pairs = pairs.join(met.filter("entity is null").select("term", F.col("both").alias("least")), "term").filter((share("least") >= generalise) & sure("least"))
     pairs = cut(pairs, "pii-candidates")
     wanted = pairs.select("term").distinct()
     few = [r[0] for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
@@ -220,11 +237,7 @@ def disclosing(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
         return pairs.select("term", F.lit("").alias("kind"))
     seen = frequencies(docs, frozenset(few) if len(few) <= BROADCAST_TERMS else None)
 
-    @F.pandas_udf("double")
-    def chance(places: pd.Series, evidence: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([log_chance(a, b, d, n) for a, b, d in zip(places, evidence, texts)], dtype="float64")
-
-    told = pairs.join(seen, "term").filter(chance("places", "evidence", "docs") + F.log("terms") <= math.log(CHANCE)).withColumn("share", share("docs"))
+    told = pairs.join(seen, "term").filter(sure("docs")).withColumn("share", share("docs"))
     best = told.groupBy("term").agg(F.max("share").alias("share"), F.first("docs").alias("docs"), F.first("capital").alias("capital")).filter(F.col("share") >= generalise)
     kind = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "id").when(2 * F.col("capital") > F.col("docs"), "name").otherwise("word")
     return best.select("term", kind.alias("kind"))
