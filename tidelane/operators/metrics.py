@@ -234,25 +234,59 @@ def evaluate_targets(trades: DataFrame, specs: list[str]) -> DataFrame:
     return out.withColumn("passed", F.col("share") >= F.col("need")).drop("need")
 
 
-def losses(trades: DataFrame) -> DataFrame:
-    """Three losses to minimise per run, of trades in order: quality over quantity, conservative calmar, regime aware."""
+LOSS_LEAST_TRADES, LOSS_TOO_FEW = 10, 1000.0
+
+
+def losses(trades: DataFrame, balance: float = 1000.0) -> DataFrame:
+    """Three losses to minimise per run, of trades in order: quality over quantity, conservative calmar, regime aware.
+
+    Months are the whole days between first and last exit by 30, one at least. Runs of fewer than LOSS_LEAST_TRADES trades
+    lose LOSS_TOO_FEW. Depths are in shares of the starting balance: `low` below the start, `fall` below the peak.
+    """
     w = Window.partitionBy("run").orderBy("exit_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
     t = trades.withColumn("ratio", F.col("net_pnl") / F.col("size")).withColumn("sum", F.sum("net_pnl").over(w))
     t = t.withColumn("fall", F.max("sum").over(w) - F.col("sum"))
+    days = F.floor((F.max("exit_ms") - F.min("exit_ms")) / 86_400_000)
     s = t.groupBy("run").agg(
         F.count("*").alias("n"),
+        F.greatest(days / 30, F.lit(1.0)).alias("months"),
         F.sum("ratio").alias("total"),
-        F.avg((F.col("net_pnl") > 0).cast("double")).alias("wr"),
-        F.sum(F.greatest("net_pnl", F.lit(0.0))).alias("gain"),
-        F.sum(F.greatest(-F.col("net_pnl"), F.lit(0.0))).alias("lost"),
-        F.max("fall").alias("fall"),
+        *_sides("net_pnl"),
+        *_sides("ratio"),
+        (F.greatest(-F.min("sum"), F.lit(0.0)) / balance).alias("low"),
+        (F.max("fall") / balance).alias("fall"),
         F.stddev_samp("ratio").alias("sd"),
-        F.sum("size").alias("size"),
     )
-    pf = ratio(F.col("gain"), F.col("lost"), 10.0)
-    depth = F.col("fall") / F.col("size") * F.col("n")
-    enough = F.least(F.lit(1.0), F.col("n") / 30)
-    quality = -(F.col("total") * 100) + F.when(F.col("n") < 30, (30 - F.col("n")) * 2).otherwise(0) - F.least(pf, F.lit(5.0)) * 5 + F.when(F.col("wr") < 0.4, (0.4 - F.col("wr")) * 100).otherwise(0.0) + F.coalesce("sd", F.lit(0.0)) * 10
-    calmar = -(F.col("total") / F.pow(F.greatest(depth, F.lit(0.01)), 1.5)) * enough
-    regime = -(F.col("total") * 50) + depth * 20 - (F.col("wr") - 0.5) * 10 + F.when(pf < 1.2, (1.2 - pf) * 20).otherwise(0.0)
-    return s.select("run", quality.alias("quality"), calmar.alias("calmar"), regime.alias("regime"))
+    n, per_month, zero = F.col("n"), F.col("n") / F.col("months"), F.lit(0.0)
+    over = lambda x, limit: F.greatest(x - limit, zero)
+    win, pf = F.col("net_pnl_wins") / n, F.col("net_pnl_gain") / F.col("net_pnl_lost")
+    share = n / (10 * F.col("months"))  # of ten trades a month
+    mean = F.col("total") * 100 / n
+    quality = (
+        -F.col("total") * 100
+        + F.when(share > 1.5, F.pow(share - 1.5, 2) * 50).when(share < 0.3, 20.0).otherwise(zero)
+        + F.when(F.col("low") > 0.15, (F.col("low") - 0.15) * 200).otherwise(F.col("low") * 10)
+        + over(F.lit(1.5), pf) * 30
+        + over(win, 0.7) * 100
+        + over(F.lit(0.35), win) * 50
+        + over(F.coalesce("sd", zero), 0.05) * 100
+        - F.least(over(pf, 1.0), F.lit(3.0)) * 5
+        - F.when(mean > 1, F.least(mean, F.lit(5.0)) * 2).otherwise(zero)
+    )
+    crowded = F.when(per_month > 15, 0.5).when(per_month > 10, 0.75).otherwise(1.0)
+    calmar = -F.when(F.col("fall") > 0, F.col("total") / F.pow("fall", F.lit(1.5))).otherwise(F.col("total") * 10) * crowded
+    win, pf = F.col("ratio_wins") / n, F.col("ratio_gain") / F.col("ratio_lost")
+    regime = -F.col("total") * 100 + over(F.col("low"), 0.15) * 500 + over(F.lit(1.5), pf) * 50 + over(win, 0.7) * 200 + over(F.lit(0.4), win) * 100 + over(per_month, 12) * 5
+    few = lambda x: F.when(n < LOSS_LEAST_TRADES, LOSS_TOO_FEW).otherwise(x)
+    return s.select("run", few(quality).alias("quality"), few(calmar).alias("calmar"), few(regime).alias("regime"))
+
+
+def _sides(x: str) -> list:
+    """Number and sum of a column's gains, and the sum of its losses, 0.001 where there are none."""
+    lost = F.sum(F.when(F.col(x) < 0, -F.col(x)))
+    return [F.count_if(F.col(x) > 0).alias(f"{x}_wins"), F.sum(F.greatest(F.col(x), F.lit(0.0))).alias(f"{x}_gain"), F.coalesce(lost, F.lit(0.001)).alias(f"{x}_lost")]
+
+
+def monthly(trades: DataFrame, equity: DataFrame | None = None) -> DataFrame:
+    """run, month, pnl_pct: from the equity curve where there is one, else from the trades."""
+    return (monthly_trades(trades) if equity is None else monthly_equity(equity)).select("run", "month", "pnl_pct")

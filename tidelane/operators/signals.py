@@ -126,8 +126,8 @@ def cycle_table(bars: DataFrame, p: dict) -> DataFrame:
     return b.withColumns({"slope": slope, "fisher_step": F.col("fisher") - F.lag("fisher").over(w), "momentum3": momentum("cycle")})
 
 
-def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher: str | None = None) -> DataFrame:
-    """Candidates at crosses of cycle and trigger from the tenth bar on."""
+def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher: str | None = None, at_middle: bool = False) -> DataFrame:
+    """Candidates at crosses of cycle and trigger from the tenth bar on, entered at the close or at_middle of the bar."""
     b = cycle_table(bars, p)
     if higher == "real":
         top = htf.buckets(bars, p["htf_seconds"]).withColumn("m", (F.col("h") + F.col("l")) / 2)
@@ -153,7 +153,7 @@ def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher
         b = b.filter(parts["trend"])
     if higher and kind == "generic":
         b = b.filter(parts["htf"])
-    entry = F.col("c") if kind != "generic" else (F.col("h") + F.col("l")) / 2
+    entry = (F.col("h") + F.col("l")) / 2 if at_middle else F.col("c")
     return b.select("series", "bar_idx", "ts_ms", "direction", confidence(kind, parts).alias("confidence"), entry.alias("entry"), "atr")
 
 
@@ -164,12 +164,12 @@ def _(bars, p):
 
 @strategy("cycle_pine", reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3))
 def _(bars, p):
-    return _cycle("generic", bars, p, hard_trend=True, higher="held")
+    return _cycle("generic", bars, p, hard_trend=True, higher="held", at_middle=True)
 
 
 @strategy("cycle_pine_htf")
 def _(bars, p):
-    return _cycle("generic", bars, p, hard_trend=True, higher="real")
+    return _cycle("generic", bars, p, hard_trend=True, higher="real", at_middle=True)
 
 
 @strategy("cycle_htf")
@@ -219,7 +219,7 @@ def _(bars, p):
 def _(bars, p):
     """Breaks of structure, scored with the oscillator's side and an open gap."""
     b = folds.rma(bars.withColumn("tr", true_range()), "tr", p["atr_period"], "atr")
-    b = b.join(structure.oscillator(bars, p["swing"]), ["series", "bar_idx"])
+    b = b.join(structure.oscillator(bars, p["swing"], point_in_time=True), ["series", "bar_idx"])
     s = structure.breaks(bars, p["swing"]).select("series", "bar_idx", "direction", "kind")
     b = b.join(s, ["series", "bar_idx"]).join(structure.gap_zones(bars, p["gap_lookback"]), ["series", "bar_idx"]).filter("bar_idx >= 30")
     level = F.when(F.col("kind") == "CHoCH", 60.0).otherwise(50.0)

@@ -146,3 +146,8 @@ def gaps_and_islands(df: DataFrame, x: str) -> DataFrame:
     changed = F.coalesce((F.col(x) != F.lag(x).over(w)).cast("int"), F.lit(1))
     d = df.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy("series", "run").agg(F.first(x).alias("label"), F.min("bar_idx").alias("first"), F.max("bar_idx").alias("last"), F.count("*").alias("n_bars"))
+
+
+def with_floor(alpha: Column, floor: float) -> Column:
+    """Alpha, the floor at least where one is set."""
+    return F.greatest(alpha, F.lit(float(floor))) if floor > 0 else alpha

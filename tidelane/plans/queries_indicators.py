@@ -430,7 +430,11 @@ def _(spark, d):
     return folds.throttle(k, 0, 3).filter("accepted = 1").select("series", "bar_idx")
 
 
-@query("min_bars_throttle")
+@query(
+    "min_bars_throttle",
+    """WITH bars, s AS (SELECT series, bar_idx FROM bars WHERE c > o), RECURSIVE r AS (SELECT series, min(bar_idx) AS bar_idx FROM s GROUP BY series
+    UNION ALL SELECT r.series, min(s.bar_idx) FROM r JOIN s ON s.series = r.series AND s.bar_idx >= r.bar_idx + 24 GROUP BY r.series) SELECT series, bar_idx FROM r""",
+)
 def _(spark, d):
     return folds.throttle(hourly(spark, d).filter("c > o").select("series", "bar_idx", "ts_ms"), 24).filter("accepted = 1").select("series", "bar_idx")
 

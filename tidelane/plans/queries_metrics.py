@@ -154,20 +154,36 @@ def _(spark, d):
     return rounded(r.select("run", M.composite(r).alias("objective")))
 
 
-LOSS = f"""{T}, lq AS (SELECT *, net_pnl / size AS ratio, sum(net_pnl) OVER w AS s FROM t WINDOW w AS (PARTITION BY run ORDER BY exit_ms)), lf AS (SELECT *, max(s) OVER (PARTITION BY run ORDER BY exit_ms) - s AS fall FROM lq),
- ls AS (SELECT run, count(*) AS n, sum(ratio) AS total, avg((net_pnl > 0)::INT) AS wr, sum(greatest(net_pnl, 0)) / sum(greatest(-net_pnl, 0)) AS pf, max(fall) / sum(size) * count(*) AS depth, stddev_samp(ratio) AS sd FROM lf GROUP BY run)"""
+LOSS = f"""{T}, cum AS (SELECT *, net_pnl / size AS r, sum(net_pnl) OVER (PARTITION BY run ORDER BY exit_ms) AS c FROM t), dd AS (SELECT *, c - max(c) OVER (PARTITION BY run ORDER BY exit_ms) AS d FROM cum),
+ st AS (SELECT run, count(*) AS k, CASE WHEN (max(exit_ms) - min(exit_ms)) // 86400000 > 30 THEN ((max(exit_ms) - min(exit_ms)) // 86400000) / 30 ELSE 1 END AS mon, 100 * sum(r) AS pct, stddev_samp(r) AS sd,
+ count(*) FILTER (net_pnl > 0) / count(*) AS wa, count(*) FILTER (r > 0) / count(*) AS wr, sum(net_pnl) FILTER (net_pnl > 0) / coalesce(abs(sum(net_pnl) FILTER (net_pnl < 0)), 0.001) AS pa,
+ sum(r) FILTER (r > 0) / coalesce(abs(sum(r) FILTER (r < 0)), 0.001) AS pr, CASE WHEN min(c) < 0 THEN abs(min(c)) / 1000 ELSE 0 END AS lo, abs(min(d)) / 1000 AS mdd FROM dd GROUP BY run)"""
 
 for _name, _sql in (
-    ("quality", "-(total * 100) + CASE WHEN n < 30 THEN (30 - n) * 2 ELSE 0 END - least(pf, 5) * 5 + CASE WHEN wr < 0.4 THEN (0.4 - wr) * 100 ELSE 0 END + sd * 10"),
-    ("calmar", "-(total / greatest(depth, 0.01) ** 1.5) * least(1, n / 30)"),
-    ("regime", "-(total * 50) + depth * 20 - (wr - 0.5) * 10 + CASE WHEN pf < 1.2 THEN (1.2 - pf) * 20 ELSE 0 END"),
+    (
+        "quality",
+        """-pct + CASE WHEN k > 15 * mon THEN 50 * (k / (10 * mon) - 1.5) ** 2 WHEN k < 3 * mon THEN 20 ELSE 0 END + CASE WHEN lo > 0.15 THEN 200 * lo - 30 ELSE 10 * lo END + CASE WHEN pa < 1.5 THEN 45 - 30 * pa ELSE 0 END
+        + CASE WHEN wa > 0.7 THEN 100 * wa - 70 WHEN wa < 0.35 THEN 17.5 - 50 * wa ELSE 0 END + CASE WHEN sd > 0.05 THEN 100 * sd - 5 ELSE 0 END
+        - CASE WHEN pa > 4 THEN 15 WHEN pa > 1 THEN 5 * pa - 5 ELSE 0 END - CASE WHEN pct / k > 5 THEN 10 WHEN pct / k > 1 THEN 2 * pct / k ELSE 0 END""",
+    ),
+    ("calmar", "-(CASE WHEN mdd > 0 THEN pct / 100 / mdd ** 1.5 ELSE pct / 10 END) * CASE WHEN k / mon > 15 THEN 0.5 WHEN k / mon > 10 THEN 0.75 ELSE 1 END"),
+    (
+        "regime",
+        """-(pct - CASE WHEN lo > 0.15 THEN 500 * lo - 75 ELSE 0 END - CASE WHEN pr < 1.5 THEN 75 - 50 * pr ELSE 0 END - CASE WHEN wr > 0.7 THEN 200 * wr - 140 WHEN wr < 0.4 THEN 40 - 100 * wr ELSE 0 END
+        - CASE WHEN k / mon > 12 THEN 5 * (k / mon) - 60 ELSE 0 END)""",
+    ),
 ):
 
-    @query(f"loss_{_name}", f"WITH {LOSS} SELECT run, round({_sql}, 6)::DOUBLE AS loss FROM ls")
+    @query(f"loss_{_name}", f"WITH {LOSS} SELECT run, round(CASE WHEN k < 10 THEN 1000 ELSE {_sql} END, 6)::DOUBLE AS loss FROM st")
     def _(spark, d, name=_name):
         return rounded(M.losses(trades(spark, d)).select("run", F.col(name).alias("loss")))
 
 
+@query("monthly_picker", f"WITH {MT} SELECT run, month, round(pnl_pct, 6)::DOUBLE AS pnl_pct FROM mt")
+def _(spark, d):
+    return rounded(M.monthly(trades(spark, d)))
+
+
 @query(
     "liquidation_gate",
     f"""WITH {SUM}, lm AS (SELECT run, strftime(make_timestamp(exit_ms * 1000), '%Y-%m') AS month, count(*) AS c FROM t WHERE net_pnl < -30 GROUP BY ALL), lw AS (SELECT run, max(c) AS worst_month FROM lm GROUP BY run)

@@ -138,7 +138,11 @@ def _(spark, d):
     return search.grid(spark, GRID)
 
 
-@query("effective_trials", "SELECT 36::BIGINT AS n_trials")
+@query(
+    "effective_trials",
+    """WITH a AS (SELECT unnest([5, 15, 25]) AS bars), m AS (SELECT unnest(['manual', 'kalman']) AS method), t AS (SELECT unnest([1.0, 1.5, 2.0]) AS mult), x AS (SELECT unnest([0.05, 0.075, 0.1]) AS alpha)
+    SELECT count(*) AS n_trials FROM (SELECT DISTINCT bars, method, mult, CASE WHEN method = 'manual' THEN alpha END AS alpha FROM a, m, t, x)""",
+)
 def _(spark, d):
     params = [*GRID, search.Param("alpha", "float", 0.05, 0.1, 0.025, needs=("alpha_method", "manual"))]
     return spark.range(1).select(F.lit(search.effective_trials(params)).cast("long").alias("n_trials"))
@@ -193,7 +197,7 @@ def _(spark, d):
 @query("portfolio_search")
 def _(spark, d):
     r = returns(spark, d).filter("r is not null").withColumn("r", F.col("r") / 100)
-    return rounded(portfolio.search(spark, r, 2, 3, 10))
+    return rounded(portfolio.search(spark, r))
 
 
 # --- simulation ---
@@ -233,7 +237,55 @@ def _(spark, d):
     return rounded(V.layers(hourly(spark, d), simulation.trades(simulated(spark, d)), simulation.equity(simulated(spark, d)), n_trials=20, sims=40))
 
 
-@query("funding_accrual", "WITH bars SELECT series, round(sum(CASE WHEN bar_idx > 0 AND bar_idx % 8 = 0 THEN c * 0.0001 ELSE 0 END), 6) AS funding FROM bars GROUP BY series")
+@query("funding_accrual", "WITH bars, s AS (SELECT series, count(*) AS n FROM bars GROUP BY series) SELECT series, round(1000 * 0.08 * 0.5 * 0.0001 * ((n - 1) // 8), 6)::DOUBLE AS funding FROM s")
+def _(spark, d):
+    """What a long position from the first bar to the last pays."""
+    b = hourly(spark, d)
+    none = F.array().cast("array<double>")
+    s = b.filter("bar_idx = 0").select("series", "bar_idx", F.lit(1).alias("direction"), F.lit(100.0).alias("confidence"), F.col("c").alias("entry"), F.lit(-1.0).alias("stop"), none.alias("targets"), none.alias("portions"), F.lit(0.0).alias("be_trigger"), F.lit(0.0).alias("trail_distance"), F.lit(0.5).alias("leverage"))
+    return rounded(simulation.trades(simulation.simulate(b, s)).select("series", "funding"))
+
+
+# --- search: rounds of trials over all series; the numbers of trials are the searches' own parameters ---
+
+SEARCHED = [search.Param("confidence_min", "float", 40.0, 50.0, 10.0), search.Param("min_bars", "int", 5, 15, 10)]
+
+
+def found(spark, rows):
+    """Scores and trials of a search, best first."""
+    return rounded(spark.createDataFrame([(k, float(s), float(t["confidence_min"]), int(t["min_bars"])) for k, (s, t) in enumerate(rows)], "place long, score double, confidence_min double, min_bars long"))
+
+
+def scored(spark, d):
+    b = hourly(spark, d)
+    return lambda trials: search.evaluate(b, "cycle_no_htf", trials)
+
+
+@query("search_grid")
 def _(spark, d):
-    due = F.when((F.col("bar_idx") > 0) & (F.col("bar_idx") % 8 == 0), F.col("c") * 0.0001).otherwise(0.0)
-    return rounded(hourly(spark, d).groupBy("series").agg(F.sum(due).alias("funding")))
+    trials = [r.asDict() for r in search.grid(spark, SEARCHED).collect()]
+    return found(spark, sorted(zip(scored(spark, d)(trials), trials), key=lambda x: (-x[0], sorted(x[1].items()))))
+
+
+@query("search_tpe")
+def _(spark, d):
+    return found(spark, search.tpe(scored(spark, d), SEARCHED, n_trials=8, batch=4, start=4))
+
+
+@query("search_genetic")
+def _(spark, d):
+    return found(spark, search.genetic(scored(spark, d), SEARCHED, population=4, generations=2))
+
+
+@query("search_walk_forward")
+def _(spark, d):
+    """Two windows over the common positions of all series."""
+    rows = search.walk_forward(hourly(spark, d), "cycle_no_htf", SEARCHED[:1] + [search.Param("min_bars", "int", 5, 5, 1)], [(0, 300, 300, 400), (200, 500, 500, 600)])
+    return rounded(spark.createDataFrame([(r["window_id"], float(r["is_score"]), float(r["oos_score"]), float(r["params"]["confidence_min"])) for r in rows], "window_id long, is_score double, oos_score double, confidence_min double"))
+
+
+@query("alpha_floor", "SELECT l_orderkey, l_linenumber, greatest(l_discount, 0.03)::DOUBLE AS alpha FROM lineitem")
+def _(spark, d):
+    from tidelane.operators.windows import with_floor
+
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", with_floor(F.col("l_discount").cast("double"), 0.03).alias("alpha"))
