@@ -310,6 +310,38 @@ def test_quality_score(spark, sf_dir):
     assert len(odd) == len(ODD) and {r["score"] for r in odd} == {0.5}
 
 
+def test_quality_scores_equal_plain_compression(spark):
+    """Scores from the model's two dictionaries and curve, recomputed by the library; repeated rows and no rows."""
+    import math
+
+    import zstandard
+
+    from tidelane.llm import quality_classifier as Q
+
+    rng = random.Random(27)
+    good, bad = (["".join(rng.choice(c) for _ in range(6)) for _ in range(60)] for c in ("abcdefgh", "ijklmnop"))
+    label = [int(rng.random() < 0.7) for _ in range(300)]
+    texts = [" ".join(rng.choice(good if rng.random() < (0.7 if q else 0.3) else bad) for _ in range(50)) for q in label]
+    rows = [*enumerate(texts), (5, texts[5]), (900, ""), (901, None), (902, "x" * 100_000)]
+    docs = spark.createDataFrame([(i, t, "s", 2.0) for i, t in rows], "doc_id long, text string, quality string, score double")
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    model = Q.learn(docs, labels.filter("crc32(cast(doc_id as string)) % 5 != 0"))
+
+    def size(q, data):
+        return len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(model.dicts[q]), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    got = Q.score(docs, labels).collect()
+    text = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        a, b = (size(q, (text[r["doc_id"]] or "").encode()) for q in (0, 1))
+        x = (model.weights[0] + model.weights[1] * ((a - b) / max(a, b) - model.centre) / model.scale).item()
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x))))) and r["predicted"] == int(r["score"] >= 0.3)
+    assert Q.score(docs.limit(0), labels).count() == 0
+    held = [(r["score"], label[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] < 300]
+    assert abs(np.mean([s for s, _ in held]) - np.mean([q for _, q in held])) < 0.15
+
+
 def test_quality_scores_keep_the_share_beyond_the_cap(spark, monkeypatch):
     """Scores agree whether ROWS lies below or above the labels' counts, and have the labels' share."""
     from tidelane.llm import quality_classifier as Q

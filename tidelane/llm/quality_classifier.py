@@ -140,7 +140,8 @@ def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of each row.
 
     Learned only from labelled rows whose crc32(doc_id) mod 5 is not 0; rows with contradicting labels are not used. Null
-    and empty texts get a score like any other text. Whole texts are compressed; other columns are ignored.
+    and empty texts get a score like any other text. Whole texts are compressed; other columns are ignored. Repeated rows
+    get the same score each, and a repeated labelled row counts as often as it stands. An empty table gives no rows.
     """
     rest = crc_mod(F.col("doc_id"), 5)
     model = learn(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))

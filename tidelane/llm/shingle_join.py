@@ -3,8 +3,8 @@
 1. A document becomes the sorted array of its shingle hashes. Documents with equal sets share one representative.
 2. Within octaves of set size the hash space is cut into parts; parts that two sets share entirely are candidate keys.
    Two sets with a Jaccard index of at least the threshold differ in few elements, so each of their KEYS parts is equal
-   with a chance of at least about 0.27: a pair is missed with a chance under 1e-8. Small sets use the exact prefix
-   filter. Sets near the upper end of an octave take part in the next one as well.
+   with a chance of at least about 0.27 at 0.85 and 0.19 at 0.8: at the threshold itself a pair is missed with a chance of
+   about 2e-8 and 4e-6, above it far less. Small sets use the exact prefix filter. Sets near the upper end of an octave take part in the next one as well.
 3. Key-sharing sets form clusters (connected by a star at each key's least member, never by pairs). Clusters are dealt
    into blocks by size band; tiles are pairs of blocks whose sizes allow a link.
 4. In a tile the bits that one signature has and the other lacks bound the overlap from above; what passes is intersected
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, drop, forget, mix, released
+from .common import blocks, cut, forget, mix, released
 from .graph import components
 
 KEYS = 64
@@ -155,9 +155,9 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     return out
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """members (set_id, n_shingles, cluster) dealt to tiles: tile (a struct as string) and side are added."""
-    step = math.log(1 / 0.8)
+    step = math.log(100 / min(percent, 80)) + 1e-9  # sets that link lie in one band or in neighbours
     m = members.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)))
     per_band = m.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("size"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long")
@@ -208,7 +208,7 @@ def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> Da
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "set_id").hint("merge"), "rep")
     sets = texts.select("set_id", "text").mapInArrow(load, "set_id long, shingles binary").dropDuplicates(["set_id"])
-    dealt = sets.join(_tiles(members.select("set_id", "n_shingles", "cluster")), "set_id")
+    dealt = sets.join(_tiles(members.select("set_id", "n_shingles", "cluster"), percent), "set_id")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         found = tile_links(x["set_id"].to_numpy(), [np.frombuffer(s, _U) for s in x["shingles"]], x["side"].to_numpy(), percent)
