@@ -20,7 +20,10 @@ BROADCAST_IDS = 500_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have; those without a letter go."""
+    """Documents to which the learned languages can be told; only those without a letter (`und`) go.
+
+    Text in a language that no label has gets the nearest learned one and stays.
+    """
     bounded(spark)
     columns = docs.columns
     tagged = docs.withColumn("_said", language(F.col("text"), learn(docs)))
@@ -28,7 +31,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group that five-word shingles with a Jaccard index of 0.8 or more connect."""
+    """The least doc_id of each group that five-word shingles with a Jaccard index of 0.8 or more connect.
+
+    Rows are told apart by doc_id: those that repeat the least one stay, as do rows without a doc_id.
+    """
     gone = cut(join(docs, width=5, percent=80).filter("doc_id != component_id").select("doc_id").distinct(), "copies")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
