@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from . import queries_bars, queries_indicators, queries_metrics, queries_validation  # noqa: F401
+from . import queries_bars, queries_indicators, queries_metrics, queries_strategies, queries_validation  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -160,10 +160,14 @@ def _(b):
 # --- folds ---
 
 
+def recursion(r: str, x: str, a: float, frm: str) -> str:
+    """Exponential smoothing of x in frm as a recursive CTE r (its name begins with r)."""
+    return f"""RECURSIVE {r}(series, bar_idx, e) AS (SELECT series, bar_idx, {x} FROM {frm} WHERE bar_idx = 0
+    UNION ALL SELECT b.series, b.bar_idx, {a!r} * b.{x} + {1 - a!r} * {r}.e FROM {r} JOIN {frm} b ON b.series = {r}.series AND b.bar_idx = {r}.bar_idx + 1)"""
+
+
 def smooth_sql(x: str, a: float, name: str, frm: str = "bars", pre: str = "") -> str:
-    return f"""WITH bars{pre}, RECURSIVE r(series, bar_idx, e) AS (SELECT series, bar_idx, {x} FROM {frm} WHERE bar_idx = 0
-    UNION ALL SELECT b.series, b.bar_idx, {a!r} * b.{x} + {1 - a!r} * r.e FROM r JOIN {frm} b ON b.series = r.series AND b.bar_idx = r.bar_idx + 1)
-    SELECT series, bar_idx, round(e, 6) AS {name} FROM r"""
+    return f"WITH bars{pre}, {recursion('r', x, a, frm)} SELECT series, bar_idx, round(e, 6) AS {name} FROM r"
 
 
 @column("ema", ["ema"], smooth_sql("c", 2 / 21, "ema"))
@@ -187,12 +191,12 @@ def _(b):
 
 
 A = 0.07
-TREND_SQL = f"""WITH bars, RECURSIVE r(series, bar_idx, c1, c2, t1, t2) AS (SELECT series, bar_idx, c, 0.0::DOUBLE, c, 0.0::DOUBLE FROM bars WHERE bar_idx = 0
- UNION ALL SELECT b.series, b.bar_idx, b.c, r.c1, CASE WHEN b.bar_idx < 3 THEN b.c ELSE {A - A * A / 4!r} * b.c + {A * A / 2!r} * r.c1 - {A - 0.75 * A * A!r} * r.c2 + {2 * (1 - A)!r} * r.t1 - {(1 - A) ** 2!r} * r.t2 END, r.t1
- FROM r JOIN bars b ON b.series = r.series AND b.bar_idx = r.bar_idx + 1) SELECT series, bar_idx, round(t1, 6) AS itrend FROM r"""
+TREND = f"""RECURSIVE rt(series, bar_idx, c1, c2, t1, t2) AS (SELECT series, bar_idx, c, 0.0::DOUBLE, c, 0.0::DOUBLE FROM bars WHERE bar_idx = 0
+ UNION ALL SELECT b.series, b.bar_idx, b.c, rt.c1, CASE WHEN b.bar_idx < 3 THEN b.c ELSE {A - A * A / 4!r} * b.c + {A * A / 2!r} * rt.c1 - {A - 0.75 * A * A!r} * rt.c2 + {2 * (1 - A)!r} * rt.t1 - {(1 - A) ** 2!r} * rt.t2 END, rt.t1
+ FROM rt JOIN bars b ON b.series = rt.series AND b.bar_idx = rt.bar_idx + 1)"""
 
 
-@column("itrend", ["itrend"], TREND_SQL)
+@column("itrend", ["itrend"], f"WITH bars, {TREND} SELECT series, bar_idx, round(t1, 6) AS itrend FROM rt")
 def _(b):
     return folds.trend_line(b)
 
@@ -211,13 +215,13 @@ def _(b):
 
 
 # smoothing by halves forgets: 54 bars back the weight is below 1e-16, so a finite filter gives the same
-FISHER = f"""WITH bars, {CYCLE}, x AS (SELECT series, bar_idx, c1, min(c1) OVER w AS lo, max(c1) OVER w AS hi FROM r WINDOW w AS ({P} ROWS 9 PRECEDING)),
+FISHER = f"""x AS (SELECT series, bar_idx, c1, min(c1) OVER w AS lo, max(c1) OVER w AS hi FROM r WINDOW w AS ({P} ROWS 9 PRECEDING)),
  f AS MATERIALIZED (SELECT *, CASE WHEN hi <> lo THEN greatest(-0.999, least(0.999, 2 * ((c1 - lo) / (hi - lo) - 0.5))) ELSE 0 END AS v FROM x),
- y AS MATERIALIZED (SELECT series, bar_idx, 0.25 * ln((1 + v) / (1 - v)) AS y FROM f)
- SELECT a.series, a.bar_idx, round(sum(b.y * 0.5 ** (a.bar_idx - b.bar_idx)), 6) AS fisher FROM y a JOIN y b ON a.series = b.series AND b.bar_idx <= a.bar_idx AND b.bar_idx > a.bar_idx - 54 GROUP BY a.series, a.bar_idx"""
+ y AS MATERIALIZED (SELECT series, bar_idx, 0.25 * ln((1 + v) / (1 - v)) AS y FROM f),
+ fi AS MATERIALIZED (SELECT a.series, a.bar_idx, sum(b.y * 0.5 ** (a.bar_idx - b.bar_idx)) AS fisher FROM y a JOIN y b ON a.series = b.series AND b.bar_idx <= a.bar_idx AND b.bar_idx > a.bar_idx - 54 GROUP BY a.series, a.bar_idx)"""
 
 
-@column("fisher", ["fisher"], FISHER)
+@column("fisher", ["fisher"], f"WITH bars, {CYCLE}, {FISHER} SELECT series, bar_idx, round(fisher, 6) AS fisher FROM fi")
 def _(b):
     return folds.cycle(b)
 
@@ -323,13 +327,13 @@ def _(spark, d):
     return rounded(structure.block_proximity(hourly(spark, d)))
 
 
-@query(
-    "liquidity_nearest",
-    f"""WITH bars, {SWING}, pv AS (SELECT series, bar_idx + 5 AS born, is_high, price FROM swings),
-    pd AS (SELECT p.*, min(b.bar_idx) AS dead FROM pv p LEFT JOIN bars b ON b.series = p.series AND b.bar_idx >= p.born AND CASE WHEN is_high THEN b.h >= price ELSE b.l <= price END GROUP BY ALL)
-    SELECT b.series, b.bar_idx, min(CASE WHEN is_high THEN price END) AS bsl, max(CASE WHEN NOT is_high THEN price END) AS ssl FROM bars b
-    LEFT JOIN pd ON pd.series = b.series AND pd.born <= b.bar_idx AND (pd.dead IS NULL OR pd.dead > b.bar_idx) GROUP BY b.series, b.bar_idx""",
-)
+LIQUIDITY = f"""{SWING}, pv AS (SELECT series, bar_idx + 5 AS born, is_high, price FROM swings),
+ pd AS (SELECT p.*, min(b.bar_idx) AS dead FROM pv p LEFT JOIN bars b ON b.series = p.series AND b.bar_idx >= p.born AND CASE WHEN is_high THEN b.h >= price ELSE b.l <= price END GROUP BY ALL),
+ lq AS (SELECT b.series, b.bar_idx, min(CASE WHEN is_high THEN price END) AS bsl, max(CASE WHEN NOT is_high THEN price END) AS ssl FROM bars b
+ LEFT JOIN pd ON pd.series = b.series AND pd.born <= b.bar_idx AND (pd.dead IS NULL OR pd.dead > b.bar_idx) GROUP BY b.series, b.bar_idx)"""
+
+
+@query("liquidity_nearest", f"WITH bars, {LIQUIDITY} SELECT * FROM lq")
 def _(spark, d):
     return structure.liquidity(hourly(spark, d))
 
@@ -464,17 +468,21 @@ def _(spark, d):
     return signals.contributions(signals.vote(member("a", F.col("c") > F.col("o")).union(member("b", F.col("c") > 50)).union(member("c", F.col("v") > 3))))
 
 
-@query(
-    "smc_oscillator",
-    f"""WITH bars, {BREAKS}, {OB}, tr AS (SELECT b.series, b.bar_idx, coalesce(last_value(br.direction IGNORE NULLS) OVER (PARTITION BY b.series ORDER BY b.bar_idx), 0) AS trend FROM bars b LEFT JOIN br USING (series, bar_idx)),
+def oscillator_sql(live: str) -> str:
+    """The oscillator as CTE os; live: which of the blocks obm count at bar b."""
+    return f"""{BREAKS}, {OB}, td AS (SELECT b.series, b.bar_idx, coalesce(last_value(br.direction IGNORE NULLS) OVER (PARTITION BY b.series ORDER BY b.bar_idx), 0) AS trend FROM bars b LEFT JOIN br USING (series, bar_idx)),
     pl AS (SELECT *, max(h) OVER w AS hi, min(l) OVER w AS lo FROM bars WINDOW w AS ({P} ROWS 20 PRECEDING)),
-    ps AS (SELECT p.series, p.bar_idx, CASE WHEN bar_idx < 20 THEN 0 ELSE greatest(-1, least(1, ((c - lo) / (hi - lo) - 0.5) * 2 + trend * 0.2)) END AS place FROM pl p JOIN tr USING (series, bar_idx)),
+    ps AS (SELECT p.series, p.bar_idx, CASE WHEN bar_idx < 20 THEN 0 ELSE greatest(-1, least(1, ((c - lo) / (hi - lo) - 0.5) * 2 + trend * 0.2)) END AS place FROM pl p JOIN td USING (series, bar_idx)),
     nr AS (SELECT b.series, b.bar_idx, max(CASE WHEN direction = 1 AND b.c > top AND (b.c - top) / b.c < 0.02 THEN 1 - (b.c - top) / b.c / 0.02 END) AS bull, max(CASE WHEN direction = -1 AND b.c < bottom AND (bottom - b.c) / b.c < 0.02 THEN 1 - (bottom - b.c) / b.c / 0.02 END) AS bear
-    FROM bars b JOIN obm o ON o.series = b.series AND o.bar_idx <= b.bar_idx AND o.crossed_idx IS NULL GROUP BY ALL)
-    SELECT series, bar_idx, round(greatest(0, least(100, (0.6 * place + 0.4 * (coalesce(bull, 0) - coalesce(bear, 0)) + 1) * 50)), 6)::DOUBLE AS osc FROM ps LEFT JOIN nr USING (series, bar_idx)""",
-)
-def _(spark, d):
-    return rounded(structure.oscillator(hourly(spark, d)))
+    FROM bars b JOIN obm o ON o.series = b.series AND {live} GROUP BY ALL),
+    os AS MATERIALIZED (SELECT series, bar_idx, greatest(0, least(100, (0.6 * place + 0.4 * (coalesce(bull, 0) - coalesce(bear, 0)) + 1) * 50))::DOUBLE AS osc FROM ps LEFT JOIN nr USING (series, bar_idx))"""
+
+
+for _name, _now, _live in (("smc_oscillator", False, "o.bar_idx <= b.bar_idx AND o.crossed_idx IS NULL"), ("smc_oscillator_in_time", True, "o.made_idx <= b.bar_idx AND (o.crossed_idx IS NULL OR o.crossed_idx > b.bar_idx)")):
+
+    @query(_name, f"WITH bars, {oscillator_sql(_live)} SELECT series, bar_idx, round(osc, 6) AS osc FROM os")
+    def _(spark, d, now=_now):
+        return rounded(structure.oscillator(hourly(spark, d), point_in_time=now))
 
 
 @query(
@@ -489,11 +497,3 @@ def _(spark, d):
     b = b.withColumn("near", F.when(F.col("direction") == 1, F.lag("h").over(w)).otherwise(F.lag("l").over(w))).withColumn("atr", F.col("h") - F.col("l"))
     x = signals.ladder(b.withColumn("entry", F.col("c")).withColumn("stop", F.col("o")))
     return rounded(x.select("series", "bar_idx", *(F.col("targets")[k].alias(f"t{k}") for k in (0, 1, 4))))
-
-
-for _name in signals.REGISTRY:
-
-    @query(f"strategy_{_name}")
-    def _(spark, d, name=_name):
-        s = signals.REGISTRY[name].signals(hourly(spark, d), confidence_min=40.0, min_bars=5)
-        return rounded(s.select("series", "bar_idx", "direction", "confidence", "entry", "stop", F.col("targets")[0].alias("target"), "be_trigger"))
