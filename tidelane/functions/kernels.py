@@ -235,3 +235,21 @@ class Autocorrelation:
 
 
 ALPHAS = {"manual": Manual, "kalman": Kalman, "homodyne": Homodyne, "mama": PhaseRate, "autocorrelation": Autocorrelation}
+
+
+class Oscillator:
+    """Alpha, cycle, trigger and Fisher transform of a series, a tuple a value.
+
+    The trigger is the cycle a bar before, or with trigger_ema the cycle's moving average.
+    """
+
+    def __init__(self, method: str = "manual", fisher_lookback: int = 10, trigger_ema: int | None = None, manual_alpha: float = 0.07):
+        self.alpha = Manual(manual_alpha) if method == "manual" else ALPHAS[method]()
+        self.cycle, self.fisher, self.last = Cycle(), Fisher(fisher_lookback), 0.0
+        self.mean = Smooth(2 / (trigger_ema + 1)) if trigger_ema else None
+
+    def step(self, x: float) -> tuple[float, float, float, float]:
+        a = self.alpha.step(x)
+        c = self.cycle.step(x, a)
+        trigger, self.last = (self.mean.step(c) if self.mean else self.last), c
+        return a, c, trigger, self.fisher.step(c)

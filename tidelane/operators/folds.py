@@ -79,21 +79,9 @@ def adaptive_alpha(df: DataFrame, method: str, x: str = "c", name: str = "alpha"
     return series_fold(df, [x], [name], lambda: kernels.ALPHAS[method]().step)
 
 
-def cycle(df: DataFrame, method: str = "manual", x: str = "c", fisher_lookback: int = 10) -> DataFrame:
-    """Adds alpha, cycle, trigger (the cycle a bar before) and fisher in one pass."""
-
-    def make():
-        alpha, cyc, fish, last = kernels.ALPHAS[method](), kernels.Cycle(), kernels.Fisher(fisher_lookback), [0.0]
-
-        def step(v):
-            a = alpha.step(v)
-            c = cyc.step(v, a)
-            trigger, last[0] = last[0], c
-            return a, c, trigger, fish.step(c)
-
-        return step
-
-    return series_fold(df, [x], ["alpha", "cycle", "trigger", "fisher"], make)
+def cycle(df: DataFrame, method: str = "manual", x: str = "c", fisher_lookback: int = 10, trigger_ema: int | None = None, manual_alpha: float = 0.07) -> DataFrame:
+    """Adds alpha, cycle, trigger (the cycle a bar before, or its moving average of trigger_ema bars) and fisher in one pass."""
+    return series_fold(df, [x], ["alpha", "cycle", "trigger", "fisher"], lambda: kernels.Oscillator(method, fisher_lookback, trigger_ema, manual_alpha).step)
 
 
 def throttle(signals: DataFrame, least_bars: int, per_day: int | None = None, day_ms: int = 86_400_000) -> DataFrame:

@@ -65,7 +65,7 @@ def strategy(name: str, **defaults):
 EXITS = {
     "min_bars": 24, "confidence_min": 75.0, "leverage": 7.0, "atr_mult": 1.5, "reward": (1.0, 2.0), "portions": (0.5, 0.5), "fixed_stop": 0.0,
     "be_pct": 1.5, "trailing": True, "trail_activate_pct": 2.0, "trail_pullback_pct": 1.0,
-    "alpha_method": "manual", "overbought": 1.5, "oversold": -1.5, "trend_alpha": 0.07, "atr_period": 14, "volume_period": 20, "use_trend": True, "use_volume": True, "strength_lookback": 100, "strength_percent": 60.0, "htf_seconds": 14400,
+    "alpha_method": "manual", "manual_alpha": 0.42, "trigger_ema": 9, "overbought": 1.5, "oversold": -1.5, "trend_alpha": 0.09, "atr_period": 14, "volume_period": 20, "volume_mult": 1.5, "use_trend": True, "use_volume": True, "strength_lookback": 50, "strength_percent": 50.0, "htf_seconds": 14400,
 }
 
 
@@ -115,9 +115,10 @@ def ladder(s: DataFrame) -> DataFrame:
 
 
 def cycle_table(bars: DataFrame, p: dict) -> DataFrame:
-    """Bars with the cycle's indicators and the parts of its score on either side."""
+    """Bars with the cycle of their middle, its trigger (a moving average of the cycle), and what its score reads."""
     w = in_order()
-    b = folds.cycle(bars, p["alpha_method"])
+    middle = bars.withColumn("hl2", (F.col("h") + F.col("l")) / 2)
+    b = folds.cycle(middle, p["alpha_method"], "hl2", trigger_ema=p["trigger_ema"], manual_alpha=p["manual_alpha"])
     b = folds.trend_line(b, "c", p["trend_alpha"])
     b = folds.rma(b.withColumn("tr", true_range()), "tr", p["atr_period"], "atr")
     b = crossunder(crossover(b, "cycle", "trigger", "bull_cross"), "cycle", "trigger", "bear_cross")
@@ -143,8 +144,8 @@ def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher
         "cross": F.lit(True),
         "trend": d * F.col("slope") > 0 if p["use_trend"] else F.lit(True),
         "htf": d * F.col("htf_step") >= 0,
-        "zone": F.when(d == 1, F.col("cycle") <= p["oversold"]).otherwise(F.col("cycle") >= p["overbought"]),
-        "volume": F.col("volume_ratio") > 1 if p["use_volume"] else F.lit(True),
+        "zone": F.when(d == 1, F.col("cycle") < p["oversold"]).otherwise(F.col("cycle") > p["overbought"]),
+        "volume": F.col("volume_ratio") >= p["volume_mult"] if p["use_volume"] else F.lit(True),
         "fisher": d * F.col("fisher_step") > 0,
         "momentum": d * F.col("momentum3") > 0,
         "strength": F.col("strong"),
@@ -157,11 +158,20 @@ def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher
     return b.select("series", "bar_idx", "ts_ms", "direction", confidence(kind, parts).alias("confidence"), entry.alias("entry"), "atr")
 
 
-@strategy("cycle")
+#: What the flat scores' strategies have of their own.
+FLAT = {"trigger_ema": 14, "trend_alpha": 0.07, "manual_alpha": 0.35}
+
+
+@strategy("cycle", **FLAT)
 def _(bars, p):
     return _cycle("v7", bars, p)
 
 
+@strategy("cycle_v63", **FLAT)
+def _(bars, p):
+    return _cycle("v63", bars, p, hard_trend=p["use_trend"])
+
+
 @strategy("cycle_pine", reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3))
 def _(bars, p):
     return _cycle("generic", bars, p, hard_trend=True, higher="held", at_middle=True)
@@ -187,7 +197,7 @@ def _(bars, p):
     return _cycle("no_htf", bars, p, hard_trend=True)
 
 
-@strategy("itrend", confidence_min=55.0, slope_min=0.05, extension_max=0.05)
+@strategy("itrend", trend_alpha=0.07, confidence_min=55.0, slope_min=0.05, extension_max=0.05)
 def _(bars, p):
     """Candidates where the trend line's two-bar slope changes its sign."""
     w = in_order()

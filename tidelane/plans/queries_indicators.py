@@ -191,24 +191,36 @@ def _(b):
 
 
 A = 0.07
-TREND = f"""RECURSIVE rt(series, bar_idx, c1, c2, t1, t2) AS (SELECT series, bar_idx, c, 0.0::DOUBLE, c, 0.0::DOUBLE FROM bars WHERE bar_idx = 0
- UNION ALL SELECT b.series, b.bar_idx, b.c, rt.c1, CASE WHEN b.bar_idx < 3 THEN b.c ELSE {A - A * A / 4!r} * b.c + {A * A / 2!r} * rt.c1 - {A - 0.75 * A * A!r} * rt.c2 + {2 * (1 - A)!r} * rt.t1 - {(1 - A) ** 2!r} * rt.t2 END, rt.t1
+
+
+def trend_cte(a: float = A) -> str:
+    """The trend line of the close, t1 of rt."""
+    return f"""RECURSIVE rt(series, bar_idx, c1, c2, t1, t2) AS (SELECT series, bar_idx, c, 0.0::DOUBLE, c, 0.0::DOUBLE FROM bars WHERE bar_idx = 0
+ UNION ALL SELECT b.series, b.bar_idx, b.c, rt.c1, CASE WHEN b.bar_idx < 3 THEN b.c ELSE {a - a * a / 4!r} * b.c + {a * a / 2!r} * rt.c1 - {a - 0.75 * a * a!r} * rt.c2 + {2 * (1 - a)!r} * rt.t1 - {(1 - a) ** 2!r} * rt.t2 END, rt.t1
  FROM rt JOIN bars b ON b.series = rt.series AND b.bar_idx = rt.bar_idx + 1)"""
 
 
+TREND = trend_cte()
+
+
 @column("itrend", ["itrend"], f"WITH bars, {TREND} SELECT series, bar_idx, round(t1, 6) AS itrend FROM rt")
 def _(b):
     return folds.trend_line(b)
 
 
-CYCLE = f"""s AS MATERIALIZED (SELECT series, bar_idx, (coalesce(c, 0) + 2 * coalesce(lag(c) OVER w, 0) + 2 * coalesce(lag(c, 2) OVER w, 0) + coalesce(lag(c, 3) OVER w, 0)) / 6 AS s,
- (c - 2 * coalesce(lag(c) OVER w, 0) + coalesce(lag(c, 2) OVER w, 0)) / 4 AS q FROM bars WINDOW w AS ({P})),
+def cycle_cte(x: str = "c", a: float = A) -> str:
+    """The cycle of x with a constant alpha, c1 of r."""
+    return f"""s AS MATERIALIZED (SELECT series, bar_idx, (coalesce({x}, 0) + 2 * coalesce(lag({x}) OVER w, 0) + 2 * coalesce(lag({x}, 2) OVER w, 0) + coalesce(lag({x}, 3) OVER w, 0)) / 6 AS s,
+ ({x} - 2 * coalesce(lag({x}) OVER w, 0) + coalesce(lag({x}, 2) OVER w, 0)) / 4 AS q FROM bars WINDOW w AS ({P})),
  d AS MATERIALIZED (SELECT *, s - 2 * coalesce(lag(s) OVER ({P}), 0) + coalesce(lag(s, 2) OVER ({P}), 0) AS curve FROM s),
  RECURSIVE r(series, bar_idx, c1, c2) AS (SELECT series, bar_idx, q, 0.0::DOUBLE FROM d WHERE bar_idx = 0
- UNION ALL SELECT d.series, d.bar_idx, CASE WHEN d.bar_idx < 7 THEN d.q ELSE {(1 - A / 2) ** 2!r} * d.curve + {2 * (1 - A)!r} * r.c1 - {(1 - A) ** 2!r} * r.c2 END, r.c1
+ UNION ALL SELECT d.series, d.bar_idx, CASE WHEN d.bar_idx < 7 THEN d.q ELSE {(1 - a / 2) ** 2!r} * d.curve + {2 * (1 - a)!r} * r.c1 - {(1 - a) ** 2!r} * r.c2 END, r.c1
  FROM r JOIN d ON d.series = r.series AND d.bar_idx = r.bar_idx + 1)"""
 
 
+CYCLE = cycle_cte()
+
+
 @column("cybercycle", ["cycle", "trigger"], f"WITH bars, {CYCLE} SELECT series, bar_idx, round(c1, 6) AS cycle, round(coalesce(lag(c1) OVER ({P}), 0), 6) AS trigger FROM r")
 def _(b):
     return folds.cycle(b)

@@ -6,21 +6,25 @@ from pyspark.sql import functions as F
 
 from tidelane.operators import signals
 
-from .queries_indicators import CYCLE, FISHER, FVG, GAUSS, LIQUIDITY, P, TR, TREND, oscillator_sql, recursion
+from .queries_indicators import FISHER, FVG, GAUSS, LIQUIDITY, P, TR, TREND, cycle_cte, oscillator_sql, recursion, trend_cte
 from .registry import hourly, query, rounded
 
 #: tr with tm, and its running mean ra.
 ATR = f"{TR}, tm AS MATERIALIZED (SELECT * FROM tr), {recursion('ra', 'tr', 1 / 14, 'tm')}"
 RATIO = f"v / avg(v) OVER ({P} ROWS 19 PRECEDING)"
 
-#: Everything a cycle strategy reads, at crosses only, as cx.
-CROSSES = f"""{ATR}, {TREND}, {CYCLE}, {FISHER},
- al AS MATERIALIZED (SELECT b.*, ra.e AS atr, rt.t1 AS line, r.c1 AS cy, fi.fisher AS fi, lag(r.c1, 1, 0.0) OVER (PARTITION BY b.series ORDER BY b.bar_idx) AS tg FROM bars b JOIN ra USING (series, bar_idx) JOIN rt USING (series, bar_idx) JOIN r USING (series, bar_idx) JOIN fi USING (series, bar_idx)),
+
+def crosses(alpha: float, trigger: int, trend: float) -> str:
+    """Everything a cycle strategy reads, at crosses only, as cx: the cycle of the middle of each bar, its moving average of
+    `trigger` bars, the trend line of the close."""
+    return f"""{ATR}, {trend_cte(trend)}, {cycle_cte("((h + l) / 2)", alpha)}, {FISHER}, rm AS MATERIALIZED (SELECT * FROM r), {recursion("rg", "c1", 2 / (trigger + 1), "rm")},
+ al AS MATERIALIZED (SELECT b.*, ra.e AS atr, rt.t1 AS line, r.c1 AS cy, fi.fisher AS fi, rg.e AS tg FROM bars b JOIN ra USING (series, bar_idx) JOIN rt USING (series, bar_idx) JOIN r USING (series, bar_idx) JOIN fi USING (series, bar_idx) JOIN rg USING (series, bar_idx)),
  hs AS (SELECT *, CASE WHEN bar_idx = 0 THEN line WHEN ts_ms // 14400000 <> lag(ts_ms // 14400000) OVER ({P}) THEN lag(line) OVER ({P}) END AS he FROM al),
- ky AS (SELECT *, line - lag(line, 2) OVER ({P}) AS slope, fi - lag(fi) OVER ({P}) AS fstep, cy - lag(cy, 3) OVER ({P}) AS mom, {RATIO} AS vr, bar_idx < 100 OR abs(cy) >= quantile_cont(abs(cy), 0.6) OVER ({P} ROWS 100 PRECEDING) AS strong,
+ ky AS (SELECT *, line - lag(line, 2) OVER ({P}) AS slope, fi - lag(fi) OVER ({P}) AS fstep, cy - lag(cy, 3) OVER ({P}) AS mom, {RATIO} AS vr, bar_idx < 50 OR abs(cy) >= quantile_cont(abs(cy), 0.5) OVER ({P} ROWS 50 PRECEDING) AS strong,
  sign(cy - tg) AS side, cy > tg AND lag(cy) OVER ({P}) <= lag(tg) OVER ({P}) AS up, cy < tg AND lag(cy) OVER ({P}) >= lag(tg) OVER ({P}) AS dn, c - last_value(he IGNORE NULLS) OVER ({P}) AS held FROM hs),
  cx AS MATERIALIZED (SELECT * FROM ky WHERE bar_idx >= 10 AND (up OR dn))"""
 
+
 #: The step of the last whole higher bar over its mean, as hx.
 HIGHER = f"""hb AS MATERIALIZED (SELECT series, ts_ms // 14400000 AS bucket, row_number() OVER (PARTITION BY series ORDER BY ts_ms // 14400000) - 1 AS bar_idx, (max(h) + min(l)) / 2 AS m, arg_max(c, ts_ms) AS c FROM bars GROUP BY series, ts_ms // 14400000),
  {recursion("rh", "c", 2 / 11, "hb")}, hx AS (SELECT series, bucket, lag(m - e) OVER (PARTITION BY series ORDER BY bucket) AS s FROM hb JOIN rh USING (series, bar_idx))"""
@@ -33,23 +37,25 @@ def accepted(candidates: str, stop: str = "entry - direction * 1.5 * atr", targe
     SELECT series, bar_idx, direction, confidence::DOUBLE AS confidence, round(entry, 6) AS entry, round(st, 6) AS stop, round({target}, 6) AS target, round(entry * (1 + 0.015 * direction), 6) AS be_trigger FROM rs JOIN sg USING (series, bar_idx)"""
 
 
-def cycle_sql(trend: int, higher: int, zone: int, volume: int, fisher: int, mom: int, strong: int, cross: int = 20, step: str | None = None, gate: str = "true", entry: str = "c") -> str:
+def cycle_sql(trend: int, higher: int, zone: int, volume: int, fisher: int, mom: int, strong: int, cross: int = 20, step: str | None = None, gate: str = "true", entry: str = "c", alpha: float = 0.42, trigger: int = 9, line: float = 0.09) -> str:
     """Points of the parts, which higher time frame step there is, and what must hold."""
     real = f", {HIGHER}" if step == "real" else ""
     value = {"real": "coalesce(hx.s, 0)", "held": "held", None: "0"}[step]
     join = "LEFT JOIN hx ON hx.series = cx.series AND hx.bucket = cx.ts_ms // 14400000" if real else ""
     return accepted(
-        f"""WITH bars, {CROSSES}{real}, sd AS (SELECT cx.*, side::INT AS direction, side * {value} AS hstep FROM cx {join}),
+        f"""WITH bars, {crosses(alpha, trigger, line)}{real}, sd AS (SELECT cx.*, side::INT AS direction, side * {value} AS hstep FROM cx {join}),
     cd AS (SELECT series, bar_idx, direction, {entry} AS entry, atr, least(100, {cross} + CASE WHEN direction * slope > 0 THEN {trend} ELSE 0 END + CASE WHEN hstep >= 0 THEN {higher} ELSE 0 END
-    + CASE WHEN direction * cy <= -1.5 THEN {zone} ELSE 0 END + CASE WHEN vr > 1 THEN {volume} ELSE 0 END + CASE WHEN direction * fstep > 0 THEN {fisher} ELSE 0 END + CASE WHEN direction * mom > 0 THEN {mom} ELSE 0 END
+    + CASE WHEN direction * cy < -1.5 THEN {zone} ELSE 0 END + CASE WHEN vr >= 1.5 THEN {volume} ELSE 0 END + CASE WHEN direction * fstep > 0 THEN {fisher} ELSE 0 END + CASE WHEN direction * mom > 0 THEN {mom} ELSE 0 END
     + CASE WHEN strong THEN {strong} ELSE 0 END) AS confidence FROM sd WHERE {gate})"""
     )
 
 
 WITH_TREND, WITH_BOTH = "direction * slope > 0", "direction * slope > 0 AND hstep >= 0"
 MIDDLE = "(h + l) / 2"
+V7 = {"alpha": 0.35, "trigger": 14, "line": 0.07}
 SQL = {
-    "cycle": cycle_sql(20, 0, 15, 15, 10, 10, 10),
+    "cycle": cycle_sql(20, 0, 15, 15, 10, 10, 10, **V7),
+    "cycle_v63": cycle_sql(25, 0, 20, 20, 10, 5, 0, gate=WITH_TREND, **V7),
     "cycle_pine": cycle_sql(15, 15, 15, 10, 10, 15, 0, step="held", gate=WITH_BOTH, entry=MIDDLE),
     "cycle_pine_htf": cycle_sql(15, 15, 15, 10, 10, 15, 0, step="real", gate=WITH_BOTH, entry=MIDDLE),
     "cycle_htf": cycle_sql(15, 15, 15, 10, 10, 15, 0, step="real", gate="hstep >= 0"),

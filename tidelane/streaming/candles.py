@@ -51,17 +51,14 @@ def smoothed(bars: DataFrame, alpha: float, value: str = "c") -> DataFrame:
 
 
 class CycleState:
-    """Alpha, cycle and Fisher kernels of one series, as bytes between triggers."""
+    """The oscillator of one series and the number of its bars, as bytes between triggers."""
 
     def __init__(self, method: str = "manual"):
-        self.alpha, self.cycle, self.fisher, self.last, self.n = kernels.ALPHAS[method](), kernels.Cycle(), kernels.Fisher(), 0.0, 0
+        self.oscillator, self.n = kernels.Oscillator(method), 0
 
     def step(self, x: float) -> tuple:
-        a = self.alpha.step(x)
-        c = self.cycle.step(x, a)
-        trigger, self.last = self.last, c
         self.n += 1
-        return self.n - 1, a, c, trigger, self.fisher.step(c)
+        return self.n - 1, *self.oscillator.step(x)
 
 
 def cycles(bars: DataFrame, method: str = "manual", value: str = "c", final: str | None = None) -> DataFrame:
