@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelane.operators import signals
+from tidelane.operators import live, signals, simulation
 
 from .queries_indicators import FISHER, FVG, GAUSS, LIQUIDITY, P, TR, TREND, cycle_cte, oscillator_sql, recursion, trend_cte
-from .registry import hourly, query, rounded
+from .queries_bars import fine
+from .registry import HOUR, hourly, query, rounded
 
 #: tr with tm, and its running mean ra.
 ATR = f"{TR}, tm AS MATERIALIZED (SELECT * FROM tr), {recursion('ra', 'tr', 1 / 14, 'tm')}"
@@ -89,3 +90,36 @@ for _name in signals.REGISTRY:
     def _(spark, d, name=_name):
         s = signals.REGISTRY[name].signals(hourly(spark, d), confidence_min=40.0, min_bars=5)
         return rounded(s.select("series", "bar_idx", "direction", "confidence", "entry", "stop", F.col("targets")[0].alias("target"), "be_trigger"))
+
+
+def shown(s):
+    return rounded(s.select("series", "bar_idx", "direction", "confidence", "entry", "stop", F.col("targets")[0].alias("target"), "be_trigger"))
+
+
+for _name in live.KINDS:
+
+    @query(f"incremental_{_name}", SQL[_name])
+    def _(spark, d, name=_name):
+        """The strategy bar by bar, which must give what its columns give."""
+        return shown(live.incremental(hourly(spark, d), name, confidence_min=40.0, min_bars=5))
+
+
+def intrabar(spark, d):
+    """Signals of hourly bars as they form from bars of five minutes."""
+    b = hourly(spark, d)
+    return live.incremental(live.open_bars(b, fine(spark, d), HOUR), "cycle", confidence_min=40.0, min_bars=5)
+
+
+@query("intrabar_signals")
+def _(spark, d):
+    return shown(intrabar(spark, d))
+
+
+@query("simulate_partial_bars")
+def _(spark, d):
+    """Positions opened at the five-minute close that first gives the hour's signal, and checked on each later one."""
+    from tidelane.operators import bars as B
+
+    f = B.indexed(fine(spark, d))
+    s = intrabar(spark, d).drop("bar_idx").join(f.select("series", "ts_ms", "bar_idx"), ["series", "ts_ms"])
+    return rounded(simulation.trades(simulation.simulate(f, s, simulation.Settings(funding_bars=8 * 12))))
