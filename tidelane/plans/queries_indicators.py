@@ -480,6 +480,24 @@ def _(spark, d):
     return signals.contributions(signals.vote(member("a", F.col("c") > F.col("o")).union(member("b", F.col("c") > 50)).union(member("c", F.col("v") > 3))))
 
 
+@query(
+    "ensemble_by_regime",
+    """WITH bars, s AS (SELECT series, bar_idx, v > 3 AS busy, 'a' AS m, CASE WHEN c > o THEN 1 ELSE -1 END AS d, 60.0 AS conf FROM bars UNION ALL SELECT series, bar_idx, v > 3, 'b', CASE WHEN c > 50 THEN 1 ELSE -1 END, 80.0 FROM bars
+    UNION ALL SELECT series, bar_idx, v > 3, 'c', CASE WHEN h > 70 THEN 1 ELSE -1 END, 70.0 FROM bars),
+    x AS (SELECT *, CASE m WHEN 'a' THEN if(busy, 1.0, 0.3) WHEN 'b' THEN if(busy, 0.5, 1.1) ELSE if(busy, 0.8, 0.6) END * conf AS p FROM s),
+    g AS (SELECT series, bar_idx, sum(CASE WHEN d = 1 THEN p ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN d = -1 THEN p ELSE 0 END)::DOUBLE AS b, count(*) AS members FROM x GROUP BY ALL)
+    SELECT series, bar_idx, CASE WHEN a > b THEN 1 ELSE -1 END AS direction, round(greatest(a, b) / (a + b) * 100, 6) AS confidence, members FROM g WHERE greatest(a, b) >= 0.5 * (a + b)""",
+)
+def _(spark, d):
+    """Three members whose weights follow the regime, busy or quiet bars."""
+    b = hourly(spark, d)
+    member = lambda n, cond, conf: b.select("series", "bar_idx", F.lit(n).alias("member"), F.lit(1.0).alias("weight"), F.when(cond, 1).otherwise(-1).alias("direction"), F.lit(conf).alias("confidence"))
+    s = member("a", F.col("c") > F.col("o"), 60.0).union(member("b", F.col("c") > 50, 80.0)).union(member("c", F.col("h") > 70, 70.0))
+    labels = b.select("series", "bar_idx", F.when(F.col("v") > 3, "busy").otherwise("quiet").alias("regime"))
+    weights = spark.createDataFrame([("busy", "a", 1.0), ("busy", "b", 0.5), ("busy", "c", 0.8), ("quiet", "a", 0.3), ("quiet", "b", 1.1), ("quiet", "c", 0.6)], "regime string, member string, weight double")
+    return rounded(signals.by_regime(s, labels, weights).drop("contributors"))
+
+
 def oscillator_sql(live: str) -> str:
     """The oscillator as CTE os; live: which of the blocks obm count at bar b."""
     return f"""{BREAKS}, {OB}, td AS (SELECT b.series, b.bar_idx, coalesce(last_value(br.direction IGNORE NULLS) OVER (PARTITION BY b.series ORDER BY b.bar_idx), 0) AS trend FROM bars b LEFT JOIN br USING (series, bar_idx)),
