@@ -71,6 +71,12 @@ def op10_quality_classifier(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -112,5 +118,21 @@ FROM f
 """
 
 
+OP11 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails FROM w LEFT JOIN g USING (doc_id)),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, e.k, f.k] AS p FROM l a JOIN l b ON b.k <> a.k JOIN l c ON c.k NOT IN (a.k, b.k) JOIN l e ON e.k NOT IN (a.k, b.k, c.k) JOIN l f ON f.k NOT IN (a.k, b.k, c.k, e.k)),
+x AS (SELECT part, good, toxic, fails, p, list_position(list_transform(p, lambda i: fails[i]), true) AS gone FROM d, o),
+s AS (SELECT part, p, k, p[k] AS i, count(*) FILTER (gone IS NULL OR gone > k) AS kept, count(*) FILTER (gone = k) AS removed, count(*) FILTER (fails[p[k]] AND gone < k) AS redundant,
+  count(*) FILTER (fails[p[k]] AND len(list_filter(fails, lambda z: z)) = 1) AS unique_fails, count(*) FILTER (gone = k AND good) AS good_lost, count(*) FILTER (gone = k AND toxic) AS toxic_lost
+  FROM x, l GROUP BY part, p, k)
+SELECT part, array_to_string(list_transform(p, lambda j: 'ABCDE'[j:j]), '') AS filter_order, k AS step, 'ABCDE'[i:i] AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op6_decontamination": OP6, "op9_warc": OP9}
+    return {"op11_filter_audit": OP11, "op1_ngram_jaccard_join": OP1, "op6_decontamination": OP6, "op9_warc": OP9}
