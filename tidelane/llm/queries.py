@@ -77,6 +77,12 @@ def op11_filter_audit(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_tokenizer_alignment(spark, sf_dir):
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), _path(), _path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
