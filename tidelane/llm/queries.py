@@ -83,6 +83,14 @@ def op12_tokenizer_alignment(spark, sf_dir):
     return align(table(spark, sf_dir, "documents"), _path(), _path("piece_bpe_32k.model"))
 
 
+def op13_language_model(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .language_model import in_seventh, language_model
+
+    return language_model(table(spark, sf_dir, "documents"), in_seventh(F.col("doc_id")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
