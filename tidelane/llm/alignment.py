@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together, and which ids they pair.
 
-Python gives each text's ids and byte ends under both tokenizers and no more. The rest are Spark's own functions: the ends
-that both have are an intersection of two arrays; sorting both sides' ends together, each with its place, puts the tokens
-that end together side by side, which gives the links of a text in time that follows its tokens. Pairs are counted over the
-corpus, and the counts come back to the links: frequent pairs by a broadcast of bounded size, any others by a shuffle.
+Python gives each text's ids, byte ends and the token over each byte, under both tokenizers, and no more. The rest are
+Spark's own functions: the ends that both have are an intersection of two arrays, and the tokens that end there are looked up
+by byte, so the work on a text follows its length. Pairs are counted over the corpus, and the counts come back to the links:
+frequent pairs by a broadcast of bounded size, any others by a shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from .common import blocks, cut, released
 from .packing import _tokenizer
 from .token_count import BLOCK_CHARS, _loaded, pretokens
 
-MEMO = 250_000  # words of a tokenizer kept in a worker
+MEMO = 300_000  # words of a tokenizer kept in a worker
 BROADCAST_PAIRS = 1_000_000  # pairs that are broadcast; they are the most frequent
 SEGMENT = re.compile(" +[^ ]*")
-LOW = (1 << 31) - 1
+SIDES = [f"{side}_{what}" for side in "ab" for what in ("ids", "ends", "of")]
 
 
 class Side:
@@ -42,10 +42,6 @@ class Side:
         """Each text's ids; none where the tokens' bytes are not the text's."""
         cut_up = self.words(texts)
         memo = self.memo
-        if len(memo) > MEMO:  # short words are the frequent ones
-            for w in [w for w in memo if len(w) > 6 or w in self.lossy]:
-                del memo[w]
-            self.lossy.clear()
         new = list(set().union(*map(set, cut_up)).difference(memo)) if cut_up else []
         for w, ids in zip(new, self.encode(new)):
             memo[w] = struct.pack(f"<{len(ids)}i", *ids)
@@ -56,6 +52,10 @@ class Side:
             ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4")
             spells = self.lossy.isdisjoint(words) or b"".join([self.token[i] for i in ids.tolist()]) == text.encode("utf-8", "surrogatepass")
             out.append(ids if spells else None)
+        if len(memo) > MEMO:  # the frequent words are there by now; those of this call go
+            for w in new:
+                del memo[w]
+            self.lossy.difference_update(new)
         return out
 
 
@@ -107,10 +107,17 @@ def piece_side(path: str) -> Side:
 
     words = lambda texts: [[x] if x else [] for x in texts]
     if _plain(model) and not any("▁" in p.lstrip("▁") for p in pieces):
-        words = lambda texts: [SEGMENT.findall(x) for x in texts]
+        return Side(token, lambda texts: list(map(_spaced, texts)), encode)
     return Side(token, words, encode)
 
 
+def _spaced(text: str) -> list[str]:
+    """A text that begins with a space, cut before each space that follows another character."""
+    if not text:
+        return []
+    return SEGMENT.findall(text) if "  " in text or text[-1] == " " else [" " + w for w in text[1:].split(" ")]
+
+
 def _plain(model) -> bool:
     """Whether the model leaves texts as they are but for a space before them."""
     try:
@@ -122,12 +129,13 @@ def _plain(model) -> bool:
 
 
 def tokenized(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id and, for both tokenizers, ids and byte ends of the tokens of space + text: a_ids, a_ends, b_ids, b_ends.
+    """doc_id and, for both tokenizers, of the tokens of space + text: ids, byte ends, and the place of the token over each
+    byte: a_ids, a_ends, a_of, b_ids, b_ends, b_of.
 
-    All four are empty where the text is, or where a tokenizer's tokens do not spell it.
+    All are empty where the text is, or where a tokenizer's tokens do not spell it.
     """
 
-    def listed(parts: list[np.ndarray], what) -> pa.Array:
+    def listed(parts: list[np.ndarray]) -> pa.Array:
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32, copy=False)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
 
@@ -137,17 +145,20 @@ def tokenized(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             docs, texts = batch.column("doc_id"), [" " + x if x else "" for x in batch.column("text").to_pylist()]
             for start, end in blocks([len(x) for x in texts], BLOCK_CHARS):
-                columns: list[list[np.ndarray]] = [[], [], [], []]
+                columns: list[list[np.ndarray]] = [[] for _ in SIDES]
                 for a, b in zip(a_side.ids(texts[start:end]), b_side.ids(texts[start:end])):
                     if a is None or b is None:
                         a = b = nothing
-                    for column, x in zip(columns, (a, np.cumsum(a_side.size[a], dtype=np.int32), b, np.cumsum(b_side.size[b], dtype=np.int32))):
+                    each = []
+                    for ids, sizes in ((a, a_side.size[a]), (b, b_side.size[b])):
+                        each += [ids, np.cumsum(sizes, dtype=np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)]
+                    for column, x in zip(columns, each):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([docs[start:end], *(listed(c, None) for c in columns)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([docs[start:end], *map(listed, columns)], ["doc_id", *SIDES])
         released(a_side.memo, b_side.memo)
 
     ints = ArrayType(IntegerType(), False)
-    schema = StructType([StructField("doc_id", LongType()), *(StructField(c, ints, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
+    schema = StructType([StructField("doc_id", LongType()), *(StructField(c, ints, False) for c in SIDES)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -157,25 +168,23 @@ def aligned(tokens: DataFrame) -> DataFrame:
     row tells rows apart, whatever their doc_id.
     """
     t = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends"))
-    # an end, the side and the place in one long each; sorted, tokens that end together are neighbours
-    placed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR((i + side).cast("long")))
-    t = t.withColumn("merged", F.sort_array(F.concat(placed("a_ends", F.lit(0).cast("long")), placed("b_ends", F.lit(1 << 31).cast("long")))))
-    end = lambda p: F.shiftright(F.get("merged", p), 32)
-    steps = F.when(F.size("merged") > 1, F.sequence(F.lit(0), F.size("merged") - 2)).otherwise(F.array().cast("array<int>"))
-    t = t.withColumn("met", F.filter(steps, lambda p: end(p) == end(p + 1)))
-    place = lambda p: F.get("merged", p).bitwiseAND(F.lit(LOW).cast("long")).cast("int")
-    t = t.withColumn("a_at", F.transform("met", lambda p: place(p))).withColumn("b_at", F.transform("met", lambda p: place(p + 1)))
-    t = t.withColumn("a_text", F.col("a_ids").cast("array<string>")).withColumn("b_text", F.col("b_ids").cast("array<string>"))
-
-    def ids_of(side: str, k: Column) -> Column:
-        """The side's ids in group k, joined: those after the link before up to the link that ends it."""
-        last = F.get(f"{side}_at", k)
-        before = F.when(k > 0, F.get(f"{side}_at", k - 1)).otherwise(-1)
-        return F.array_join(F.slice(f"{side}_text", before + 2, last - before), ",")
-
-    each = F.when(F.size("ends") > 0, F.sequence(F.lit(0), F.size("ends") - 1)).otherwise(F.array().cast("array<int>"))
-    groups = F.array_join(F.transform(each, lambda k: F.concat(ids_of("a", k), F.lit("|"), ids_of("b", k))), ";")
-    pair = lambda k: F.shiftleft(F.get("a_ids", F.get("a_at", k)).cast("long"), 32).bitwiseOR(F.get("b_ids", F.get("b_at", k)).cast("long"))
+    ending = lambda x: F.transform("ends", lambda e: F.get(f"{x}_of", e - 1))
+    t = t.withColumns({f"{x}_at": ending(x) for x in "ab"})
+    # the link before each, too: groups end at links
+    t = t.withColumns({f"{x}_from": F.concat(F.array(F.lit(-1)), f"{x}_at") for x in "ab"})
+
+    def ids_of(x: str, before: Column, last: Column) -> Column:
+        """The side's ids after place `before` up to `last`, joined."""
+        return F.array_join(F.slice(f"{x}_ids", before + 2, last - before).cast("array<string>"), ",")
+
+    def group(a: Column, k: Column) -> Column:
+        """Group k, whose last token of A is a."""
+        b, a0, b0 = F.get("b_at", k), F.get("a_from", k), F.get("b_from", k)
+        single = F.concat(F.get("a_ids", a).cast("string"), F.lit("|"), F.get("b_ids", b).cast("string"))
+        return F.when((a - a0 == 1) & (b - b0 == 1), single).otherwise(F.concat(ids_of("a", a0, a), F.lit("|"), ids_of("b", b0, b)))
+
+    groups = F.array_join(F.transform("a_at", group), ";")
+    pair = lambda a, b: F.shiftleft(F.get("a_ids", a).cast("long"), 32).bitwiseOR(F.get("b_ids", b).cast("long"))
     return t.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -183,7 +192,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
         F.size("b_ids").cast("long").alias("n_b"),
         F.size("ends").cast("long").alias("n_groups"),
         F.when(F.size("ends") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"),
-        F.transform(each, pair).alias("links"),
+        F.zip_with("a_at", "b_at", pair).alias("links"),
     )
 
 
