@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,8 @@ from .windows import back, gaps_and_islands, true_range
 
 #: Labels.
 TREND_UP, TREND_DOWN, RANGING, HIGH_VOL_UP, HIGH_VOL_DOWN = 1, 2, 3, 4, 5
+#: Mean returns up to this size are neither up nor down.
+FLAT = 0.0001
 FEATURES = ("ret_mean", "ret_sd", "volume_share", "range_share", "slope_share")
 
 
@@ -54,22 +58,27 @@ def features(bars: DataFrame, n: int = 20) -> DataFrame:
     return b.withColumns({c: F.when(F.col("bar_idx") >= n, F.col(c)) for c in FEATURES}).drop("r")
 
 
+def named(returns: list[float], volatility: list[float]) -> list[int]:
+    """The regime of each centre by its mean return and its volatility."""
+    middle = median(volatility)
+    calm = lambda r: RANGING if abs(r) <= FLAT else TREND_UP if r > 0 else TREND_DOWN
+    wild = lambda r: RANGING if abs(r) <= FLAT else HIGH_VOL_UP if r > 0 else HIGH_VOL_DOWN
+    return [wild(r) if v > middle else calm(r) for r, v in zip(returns, volatility)]
+
+
 def clusters(bars: DataFrame, n: int = 20, k: int = 4, seed: int = 42) -> DataFrame:
     """Bars that have features, with regime: k-means of the standardised features, named by the clusters' centres.
 
-    The most volatile clusters (the upper half by ret_sd) are high-volatility ones, the others trends; the sign of
-    ret_mean gives the side, and the flattest of the others ranges.
+    A centre ranges where its mean return is within FLAT of 0; the sign gives the side of the others, which are
+    high-volatility ones where ret_sd is above the centres' median and trends where it is not.
     """
     b = VectorAssembler(inputCols=list(FEATURES), outputCol="_raw", handleInvalid="skip").transform(features(bars, n).dropna(subset=list(FEATURES)))
-    b = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(b).transform(b)
+    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(b)
+    b = scaler.transform(b)
     model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=50).fit(b)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    by_sd = sorted(range(len(centres)), key=lambda i: -centres[i][1])
-    names = {}
-    for rank, i in enumerate(by_sd):
-        up = centres[i][0] >= 0
-        names[i] = (HIGH_VOL_UP if up else HIGH_VOL_DOWN) if rank < len(by_sd) // 2 else (TREND_UP if up else TREND_DOWN)
-    names[min(by_sd[len(by_sd) // 2 :], key=lambda i: centres[i][4])] = RANGING
+    scaled = [list(map(float, c)) for c in model.clusterCenters()]
+    centres = [[c[j] * scaler.std[j] + scaler.mean[j] for j in range(2)] for c in scaled]  # as they were measured
+    names = {i: name for i, name in enumerate(named([c[0] for c in centres], [c[1] for c in centres]))}
     label = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("cluster")]
     return model.transform(b).withColumn("regime", label).drop("_raw", "_x")
 

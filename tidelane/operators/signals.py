@@ -15,11 +15,11 @@ from .windows import crossover, crossunder, momentum, multi_trend, strength, tru
 PARTS = ("cross", "trend", "htf", "zone", "volume", "fisher", "momentum", "strength")
 #: Points of each part by kind of score; a kind without a part does not look at it.
 WEIGHTS = {
-    "generic": {"cross": 20, "trend": 15, "htf": 15, "zone": 15, "volume": 10, "fisher": 10, "momentum": 15},
+    "generic": {"cross": 20, "trend": 15, "htf": 15, "zone": 15, "volume": 15, "fisher": 10, "momentum": 10},
     "v7": {"cross": 20, "trend": 20, "zone": 15, "volume": 15, "fisher": 10, "momentum": 10, "strength": 10},
     "no_htf": {"cross": 25, "trend": 20, "zone": 20, "volume": 15, "fisher": 10, "momentum": 10},
     "itrend": {"cross": 30, "trend": 25, "volume": 25, "strength": 20},
-    "soft_htf": {"cross": 20, "trend": 25, "htf": 15, "zone": 15, "volume": 15, "fisher": 10, "momentum": 10},
+    "soft_htf": {"cross": 20, "trend": 25, "htf": 15, "zone": 15, "volume": 10, "fisher": 15, "momentum": 10},
     "v63": {"cross": 20, "trend": 25, "zone": 20, "volume": 20, "fisher": 10, "momentum": 5},
 }
 
@@ -63,32 +63,31 @@ def strategy(name: str, **defaults):
 
 
 EXITS = {
-    "min_bars": 24, "confidence_min": 75.0, "leverage": 7.0, "atr_mult": 1.5, "reward": (1.0, 2.0), "portions": (0.5, 0.5), "fixed_stop": 0.0,
-    "be_pct": 1.5, "trailing": True, "trail_activate_pct": 2.0, "trail_pullback_pct": 1.0,
+    "min_bars": 12, "confidence_min": 75.0, "leverage": 20.0, "atr_mult": 1.5, "reward": (2.0, 3.0), "portions": (0.6, 0.4), "fixed_stop": 0.0, "fixed_targets": (),
+    "be_pct": 1.5, "trailing": True, "trail_activate_pct": 2.5, "trail_pullback_pct": 1.0,
     "alpha_method": "manual", "manual_alpha": 0.42, "trigger_ema": 9, "overbought": 1.5, "oversold": -1.5, "trend_alpha": 0.09, "atr_period": 14, "volume_period": 20, "volume_mult": 1.5, "use_trend": True, "use_volume": True, "strength_lookback": 50, "strength_percent": 50.0, "htf_seconds": 14400,
 }
 
 
 def with_exits(s: DataFrame, p: dict) -> DataFrame:
-    """Adds stop, targets, portions, be_trigger, trail_distance, leverage.
+    """Adds stop, targets, portions, be_trigger, trail_distance, leverage; what the candidates bring themselves stays.
 
-    The stop lies atr_mult ATRs away, or fixed_stop percent if that is set; targets are multiples of its distance. The
-    break-even trigger is the nearer of the break-even price and the trailing stop's activation.
+    The stop lies atr_mult ATRs away, or fixed_stop percent if that is set; targets are multiples of its distance, or
+    fixed_targets percent away. The break-even trigger is the nearer of the break-even price and the trailing stop's
+    activation.
     """
-    d, e = F.col("direction"), F.col("entry")
+    d, e, own = F.col("direction"), F.col("entry"), set(s.columns)
     away = e * p["fixed_stop"] / 100 if p["fixed_stop"] else F.col("atr") * p["atr_mult"]
     pcts = [x for x in (p["be_pct"], p["trail_activate_pct"] if p["trailing"] else 0) if x > 0]
-    stop = F.coalesce(F.col("stop"), e - d * away) if "stop" in s.columns else e - d * away
+    stop = F.coalesce(F.col("stop"), e - d * away) if "stop" in own else e - d * away
     s = s.withColumn("stop", stop).withColumn("_r", F.abs(e - F.col("stop")))
-    return s.withColumns(
-        {
-            "targets": F.col("targets") if "targets" in s.columns else F.array(*(e + d * F.col("_r") * r for r in p["reward"])),
-            "portions": F.array(*(F.lit(float(x)) for x in p["portions"])),
-            "be_trigger": e + d * e * min(pcts) / 100 if pcts else F.lit(0.0),
-            "trail_distance": e * p["trail_pullback_pct"] / 100 if p["trailing"] else F.lit(0.0),
-            "leverage": F.lit(float(p["leverage"])),
-        }
-    ).drop("_r")
+    plain = {
+        "targets": F.array(*(e + d * e * x / 100 for x in p["fixed_targets"])) if p["fixed_targets"] else F.array(*(e + d * F.col("_r") * r for r in p["reward"])),
+        "be_trigger": e + d * e * min(pcts) / 100 if pcts else F.lit(0.0),
+        "trail_distance": e * p["trail_pullback_pct"] / 100 if p["trailing"] else F.lit(0.0),
+    }
+    shared = {"portions": F.array(*(F.lit(float(x)) for x in p["portions"])), "leverage": F.lit(float(p["leverage"]))}
+    return s.withColumns({k: c for k, c in plain.items() if k not in own} | shared).drop("_r")
 
 
 #: Rungs of the ladder: the level that may set it, and its distance in risks from the one before.
@@ -158,8 +157,8 @@ def _cycle(kind: str, bars: DataFrame, p: dict, hard_trend: bool = False, higher
     return b.select("series", "bar_idx", "ts_ms", "direction", confidence(kind, parts).alias("confidence"), entry.alias("entry"), "atr")
 
 
-#: What the flat scores' strategies have of their own.
-FLAT = {"trigger_ema": 14, "trend_alpha": 0.07, "manual_alpha": 0.35}
+#: What the flat scores' strategies have of their own, and the one with the softer gate.
+FLAT = {"trigger_ema": 14, "trend_alpha": 0.07, "manual_alpha": 0.35, "min_bars": 24, "leverage": 7.0, "atr_mult": 2.5, "reward": (1.5, 4.0), "trail_pullback_pct": 1.2}
 
 
 @strategy("cycle", **FLAT)
@@ -172,22 +171,22 @@ def _(bars, p):
     return _cycle("v63", bars, p, hard_trend=p["use_trend"])
 
 
-@strategy("cycle_pine", reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3))
+@strategy("cycle_pine", leverage=12.0, reward=(2.0, 3.0, 5.0), portions=(0.4, 0.3, 0.3))
 def _(bars, p):
     return _cycle("generic", bars, p, hard_trend=True, higher="held", at_middle=True)
 
 
-@strategy("cycle_pine_htf")
+@strategy("cycle_pine_htf", leverage=8.0)
 def _(bars, p):
     return _cycle("generic", bars, p, hard_trend=True, higher="real", at_middle=True)
 
 
-@strategy("cycle_htf")
+@strategy("cycle_htf", min_bars=16, be_pct=1.0)
 def _(bars, p):
-    return _cycle("generic", bars, p, higher="real")
+    return _cycle("generic", bars, p, hard_trend=True, higher="real")
 
 
-@strategy("cycle_soft_htf")
+@strategy("cycle_soft_htf", min_bars=16)
 def _(bars, p):
     return _cycle("soft_htf", bars, p, higher="held")
 
@@ -197,44 +196,75 @@ def _(bars, p):
     return _cycle("no_htf", bars, p, hard_trend=True)
 
 
-@strategy("itrend", trend_alpha=0.07, confidence_min=55.0, slope_min=0.05, extension_max=0.05)
+@strategy("itrend", trend_alpha=0.07, min_bars=10, confidence_min=55.0, slope_min=0.05, extension_max=2.0, volume_mult=1.2, leverage=10.0, atr_mult=2.0, reward=(2.0, 4.0), be_pct=1.0, trail_activate_pct=1.5, trail_pullback_pct=0.8)
 def _(bars, p):
-    """Candidates where the trend line's two-bar slope changes its sign."""
+    """Candidates where the trend line begins to rise or to fall over two bars, from the tenth bar on.
+
+    slope_min and extension_max are percentages; 0 lets everything pass.
+    """
     w = in_order()
     b = folds.rma(folds.trend_line(bars, "c", p["trend_alpha"]).withColumn("tr", true_range()), "tr", p["atr_period"], "atr")
-    b = volume_ratio(b, p["volume_period"]).withColumn("slope", (F.col("itrend") / F.lag("itrend", 2).over(w) - 1) * 100)
-    b = b.withColumn("up", F.col("slope") > 0).withColumn("before", F.lag("up").over(w))
-    b = b.filter((F.col("bar_idx") >= 4) & (F.col("up") != F.col("before"))).withColumn("direction", F.when(F.col("up"), 1).otherwise(-1))
-    near = F.abs(F.col("c") - F.col("itrend")) / F.abs("itrend") <= p["extension_max"]
-    parts = {"cross": F.lit(True), "trend": F.abs("slope") >= p["slope_min"], "volume": F.col("volume_ratio") > 1, "strength": near}
+    b = volume_ratio(b, p["volume_period"]).withColumn("_t2", F.lag("itrend", 2).over(w))
+    b = b.withColumn("slope", (F.col("itrend") - F.col("_t2")) / F.abs("_t2") * 100).withColumn("_s", F.signum(F.col("itrend") - F.col("_t2")))
+    turn = F.when((F.col("_s") != 0) & (F.col("_s") != F.coalesce(F.lag("_s").over(w), F.lit(0.0))), F.col("_s").cast("int"))
+    b = b.withColumn("direction", turn).filter((F.col("bar_idx") >= 10) & F.col("direction").isNotNull())
+    parts = {
+        "cross": F.lit(True),
+        "trend": F.col("direction") * F.col("slope") >= p["slope_min"] if p["slope_min"] > 0 else F.lit(True),
+        "volume": F.col("volume_ratio") >= p["volume_mult"] if p["use_volume"] else F.lit(True),
+        "strength": F.abs(F.col("c") - F.col("itrend")) / F.abs("itrend") * 100 <= p["extension_max"] if p["extension_max"] > 0 else F.lit(True),
+    }
     return b.select("series", "bar_idx", "ts_ms", "direction", confidence("itrend", parts).alias("confidence"), F.col("c").alias("entry"), "atr")
 
 
-@strategy("gaussian_bands", min_bars=0, confidence_min=0.0, range_bars=10, pivot_bars=5, portions=(0.30, 0.25, 0.20, 0.15, 0.10), buffer=0.25)
+@strategy("gaussian_bands", min_bars=0, confidence_min=0.0, length=20, sigma=10.0, mode="avg", distance=1.0, range_bars=10, pivot_bars=5, portions=(0.30, 0.25, 0.20, 0.15, 0.10), buffer=0.3, leverage=3.0)
 def _(bars, p):
-    """Closes that cross the trend line of the Gaussian bundle; the stop lies beyond the range before, the targets are a
-    ladder that the nearest liquidity may set."""
+    """Closes that cross the trend line of the Gaussian bundle, scored by it; the stop lies beyond the range before, the
+    targets are a ladder that the nearest liquidity may set. The first target breaks even, half the risk trails."""
     from .windows import previous_range
 
-    b = folds.rma(multi_trend(bars).withColumn("tr", true_range()), "tr", p["atr_period"], "atr").select("*", *previous_range(p["range_bars"]))
+    bundle = multi_trend(bars, period=p["length"], sigma=p["sigma"], distance=p["distance"], mode=p["mode"])
+    b = folds.rma(bundle.withColumn("tr", true_range()), "tr", p["atr_period"], "atr").select("*", *previous_range(p["range_bars"]))
     b = crossunder(crossover(b, "c", "line", "up"), "c", "line", "down").filter((F.col("bar_idx") >= 25) & (F.col("up") | F.col("down")))
     b = b.withColumn("direction", F.when(F.col("up"), 1).otherwise(-1))
     stop = F.when(F.col("up"), F.col("range_low") - F.col("atr") * p["buffer"]).otherwise(F.col("range_high") + F.col("atr") * p["buffer"])
     b = b.withColumn("stop", stop).withColumn("stop", F.when(F.col("direction") * (F.col("c") - F.col("stop")) > 0, F.col("stop")).otherwise(F.col("c") - F.col("direction") * F.col("atr") * 1.5))
     b = b.join(structure.liquidity(bars, p["pivot_bars"]), ["series", "bar_idx"], "left").withColumn("near", F.when(F.col("up"), F.col("bsl")).otherwise(F.col("ssl"))).withColumn("entry", F.col("c"))
-    return ladder(b).select("series", "bar_idx", "ts_ms", "direction", F.lit(100.0).alias("confidence"), "entry", "atr", "stop", "targets")
+    risk = F.greatest(F.abs(F.col("entry") - F.col("stop")), F.col("atr") * 0.5)
+    return ladder(b).select("series", "bar_idx", "ts_ms", "direction", (F.col("score") * 100).alias("confidence"), "entry", "atr", "stop", "targets", F.col("targets")[0].alias("be_trigger"), (risk * 0.5).alias("trail_distance"))
 
 
-@strategy("smart_money", confidence_min=50.0, swing=5, osc_low=40.0, osc_high=60.0, reward=(1.0, 2.0, 3.0), portions=(0.4, 0.3, 0.3), gap_lookback=10)
+@strategy("smart_money", mode="L2", level2=60.0, level3=80.0, use_higher=True, higher_bars=50, use_gap=True, min_bars=10, confidence_min=0.0, swing=5, reward=(1.0, 2.0, 3.5), portions=(0.40, 0.35, 0.25), gap_lookback=20, pivot_bars=5, leverage=3.0)
 def _(bars, p):
-    """Breaks of structure, scored with the oscillator's side and an open gap."""
-    b = folds.rma(bars.withColumn("tr", true_range()), "tr", p["atr_period"], "atr")
+    """Breaks of structure that the oscillator bears out, on the close's side of its moving average.
+
+    mode L1: any break, whatever the oscillator; L2: with the oscillator at level2 or beyond, a continuing break at 0.85 of
+    its score; L3: a change of character at level3 in an open gap. A break upward goes before one downward. The nearest
+    liquidity sets the last target where it lies beyond the one before. Blocks and gaps count as known at the bar.
+    """
+    b = folds.ema(folds.rma(bars.withColumn("tr", true_range()), "tr", p["atr_period"], "atr"), "c", p["higher_bars"], "mean")
     b = b.join(structure.oscillator(bars, p["swing"], point_in_time=True), ["series", "bar_idx"])
-    s = structure.breaks(bars, p["swing"]).select("series", "bar_idx", "direction", "kind")
-    b = b.join(s, ["series", "bar_idx"]).join(structure.gap_zones(bars, p["gap_lookback"]), ["series", "bar_idx"]).filter("bar_idx >= 30")
-    level = F.when(F.col("kind") == "CHoCH", 60.0).otherwise(50.0)
-    level = level + F.when(F.when(F.col("direction") == 1, F.col("osc") <= p["osc_low"]).otherwise(F.col("osc") >= p["osc_high"]), 20.0).otherwise(0.0) + F.when(F.when(F.col("direction") == 1, F.col("in_bull")).otherwise(F.col("in_bear")), 20.0).otherwise(0.0)
-    return b.select("series", "bar_idx", "ts_ms", "direction", level.alias("confidence"), F.col("c").alias("entry"), "atr")
+    b = b.join(structure.breaks(bars, p["swing"]).select("series", "bar_idx", "direction", "kind"), ["series", "bar_idx"]).filter("bar_idx >= 30")
+    d, turned = F.col("direction"), F.col("kind") == "CHoCH"
+    b = b.withColumn("level", F.when(d == 1, F.col("osc")).otherwise(100 - F.col("osc")))
+    if p["use_higher"]:
+        b = b.filter(d * (F.col("c") - F.col("mean")) > 0)
+    if p["mode"] == "L1":
+        b = b.withColumn("confidence", F.col("level"))
+    elif p["mode"] == "L2":
+        b = b.filter(F.col("level") >= p["level2"]).withColumn("confidence", F.when(turned, F.col("level")).otherwise(F.col("level") * 0.85))
+    else:
+        b = b.filter(turned & (F.col("level") >= p["level3"])).withColumn("confidence", F.col("level"))
+        if p["use_gap"]:
+            zones = structure.gap_zones(bars, p["gap_lookback"], point_in_time=True)
+            b = b.join(zones, ["series", "bar_idx"]).filter(F.when(d == 1, F.col("in_bull")).otherwise(F.col("in_bear")))
+    b = b.groupBy("series", "bar_idx").agg(F.max_by(F.struct(*b.columns), "direction").alias("x")).select("x.*")
+    b = b.join(structure.liquidity(bars, p["pivot_bars"]), ["series", "bar_idx"], "left").withColumn("entry", F.col("c"))
+    risk = F.col("atr") * p["atr_mult"]
+    second, near = F.col("entry") + d * risk * p["reward"][1], F.when(d == 1, F.col("bsl")).otherwise(F.col("ssl"))
+    last = F.when(d * (near - second) > 0, near).otherwise(F.col("entry") + d * risk * p["reward"][2])
+    first = F.col("entry") + d * risk * p["reward"][0]
+    return b.select("series", "bar_idx", "ts_ms", "direction", "confidence", "entry", "atr", F.array(first, second, last).alias("targets"), first.alias("be_trigger"), (risk * 0.5).alias("trail_distance"))
 
 
 def vote(signals: DataFrame, least: float = 0.5) -> DataFrame:

@@ -74,17 +74,25 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
 
 
 def mitigated_gaps(bars: DataFrame) -> DataFrame:
-    """Gaps with the bar that first fills them again, from the second bar after the gap on."""
+    """Gaps with the bar that first trades back into them, from the second bar after the gap on."""
     g = fair_value_gaps(bars)
-    e = g.withColumn("event", F.col("bar_idx")).withColumn("from_idx", F.col("bar_idx") + 2).withColumn("level", F.when(F.col("direction") == 1, F.col("bottom")).otherwise(F.col("top")))
+    e = g.withColumn("event", F.col("bar_idx")).withColumn("from_idx", F.col("bar_idx") + 2).withColumn("level", F.when(F.col("direction") == 1, F.col("top")).otherwise(F.col("bottom")))
     return first_crossing(e, bars).select("series", "bar_idx", "direction", "top", "bottom", "crossed_idx")
 
 
-def gap_zones(bars: DataFrame, lookback: int) -> DataFrame:
-    """Bars whose close lies in a gap that opened in the `lookback` bars before: series, bar_idx, in_bull, in_bear."""
-    g = fair_value_gaps(bars)
-    reach = g.withColumn("at", F.explode(F.sequence(F.col("bar_idx") + 1, F.col("bar_idx") + lookback))).drop("bar_idx")
-    hit = bars.select("series", F.col("bar_idx").alias("at"), "c").join(reach, ["series", "at"]).filter("c between bottom and top")
+def gap_zones(bars: DataFrame, lookback: int = 20, point_in_time: bool = False) -> DataFrame:
+    """Bars that enter a gap of the last `lookback` bars: series, bar_idx, in_bull (a low within it), in_bear (a high).
+
+    A gap counts from its own bar on, unless any bar trades back into it; with point_in_time it counts from the bar that
+    shows it up to the one that first trades back.
+    """
+    g = mitigated_gaps(bars)
+    first = F.col("bar_idx") + (1 if point_in_time else 0)
+    reach = (g if point_in_time else g.filter("crossed_idx is null")).withColumn("at", F.explode(F.sequence(first, F.col("bar_idx") + lookback - 1)))
+    if point_in_time:
+        reach = reach.filter(F.col("crossed_idx").isNull() | (F.col("at") <= F.col("crossed_idx")))
+    entered = F.when(F.col("direction") == 1, F.col("l")).otherwise(F.col("h")).between(F.col("bottom"), F.col("top"))
+    hit = bars.select("series", F.col("bar_idx").alias("at"), "h", "l").join(reach.drop("bar_idx"), ["series", "at"]).filter(entered)
     flags = hit.groupBy("series", "at").agg(F.max(F.col("direction") == 1).alias("in_bull"), F.max(F.col("direction") == -1).alias("in_bear"))
     out = bars.select("series", "bar_idx").join(flags.withColumnRenamed("at", "bar_idx"), ["series", "bar_idx"], "left")
     return out.fillna(False, ["in_bull", "in_bear"])

@@ -98,16 +98,26 @@ def gaussian(x: str, length: int, sigma: float) -> Column:
     return total
 
 
-def multi_trend(df: DataFrame, x: str = "c", period: int = 10, sigma: float = 3.0, count: int = 21, distance: float = 1.0, range_length: int = 100) -> DataFrame:
+def gaussian_bundle(df: DataFrame, x: str, lengths: list[int], sigma: float, name: str) -> DataFrame:
+    """Adds an array of `gaussian` filters of x, one a length: one frame of the last values, then a product for each."""
+    most = max(lengths)
+    d = df.withColumn("_f", F.reverse(F.collect_list(x).over(back(most))))
+    d = d.withColumn("_f", F.concat("_f", F.array_repeat(F.element_at("_f", -1), most - F.size("_f"))))  # the first bar's value before it
+    dot = lambda n: F.aggregate(F.zip_with(F.slice("_f", 1, n), F.array(*map(F.lit, gaussian_weights(n, sigma))), lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)
+    return d.withColumn(name, F.array(*map(dot, lengths))).drop("_f")
+
+
+def multi_trend(df: DataFrame, x: str = "c", period: int = 10, sigma: float = 3.0, count: int = 21, distance: float = 1.0, range_length: int = 100, mode: str = "median") -> DataFrame:
     """Adds score, centre, upper, lower, trend, line of a bundle of Gaussian filters of rising length.
 
-    score: 0.05 for each filter above the first; centre: their median; the band lies `distance` mean ranges around it. The
-    trend turns up at a close above the band, down at one below, and holds in between.
+    score: 0.05 for each filter above the first; centre: their median, or their mean with mode avg; the band lies
+    `distance` mean ranges around it. The trend turns up at a close above the band, down at one below, and holds in between.
     """
     w = in_order()
-    d = df.withColumn("_g", F.array(*(gaussian(x, period + k, sigma) for k in range(count))))
+    d = gaussian_bundle(df, x, [period + k for k in range(count)], sigma, "_g")
     d = d.withColumn("score", F.size(F.filter("_g", lambda g: g > F.col("_g")[0])) * 0.05)
-    d = d.withColumn("centre", F.sort_array("_g")[count // 2]).withColumn("_r", F.avg(F.col("h") - F.col("l")).over(back(range_length)) * distance)
+    centre = F.aggregate("_g", F.lit(0.0), lambda s, g: s + g) / count if mode == "avg" else F.sort_array("_g")[count // 2]
+    d = d.withColumn("centre", centre).withColumn("_r", F.avg(F.col("h") - F.col("l")).over(back(range_length)) * distance)
     d = d.withColumn("upper", F.col("centre") + F.col("_r")).withColumn("lower", F.col("centre") - F.col("_r"))
     event = F.when(F.col("c") > F.col("upper"), True).when((F.col("c") < F.col("lower")) | (F.col("bar_idx") == 0), False)
     d = d.withColumn("_e", event).withColumn("trend", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -104,13 +104,18 @@ def _(b):
     return b.withColumn("g", W.gaussian("c", 12, 3.0))
 
 
-GAUSS = f"""g AS (SELECT *, [{", ".join(gauss_sql("c", 10 + k, 3.0) for k in range(21))}] AS g, avg(h - l) OVER ({P} ROWS 99 PRECEDING) AS r FROM bars WINDOW w AS ({P})),
- t AS (SELECT *, len(list_filter(g, lambda x: x > g[1])) * 0.05::DOUBLE AS score, list_sort(g)[11] AS centre FROM g),
+def gauss_cte(period: int = 10, sigma: float = 3.0, centre: str = "list_sort(g)[11]") -> str:
+    """The bundle's score, centre, trend and line as k."""
+    return f"""g AS (SELECT *, [{", ".join(gauss_sql("c", period + k, sigma) for k in range(21))}] AS g, avg(h - l) OVER ({P} ROWS 99 PRECEDING) AS r FROM bars WINDOW w AS ({P})),
+ t AS (SELECT *, len(list_filter(g, lambda x: x > g[1])) * 0.05::DOUBLE AS score, {centre} AS centre FROM g),
  u AS (SELECT *, centre + r AS upper, centre - r AS lower FROM t),
  e AS (SELECT *, last_value(CASE WHEN c > upper THEN true WHEN c < lower OR bar_idx = 0 THEN false END IGNORE NULLS) OVER ({P}) AS trend FROM u),
  k AS (SELECT *, CASE WHEN trend THEN lower ELSE upper END AS line FROM e)"""
 
 
+GAUSS = gauss_cte()
+
+
 @column("multi_trend_score", ["score", "centre"], f"WITH bars, {GAUSS} SELECT series, bar_idx, round(score, 6) AS score, round(centre, 6) AS centre FROM k")
 def _(b):
     return W.multi_trend(b)
@@ -299,18 +304,27 @@ def _(spark, d):
     return structure.fair_value_gaps(hourly(spark, d))
 
 
-@query("fvg_mitigation", f"WITH bars, {FVG} SELECT f.*, min(b.bar_idx) AS crossed_idx FROM fvg f LEFT JOIN bars b ON b.series = f.series AND b.bar_idx >= f.bar_idx + 2 AND CASE WHEN direction = 1 THEN b.l <= bottom ELSE b.h >= top END GROUP BY ALL")
+@query("fvg_mitigation", f"WITH bars, {FVG} SELECT f.*, min(b.bar_idx) AS crossed_idx FROM fvg f LEFT JOIN bars b ON b.series = f.series AND b.bar_idx >= f.bar_idx + 2 AND CASE WHEN direction = 1 THEN b.l <= top ELSE b.h >= bottom END GROUP BY ALL")
 def _(spark, d):
     return structure.mitigated_gaps(hourly(spark, d))
 
 
-@query(
-    "fvg_zone",
-    f"""WITH bars, {FVG} SELECT b.series, b.bar_idx, coalesce(bool_or(f.direction = 1), false) AS in_bull, coalesce(bool_or(f.direction = -1), false) AS in_bear FROM bars b
-    LEFT JOIN fvg f ON f.series = b.series AND b.bar_idx > f.bar_idx AND b.bar_idx <= f.bar_idx + 10 AND b.c BETWEEN f.bottom AND f.top GROUP BY b.series, b.bar_idx""",
-)
-def _(spark, d):
-    return structure.gap_zones(hourly(spark, d), 10)
+FILLED = """fm AS (SELECT f.*, min(b.bar_idx) AS crossed_idx FROM fvg f LEFT JOIN bars b ON b.series = f.series AND b.bar_idx >= f.bar_idx + 2 AND CASE WHEN direction = 1 THEN b.l <= top ELSE b.h >= bottom END GROUP BY ALL)"""
+
+
+def zone_sql(lookback: int, live: str) -> str:
+    """Bars in gaps fm, as gz; live: which gaps count at bar b."""
+    return f"""gz AS (SELECT b.series, b.bar_idx, coalesce(bool_or(f.direction = 1), false) AS in_bull, coalesce(bool_or(f.direction = -1), false) AS in_bear FROM bars b
+    LEFT JOIN fm f ON f.series = b.series AND b.bar_idx < f.bar_idx + {lookback} AND {live} AND CASE WHEN f.direction = 1 THEN b.l ELSE b.h END BETWEEN f.bottom AND f.top GROUP BY b.series, b.bar_idx)"""
+
+
+NEVER_FILLED, OPEN_THEN = "b.bar_idx >= f.bar_idx AND f.crossed_idx IS NULL", "b.bar_idx > f.bar_idx AND (f.crossed_idx IS NULL OR b.bar_idx <= f.crossed_idx)"
+
+for _name, _now, _live in (("fvg_zone", False, NEVER_FILLED), ("fvg_zone_in_time", True, OPEN_THEN)):
+
+    @query(_name, f"WITH bars, {FVG}, {FILLED}, {zone_sql(20, _live)} SELECT * FROM gz")
+    def _(spark, d, now=_now):
+        return structure.gap_zones(hourly(spark, d), 20, now)
 
 
 OB = f"""ob0 AS (SELECT *, v / avg(v) OVER ({P} ROWS 20 PRECEDING) AS s, lag(h) OVER ({P}) AS h1, lag(l) OVER ({P}) AS l1, max(h) OVER t AS hh, min(l) OVER t AS ll FROM bars WINDOW t AS ({P} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
