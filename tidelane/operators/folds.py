@@ -1,8 +1,7 @@
 """Keyed folds: recursive indicators over each series, one ordered pass a series.
 
-Two forms. A fold with a scalar state is a SQL `aggregate` over the series' ordered array and stays in the JVM. Longer
-states run in Arrow batches: the table is dealt and sorted by series and bar, and one Python pass over a partition keeps
-the state of the series it is in, so a series is never held whole.
+The table is dealt and sorted by series and bar, and one Python pass over a partition, in Arrow batches, keeps the state of
+the series it is in, so a series is never held whole. Linear recurrences of one long series are in `blocks`, over many tasks.
 """
 
 from __future__ import annotations
@@ -42,23 +41,6 @@ def series_fold(df: DataFrame, inputs: list[str], outputs: list[str], make: Call
     return fold(df, ["series"], ["bar_idx"], inputs, outputs, make)
 
 
-def smooth(df: DataFrame, x: str, alpha: float, name: str) -> DataFrame:
-    """Exponential smoothing a * x + (1 - a) * previous, as a SQL fold over each series' ordered array.
-
-    The state is one number, so the fold is an expression; series of many thousand bars take `smooth_long`.
-    """
-    points = df.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("bar_idx", F.col(x).cast("double").alias("x")))).alias("p"))
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, p):
-        value = F.when(acc["at"].isNull(), p["x"]).otherwise(alpha * p["x"] + (1 - alpha) * acc["at"])
-        return F.struct(value.alias("at"), F.array_append(acc["out"], value).alias("out"))
-
-    got = points.select("series", F.posexplode(F.aggregate("p", start, step, lambda a: F.arrays_zip(F.col("p.bar_idx").alias("bar_idx"), a["out"].alias("out")))).alias("_n", "x"))
-    got = got.select("series", F.col("x.bar_idx").alias("bar_idx"), F.col("x.out").alias(name))
-    return df.join(got, ["series", "bar_idx"])
-
-
 def smooth_long(df: DataFrame, x: str, alpha: float, name: str) -> DataFrame:
     return series_fold(df, [x], [name], lambda: kernels.Smooth(alpha).step)
 

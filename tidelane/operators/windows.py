@@ -22,7 +22,7 @@ def nz(x: Column, k: int = 0, default: float = 0.0) -> Column:
 
 def sma(x: str, n: int) -> Column:
     """Mean of the last n bars, of all so far while there are fewer; null where the series is shorter than n."""
-    long_enough = F.count("*").over(Window.partitionBy("series")) >= n
+    long_enough = F.col("bar_idx") + F.count("*").over(in_order().rowsBetween(0, n - 1)) >= n
     return F.when(long_enough, F.avg(x).over(back(n)))
 
 
@@ -107,21 +107,31 @@ def gaussian_bundle(df: DataFrame, x: str, lengths: list[int], sigma: float, nam
     return d.withColumn(name, F.array(*map(dot, lengths))).drop("_f")
 
 
-def multi_trend(df: DataFrame, x: str = "c", period: int = 10, sigma: float = 3.0, count: int = 21, distance: float = 1.0, range_length: int = 100, mode: str = "median") -> DataFrame:
-    """Adds score, centre, upper, lower, trend, line of a bundle of Gaussian filters of rising length.
+def trend_bands(df: DataFrame, x: str = "c", period: int = 10, sigma: float = 3.0, count: int = 21, distance: float = 1.0, range_length: int = 100, mode: str = "median") -> DataFrame:
+    """Adds score, centre, upper, lower of a bundle of Gaussian filters of rising length, and turn: true at a close above
+    the band, false at one below and on the first bar, else null.
 
     score: 0.05 for each filter above the first; centre: their median, or their mean with mode avg; the band lies
-    `distance` mean ranges around it. The trend turns up at a close above the band, down at one below, and holds in between.
+    `distance` mean ranges around it. Looks `bands_back` bars back.
     """
-    w = in_order()
     d = gaussian_bundle(df, x, [period + k for k in range(count)], sigma, "_g")
     d = d.withColumn("score", F.size(F.filter("_g", lambda g: g > F.col("_g")[0])) * 0.05)
     centre = F.aggregate("_g", F.lit(0.0), lambda s, g: s + g) / count if mode == "avg" else F.sort_array("_g")[count // 2]
     d = d.withColumn("centre", centre).withColumn("_r", F.avg(F.col("h") - F.col("l")).over(back(range_length)) * distance)
     d = d.withColumn("upper", F.col("centre") + F.col("_r")).withColumn("lower", F.col("centre") - F.col("_r"))
-    event = F.when(F.col("c") > F.col("upper"), True).when((F.col("c") < F.col("lower")) | (F.col("bar_idx") == 0), False)
-    d = d.withColumn("_e", event).withColumn("trend", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("line", F.when(F.col("trend"), F.col("lower")).otherwise(F.col("upper"))).drop("_g", "_r", "_e")
+    turn = F.when(F.col("c") > F.col("upper"), True).when((F.col("c") < F.col("lower")) | (F.col("bar_idx") == 0), False)
+    return d.withColumn("turn", turn).drop("_g", "_r")
+
+
+def bands_back(period: int = 10, count: int = 21, range_length: int = 100) -> int:
+    return max(period + count - 1, range_length) - 1
+
+
+def multi_trend(df: DataFrame, **p) -> DataFrame:
+    """`trend_bands` with trend, the last turn, and line, the band's edge that the trend holds to: see blocks.multi_trend
+    for a series of many bars."""
+    d = trend_bands(df, **p).withColumn("trend", F.last("turn", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("line", F.when(F.col("trend"), F.col("lower")).otherwise(F.col("upper"))).drop("turn")
 
 
 def strength(df: DataFrame, x: str, lookback: int, percent: float, name: str = "strong") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelane.operators import bars as B
-from tidelane.operators import folds, regime, signals, structure
+from tidelane.operators import blocks, folds, regime, signals, structure
 from tidelane.operators import windows as W
 
 from .registry import hourly, query, rounded
 
 P = "PARTITION BY series ORDER BY bar_idx"
+ROWS = 256  # bars of a block, so that series of the given tables have several
 
 
 def one(name: str, sql: str, column):
@@ -40,12 +41,12 @@ def column(name: str, outputs: list[str], sql: str):
 
 @column("sma", ["sma"], f"WITH bars SELECT series, bar_idx, round(avg(c) OVER ({P} ROWS 19 PRECEDING), 6) AS sma FROM bars")
 def _(b):
-    return b.withColumn("sma", W.sma("c", 20))
+    return blocks.spread(b, lambda d: d.withColumn("sma", W.sma("c", 20)), 19, 19, ROWS)
 
 
 @column("highest_lowest", ["hi", "lo"], f"WITH bars SELECT series, bar_idx, max(h) OVER w AS hi, min(l) OVER w AS lo FROM bars WINDOW w AS ({P} ROWS 9 PRECEDING)")
 def _(b):
-    return b.withColumn("hi", W.highest("h", 10)).withColumn("lo", W.lowest("l", 10))
+    return blocks.spread(b, lambda d: d.withColumn("hi", W.highest("h", 10)).withColumn("lo", W.lowest("l", 10)), 9, 0, ROWS)
 
 
 TR = f"tr AS (SELECT *, greatest(h - l, abs(h - coalesce(lag(c) OVER ({P}), h)), abs(l - coalesce(lag(c) OVER ({P}), l))) AS tr FROM bars)"
@@ -77,17 +78,17 @@ def pivot_sql(x: str, agg: str, sign: str, name: str) -> str:
 
 @column("pivot_high", ["ph"], pivot_sql("h", "max", ">", "ph"))
 def _(b):
-    return W.pivot(b, "h", 5, 5, True, "ph")
+    return blocks.spread(b, lambda d: W.pivot(d, "h", 5, 5, True, "ph"), 10, 0, ROWS)
 
 
 @column("pivot_low", ["pl"], pivot_sql("l", "min", "<", "pl"))
 def _(b):
-    return W.pivot(b, "l", 5, 5, False, "pl")
+    return blocks.spread(b, lambda d: W.pivot(d, "l", 5, 5, False, "pl"), 10, 0, ROWS)
 
 
 @column("volume_ratio", ["volume_ratio"], f"WITH bars SELECT series, bar_idx, round(v / avg(v) OVER ({P} ROWS 19 PRECEDING), 6) AS volume_ratio FROM bars")
 def _(b):
-    return W.volume_ratio(b, 20)
+    return blocks.spread(b, lambda d: W.volume_ratio(d, 20), 19, 19, ROWS)
 
 
 @column("momentum3", ["mom"], f"WITH bars SELECT series, bar_idx, round(coalesce(c - lag(c, 3) OVER ({P}), 0.0), 6) AS mom FROM bars")
@@ -101,7 +102,7 @@ def gauss_sql(x: str, n: int, sigma: float) -> str:
 
 @column("gaussian_filter", ["g"], f"WITH bars SELECT series, bar_idx, round({gauss_sql('c', 12, 3.0)}, 6) AS g FROM bars WINDOW w AS ({P})")
 def _(b):
-    return b.withColumn("g", W.gaussian("c", 12, 3.0))
+    return blocks.spread(b, lambda d: d.withColumn("g", W.gaussian("c", 12, 3.0)), 11, 0, ROWS)
 
 
 def gauss_cte(period: int = 10, sigma: float = 3.0, centre: str = "list_sort(g)[11]") -> str:
@@ -118,28 +119,28 @@ GAUSS = gauss_cte()
 
 @column("multi_trend_score", ["score", "centre"], f"WITH bars, {GAUSS} SELECT series, bar_idx, round(score, 6) AS score, round(centre, 6) AS centre FROM k")
 def _(b):
-    return W.multi_trend(b)
+    return blocks.spread(b, W.trend_bands, W.bands_back(), 0, ROWS)
 
 
 @column("gauss_trend_latch", ["trend", "line"], f"WITH bars, {GAUSS} SELECT series, bar_idx, trend, round(line, 6) AS line FROM k")
 def _(b):
-    return W.multi_trend(b)
+    return blocks.multi_trend(b, ROWS)
 
 
 @column("gauss_signals", ["up", "down"], f"""WITH bars, {GAUSS} SELECT series, bar_idx, coalesce(c > line AND lag(c) OVER ({P}) <= lag(line) OVER ({P}), false) AS up,
  coalesce(c < line AND lag(c) OVER ({P}) >= lag(line) OVER ({P}), false) AS down FROM k""")
 def _(b):
-    return W.crossunder(W.crossover(W.multi_trend(b), "c", "line", "up"), "c", "line", "down")
+    return blocks.spread(blocks.multi_trend(b, ROWS), lambda d: W.crossunder(W.crossover(d, "c", "line", "up"), "c", "line", "down"), 1, 0, ROWS)
 
 
 @column("cycle_strength", ["strong"], f"WITH bars, d AS (SELECT *, abs(c - o) AS a FROM bars) SELECT series, bar_idx, bar_idx < 100 OR a >= quantile_cont(a, 0.6) OVER ({P} ROWS 100 PRECEDING) AS strong FROM d")
 def _(b):
-    return W.strength(b.withColumn("x", F.col("c") - F.col("o")), "x", 100, 60)
+    return blocks.spread(b.withColumn("x", F.col("c") - F.col("o")), lambda d: W.strength(d, "x", 100, 60), 100, 0, ROWS)
 
 
 @column("ob_range", ["range_high", "range_low"], f"WITH bars SELECT series, bar_idx, max(h) OVER w AS range_high, min(l) OVER w AS range_low FROM bars WINDOW w AS ({P} ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)")
 def _(b):
-    return b.select("*", *W.previous_range(10))
+    return blocks.spread(b, lambda d: d.select("*", *W.previous_range(10)), 11, 0, ROWS)
 
 
 EXC = f"""WITH bars, j AS (SELECT a.series, a.bar_idx, a.c, b.bar_idx - a.bar_idx AS k, (b.h - a.c) / a.c * 100 AS up, (a.c - b.l) / a.c * 100 AS down
@@ -154,12 +155,12 @@ EXC_EARLY = f"""WITH bars SELECT a.series, a.bar_idx, round(greatest(coalesce(ma
 
 @column("mfe_mae", ["mfe", "mae", "mfe_bar", "mae_bar"], EXC.format(n=24))
 def _(b):
-    return W.excursions(b, 24)
+    return blocks.spread(b, lambda d: W.excursions(d, 24), 0, 23, ROWS)
 
 
 @column("early_mae", ["mae"], EXC_EARLY)
 def _(b):
-    return W.excursions(b, 6)
+    return blocks.spread(b, lambda d: W.excursions(d, 6), 0, 5, ROWS)
 
 
 # --- folds ---
@@ -177,22 +178,22 @@ def smooth_sql(x: str, a: float, name: str, frm: str = "bars", pre: str = "") ->
 
 @column("ema", ["ema"], smooth_sql("c", 2 / 21, "ema"))
 def _(b):
-    return folds.ema(b, "c", 20, "ema")
+    return blocks.ema(b, "c", 20, "ema")
 
 
 @column("ema_alpha", ["s"], smooth_sql("c", 0.15, "s"))
 def _(b):
-    return folds.smooth(b, "c", 0.15, "s")
+    return blocks.smooth(b, "c", 0.15, "s")
 
 
 @column("rma", ["rma"], smooth_sql("c", 1 / 14, "rma"))
 def _(b):
-    return folds.rma(b, "c", 14, "rma")
+    return blocks.rma(b, "c", 14, "rma")
 
 
 @column("atr", ["atr"], smooth_sql("tr", 1 / 14, "atr", "tm", f", {TR}, tm AS MATERIALIZED (SELECT * FROM tr)"))
 def _(b):
-    return folds.rma(b.withColumn("tr", W.true_range()), "tr", 14, "atr")
+    return blocks.rma(blocks.spread(b, lambda d: d.withColumn("tr", W.true_range()), 1, 0, ROWS), "tr", 14, "atr")
 
 
 A = 0.07
@@ -210,7 +211,7 @@ TREND = trend_cte()
 
 @column("itrend", ["itrend"], f"WITH bars, {TREND} SELECT series, bar_idx, round(t1, 6) AS itrend FROM rt")
 def _(b):
-    return folds.trend_line(b)
+    return blocks.trend_line(b)
 
 
 def cycle_cte(x: str = "c", a: float = A) -> str:
@@ -228,7 +229,7 @@ CYCLE = cycle_cte()
 
 @column("cybercycle", ["cycle", "trigger"], f"WITH bars, {CYCLE} SELECT series, bar_idx, round(c1, 6) AS cycle, round(coalesce(lag(c1) OVER ({P}), 0), 6) AS trigger FROM r")
 def _(b):
-    return folds.cycle(b)
+    return blocks.spread(blocks.cycle(b), lambda d: d.withColumn("trigger", W.nz(F.col("cycle"), 1)), 1, 0, ROWS)
 
 
 # smoothing by halves forgets: 54 bars back the weight is below 1e-16, so a finite filter gives the same
