@@ -6,33 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import in_order
+from .crossings import first_crossing, nearest_live
 from .windows import extreme, pivot
 
-BLOCK = 256  # bars of a block whose extremes are compared first
-
-
-def first_crossing(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """events (series, event, from_idx, direction, level) with crossed_idx, the first bar from from_idx on that crosses.
-
-    direction 1: a low at or below the level, -1: a high at or above it. Blocks of bars are compared by their extremes
-    first, so an event meets the bars of two blocks and not all later ones.
-    """
-    b = bars.select("series", F.col("bar_idx").alias("at"), F.col("h").alias("at_h"), F.col("l").alias("at_l"), F.floor(F.col("bar_idx") / BLOCK).alias("block"))
-    low = b.groupBy("series", "block").agg(F.min("at_l").alias("low"), F.max("at_h").alias("high"))
-    e = events.withColumn("own", F.floor(F.col("from_idx") / BLOCK))
-
-    def crossed(lowest, highest):
-        return F.when(F.col("direction") == 1, F.col(lowest) <= F.col("level")).otherwise(F.col(highest) >= F.col("level"))
-
-    later = e.join(low, "series").filter((F.col("block") > F.col("own")) & crossed("low", "high"))
-    block = later.groupBy("series", "event").agg(F.min("block").alias("later"))
-    e = e.join(block, ["series", "event"], "left")
-    looked = e.withColumn("block", F.explode(F.array_compact(F.array("own", "later"))))
-    hit = looked.join(b, ["series", "block"]).filter((F.col("at") >= F.col("from_idx")) & crossed("at_l", "at_h"))
-    first = hit.groupBy("series", "event").agg(F.min("at").alias("crossed_idx"))
-    return e.drop("own", "later").join(first, ["series", "event"], "left")
-
-
 def swings(bars: DataFrame, n: int) -> DataFrame:
     """Swing highs and lows, dated at the extreme: series, bar_idx, is_high, price."""
     b = bars.withColumn("_up", extreme("h", n, n)).withColumn("_down", extreme("l", n, n, False))
@@ -175,13 +151,13 @@ def oscillator(bars: DataFrame, n: int = 5, length: int = 10, reach: float = 0.0
 def liquidity(bars: DataFrame, n: int = 5) -> DataFrame:
     """Nearest unswept pivot above the high (bsl) and below the low (ssl) of each bar, without a cap on the pivots kept.
 
-    A pivot lives from its confirming bar until a bar reaches it. For the nearest one a running pool is needed, so this is
-    a keyed fold; see folds.capped_levels for the pool with a cap.
+    A pivot lives from its confirming bar until a bar reaches it; see folds.capped_levels for a pool with a cap.
     """
-    from .folds import capped_levels
-
-    b = pivot(pivot(bars, "h", n, n, True, "pivot_high"), "l", n, n, False, "pivot_low")
-    return capped_levels(b, most=1 << 40).select("series", "bar_idx", "bsl", "ssl")
+    born = swings(bars, n).select("series", F.when(F.col("is_high"), -1).otherwise(1).alias("direction"), F.col("price").alias("level"), (F.col("bar_idx") + n).alias("from_idx"))
+    born = born.withColumn("event", F.col("from_idx") * 2 + (F.col("direction") == 1).cast("int"))
+    lives = first_crossing(born, bars).select("series", "direction", "level", F.col("from_idx").alias("born"), F.col("crossed_idx").alias("dead"))
+    near = nearest_live(bars, lives)
+    return near.select("series", "bar_idx", F.col("above").alias("bsl"), F.col("below").alias("ssl"))
 
 
 def barriers(bars: DataFrame, take: float, stop: float, most: int) -> DataFrame:
