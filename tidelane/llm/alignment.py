@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import blocks, cut, released
+from .common import blocks, cut, least_of_top, released
 from .packing import _tokenizer
 from .token_count import BLOCK_CHARS, _loaded, pretokens
 
@@ -217,7 +217,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
     if pairs.count() <= broadcast_pairs:
         sums = links.join(F.broadcast(pairs), "pair").groupBy("row").agg(*added)
     else:
-        top = cut(pairs.orderBy(F.col("n").desc(), "pair").limit(broadcast_pairs), "top-pairs")
+        top = cut(pairs.filter(F.col("n") >= least_of_top(pairs, "n", broadcast_pairs)), "top-pairs")
         near = links.join(F.broadcast(top), "pair")
         far = links.join(F.broadcast(top.select("pair")), "pair", "left_anti").join(pairs.hint("shuffle_merge"), "pair")
         sums = near.select("row", "n", "best").unionByName(far.select("row", "n", "best")).groupBy("row").agg(*added)

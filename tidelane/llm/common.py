@@ -123,3 +123,26 @@ def blocks(sizes, most: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: Steps of `least_of_top` for each doubling of a count.
+STEPS = 16
+
+
+def least_of_top(counts: DataFrame, column: str, most: int) -> int:
+    """A count that at most `most` rows reach, the least by steps of a sixteenth of a doubling.
+
+    The rows of each step are counted, so some thousand rows come to the driver and no task gathers the top rows.
+    """
+    step = F.floor(F.log2(F.col(column)) * STEPS).cast("int")
+    sizes = dict(counts.groupBy(step.alias("step")).count().collect())
+    total, least = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = k
+    n = max(0, int(2 ** (least / STEPS)) - 2)
+    while np.floor(np.log2(max(n, 1)) * STEPS) < least:
+        n += 1
+    return n

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, crc_mod, cut
+from .common import blocks, bounded, crc_mod, cut, least_of_top
 from .recurrent import F32, WORDS, Network, score, train
 
 FREQUENT = 512  # words that are symbols
@@ -78,7 +78,8 @@ class Vocabulary:
     def of(cls, counts: DataFrame, known: int = KNOWN) -> Vocabulary:
         """At most `known` words and 65,793 endings come to the driver, whatever the corpus."""
         tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        top = counts.filter(F.length("word") <= KNOWN_BYTES).orderBy(F.col("n").desc(), "word").limit(known).collect()
+        short = counts.filter(F.length("word") <= KNOWN_BYTES)
+        top = sorted(short.filter(F.col("n") >= least_of_top(short, "n", known)).collect(), key=lambda r: (-r.n, bytes(r.word)))
         frequent = min(FREQUENT, len(top) // WORDS * WORDS)
         size = {bytes(e): [n, v] for e, n, v in counts.groupBy(F.substring("word", -2, 2).alias("e")).agg(F.sum("n"), F.count("*")).collect()}
         for w, n in top[:frequent]:
