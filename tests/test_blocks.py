@@ -104,3 +104,24 @@ def test_one_series_is_dealt_by_blocks(walk):
     plan = blocks.smooth(walk, "c", 0.1, "s")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(series" in plan and "Python" not in plan and "Pandas" not in plan
     assert all("_k" in x for x in plan.split("hashpartitioning(")[1:])
+
+
+@pytest.mark.parametrize("span", [7000, 10**9])
+def test_last_before_and_intervals(spark, walk, span):
+    """Openings are every bar of the series at odd gaps; the fine rows lie anywhere, before the first one as well."""
+    from tidelane.operators import htf
+
+    fine = [(s, t, float(t)) for s in ("long", "short", "none") for t in range(0, 200_000, 700)]
+    detail = spark.createDataFrame(fine, "series string, ts_ms long, x double")
+    opens = {}
+    for r in sorted(walk.select("series", "bar_idx", "ts_ms").collect()):
+        opens.setdefault(r.series, []).append(r.ts_ms)
+    got = {(r.series, r.ts_ms): r.bar_idx for r in htf.detail_in(walk, detail, 2, span).collect()}
+    want = {}
+    for s, t, _ in fine:
+        before = [k for k, o in enumerate(opens.get(s, [])) if o <= t]
+        if before and t < (opens[s][before[-1] + 1] if before[-1] + 1 < len(opens[s]) else opens[s][-1] + 2000):
+            want[s, t] = before[-1]
+    assert got == want
+    near = blocks.last_before(detail, walk, ["c"], span).filter("asof_c is null").count()
+    assert near == sum(not opens.get(s) or t < opens[s][0] for s, t, _ in fine)

@@ -170,3 +170,23 @@ def multi_trend(df: DataFrame, rows: int = ROWS, **p) -> DataFrame:
     look = windows.bands_back(**{k: v for k, v in p.items() if k in ("period", "count", "range_length")})
     d = latched(spread(df, lambda x: windows.trend_bands(x, **p), look, 0, rows), "turn", "trend", rows)
     return d.withColumn("line", F.when(F.col("trend"), F.col("lower")).otherwise(F.col("upper"))).drop("turn")
+
+
+def last_before(left: DataFrame, right: DataFrame, columns: list[str], span_ms: int, ts: str = "ts_ms") -> DataFrame:
+    """left with columns (asof_*) of the last right row at or before it; a long series is dealt by spans of time.
+
+    Both sides are one sequence by time, along which the last right row is carried: within a span, and into it from the
+    spans before, of which each is a row. No row meets another by comparison.
+    """
+    row = F.struct(*columns)
+    a = left.withColumns({"_left": F.lit(1), "_r": F.lit(None).cast(right.select(row.alias("x")).schema["x"].dataType)})
+    b = right.select("series", ts, F.lit(0).alias("_left"), row.alias("_r"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_k", F.floor(F.col(ts) / span_ms))
+    running = Window.partitionBy("series", "_k").orderBy(ts, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    ends = b.groupBy("series", F.floor(F.col(ts) / span_ms).alias("_k")).agg(F.max_by("_r", ts).alias("_e"))
+    spans = both.groupBy("series", "_k").agg(F.count("*").alias("_n")).drop("_n").join(ends, ["series", "_k"], "left")
+    earlier = Window.partitionBy("series").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("series", "_k", F.last("_e", ignorenulls=True).over(earlier).alias("_before"))
+    out = both.withColumn("_last", F.last("_r", ignorenulls=True).over(running)).filter("_left = 1").join(spans, ["series", "_k"])
+    out = out.withColumn("_last", F.coalesce("_last", "_before"))
+    return out.select(*left.columns, *(F.col(f"_last.{c}").alias(f"asof_{c}") for c in columns))

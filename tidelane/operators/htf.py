@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .bars import in_order
 
 
@@ -38,6 +39,18 @@ def detail_index(bars: DataFrame, detail: DataFrame, seconds: int) -> DataFrame:
     return d.join(m, ["series", "_open"]).drop("_open")
 
 
+def detail_in(bars: DataFrame, detail: DataFrame, seconds: int, span_ms: int = 4096 * 3_600_000) -> DataFrame:
+    """Fine bars with the bar_idx they lie in, however irregular the bars' openings are.
+
+    A bar lasts until the next one of its series opens, the last one `seconds`. The last opening is carried along the
+    merged times of both tables, so no fine bar is compared with openings.
+    """
+    until = F.lead("ts_ms").over(in_order())
+    m = bars.select("series", "ts_ms", "bar_idx", F.coalesce(until, F.col("ts_ms") + seconds * 1000).alias("until"))
+    d = blocks.last_before(detail, m, ["bar_idx", "until"], span_ms)
+    return d.filter(F.col("ts_ms") < F.col("asof_until")).withColumnRenamed("asof_bar_idx", "bar_idx").drop("asof_until")
+
+
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], key: str = "series", ts: str = "ts_ms") -> DataFrame:
     """left with columns of the last right row at or before it; one shuffle, no range join."""
     names = [f"asof_{c}" for c in columns]

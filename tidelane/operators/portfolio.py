@@ -16,12 +16,13 @@ def correlations(returns: DataFrame) -> DataFrame:
 
 
 def combinations(names: DataFrame, most: int = 3) -> DataFrame:
-    """members: sorted arrays of 1 to `most` names of a table of a few; each size extends the one before by later names."""
-    one = names.select(F.array("name").alias("members"))
-    out = last = one
-    n = F.broadcast(names.select("name"))  # strategy names, a handful
+    """members: sorted arrays of 1 to `most` names; each size extends the one before by later names, of which each row has
+    the list."""
+    every = names.groupBy().agg(F.sort_array(F.collect_set("name")).alias("all"))  # one row: the names of a portfolio's choice
+    out = last = every.select(F.explode("all").alias("n"), "all").select(F.array("n").alias("members"), "all")
     for _ in range(most - 1):
-        last = last.join(n, F.element_at("members", -1) < F.col("name")).select(F.array_append("members", F.col("name")).alias("members"))
+        later = F.filter("all", lambda n: n > F.element_at("members", -1))
+        last = last.withColumn("n", F.explode(later)).select(F.array_append("members", F.col("n")).alias("members"), "all")
         out = out.union(last)
     return out.select(F.size("members").cast("long").alias("size"), F.array_join("members", "+").alias("combo"), "members")
 
@@ -46,7 +47,7 @@ def metrics(returns: DataFrame, weighted: DataFrame, annual: float = 365.0) -> D
     weighted: combo, weights_id, name, weight. Missing returns of a member count as 0. diversification: weighted mean of
     the members' deviations by the deviation of the whole.
     """
-    r = returns.select("ts_ms", F.col("series").alias("name"), "r").join(F.broadcast(weighted), "name")
+    r = returns.select("ts_ms", F.col("series").alias("name"), "r").join(weighted, "name")
     keys = ["combo", "weights_id"]
     p = r.groupBy(*keys, "ts_ms").agg(F.sum(F.col("r") * F.col("weight")).alias("p"))
     w = Window.partitionBy(*keys).orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,9 +64,44 @@ def metrics(returns: DataFrame, weighted: DataFrame, annual: float = 365.0) -> D
     return m.join(own, keys).withColumn("diversification", ratio(F.col("parts"), F.col("sd"), 1.0)).drop("sd", "parts")
 
 
+def moments(returns: DataFrame) -> DataFrame:
+    """a, b (a <= b) and sums over all times of both: n, sa, sb, sab; one pass, of partial sums that merge."""
+    x = returns.select("ts_ms", F.col("series").alias("a"), F.col("r").alias("ra"))
+    y = returns.select("ts_ms", F.col("series").alias("b"), F.col("r").alias("rb"))
+    return x.join(y, "ts_ms").filter("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("ra").alias("sa"), F.sum("rb").alias("sb"), F.sum(F.col("ra") * F.col("rb")).alias("sab"))
+
+
+def ranked(returns: DataFrame, grid: DataFrame, annual: float = 365.0) -> DataFrame:
+    """combo, weights_id, sharpe and diversification of each row of the grid (combo, weights_id, members, weights).
+
+    A portfolio's mean and variance are forms in its weights over the series' sums and sums of products, so the returns are
+    read once for all weights; only the times that any member has are counted for each combination. Missing returns of a
+    member count as 0.
+    """
+    m = moments(returns)
+    times = grid.select("combo", "members").distinct().select("combo", F.explode("members").alias("series")).join(returns.select("series", "ts_ms"), "series")
+    times = times.groupBy("combo", "ts_ms").agg(F.count("*").alias("k")).groupBy("combo").agg(F.count("*").alias("n_times"))
+    own = F.arrays_zip(F.col("members").alias("name"), F.col("weights").alias("w"))
+    pairs = grid.select("combo", "weights_id", F.explode(own).alias("x"), own.alias("all")).select("combo", "weights_id", F.col("x.name").alias("a"), F.col("x.w").alias("wa"), F.explode("all").alias("y"))
+    pairs = pairs.select("combo", "weights_id", "a", "wa", F.col("y.name").alias("b"), F.col("y.w").alias("wb")).filter("a <= b")
+    same = F.col("a") == F.col("b")
+    sd = F.sqrt(F.greatest(F.col("sab") / F.col("n") - F.pow(F.col("sa") / F.col("n"), 2), F.lit(0.0)))
+    x = pairs.join(m, ["a", "b"]).groupBy("combo", "weights_id").agg(
+        F.sum(F.when(same, F.col("wa") * F.col("sa"))).alias("total"),
+        F.sum(F.col("wa") * F.col("wb") * F.col("sab") * F.when(same, 1).otherwise(2)).alias("squares"),
+        F.sum(F.when(same, F.col("wa") * sd)).alias("parts"),
+    )
+    x = x.join(times, "combo").withColumn("mean", F.col("total") / F.col("n_times"))
+    x = x.withColumn("sd", F.sqrt(F.greatest(F.col("squares") / F.col("n_times") - F.pow("mean", F.lit(2)), F.lit(0.0))))
+    return x.select("combo", "weights_id", ratio(F.col("mean") * annual**0.5, F.col("sd")).alias("sharpe"), ratio(F.col("parts"), F.col("sd"), 1.0).alias("diversification"))
+
+
 def search(spark: SparkSession, returns: DataFrame, most: int = 3, steps: int = 5, top: int = 20) -> DataFrame:
-    """The best portfolios by Sharpe ratio among all combinations and weights."""
+    """The best portfolios by Sharpe ratio among all combinations and weights: all are ranked by moments, and the paths of
+    the best alone are walked."""
     names = returns.select(F.col("series").alias("name")).distinct()
-    grid = weight_grid(combinations(names, most), steps).withColumn("weights_id", F.xxhash64("weights"))
-    each = grid.select("combo", "weights_id", F.explode(F.arrays_zip(F.col("members").alias("name"), F.col("weights").alias("weight"))).alias("x")).select("combo", "weights_id", "x.*").distinct()
-    return metrics(returns, each).orderBy(F.desc("sharpe"), "combo", "weights_id").limit(top)
+    grid = weight_grid(combinations(names, most), steps).withColumn("weights_id", F.xxhash64(F.transform("weights", lambda w: F.round(w, 12)))).dropDuplicates(["combo", "weights_id"])
+    best = ranked(returns, grid).orderBy(F.round("sharpe", 9).desc(), "combo", "weights_id").limit(top).select("combo", "weights_id")
+    each = grid.join(F.broadcast(best), ["combo", "weights_id"])  # `top` rows
+    each = each.select("combo", "weights_id", F.explode(F.arrays_zip(F.col("members").alias("name"), F.col("weights").alias("weight"))).alias("x")).select("combo", "weights_id", "x.*")
+    return metrics(returns, each).orderBy(F.desc("sharpe"), "combo", "weights_id")

@@ -109,14 +109,15 @@ def _(spark, d):
 
 @query(
     "missing_ranges",
-    """WITH bars, h AS (SELECT series, min(ts_ms) AS low, max(ts_ms) AS high FROM bars WHERE bar_idx BETWEEN 100 AND 300 GROUP BY series),
-    w AS (SELECT series, min(ts_ms) - 300 * 3600000 AS s, max(ts_ms) AS e FROM bars GROUP BY series)
+    """WITH bars, h AS (SELECT series, min(ts_ms) AS low, max(ts_ms) AS high FROM bars GROUP BY series), w AS (SELECT event_type AS series, min(epoch_ms(date_trunc('day', ts))) - 300 * 3600000 AS s, max(epoch_ms(date_trunc('day', ts))) + 86400000 AS e FROM events GROUP BY event_type)
     SELECT series, 'head' AS side, s AS from_ms, low - 3600000 AS to_ms FROM w JOIN h USING (series) WHERE s < low
     UNION ALL SELECT series, 'tail', high + 3600000, e FROM w JOIN h USING (series) WHERE e > high""",
 )
 def _(spark, d):
-    b = hourly(spark, d)
-    return B.missing_ranges(b.filter("bar_idx between 100 and 300"), b.groupBy("series").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms")), HOUR)
+    """What whole days of each series need beyond the hours that are held."""
+    day = F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp")))
+    wanted = read(spark, d, "events").groupBy(F.col("event_type").alias("series")).agg(F.min(day).alias("start_ms"), (F.max(day) + 86400000).alias("end_ms"))
+    return B.missing_ranges(hourly(spark, d), wanted, HOUR)
 
 
 @query(
@@ -177,6 +178,20 @@ def _(spark, d):
     return htf.detail_index(hourly(spark, d), fine(spark, d), HOUR).select("series", "ts_ms", "bar_idx", "c")
 
 
+IRREGULAR = "ir AS (SELECT series, ts_ms, (row_number() OVER (PARTITION BY series ORDER BY ts_ms) - 1)::BIGINT AS bar_idx FROM bars WHERE c > o OR bar_idx = 0)"
+
+
+@query(
+    "detail_interval",
+    f"""WITH bars, {FINE}, {IRREGULAR}, nx AS (SELECT *, coalesce(lead(ts_ms) OVER (PARTITION BY series ORDER BY ts_ms), ts_ms + 3600000) AS until FROM ir)
+    SELECT f.series, f.ts_ms, b.bar_idx, f.c FROM f JOIN nx b ON b.series = f.series AND f.ts_ms >= b.ts_ms AND f.ts_ms < b.until""",
+)
+def _(spark, d):
+    """Five-minute bars in bars that open at rising hours only, so that they last from one to many hours."""
+    rising = B.indexed(hourly(spark, d).filter("c > o or bar_idx = 0").drop("bar_idx"))
+    return htf.detail_in(rising, fine(spark, d), HOUR, 48 * HOUR * 1000).select("series", "ts_ms", "bar_idx", "c")
+
+
 @query(
     "partial_bar_ohlc",
     f"""WITH bars, {FINE}, j AS (SELECT f.*, b.bar_idx FROM f JOIN bars b ON b.series = f.series AND b.ts_ms = f.ts_ms // 3600000 * 3600000)

@@ -95,12 +95,12 @@ for _name, _block, _metric in (("mc_trade_shuffle", 1, "sharpe"), ("mc_block_shu
 
     @query(_name)
     def _(spark, d, block=_block, metric=_metric):
-        return rounded(V.shuffle_test(trades(spark, d).withColumn("id", F.col("exit_ms")), 50, metric=metric, block=block))
+        return rounded(V.shuffle_test(trades(spark, d).withColumn("id", F.col("exit_ms")), metric=metric, block=block))
 
 
 @query("mc_bootstrap")
 def _(spark, d):
-    return rounded(V.bootstrap(trades(spark, d).withColumn("id", F.col("exit_ms")), 50))
+    return rounded(V.bootstrap(trades(spark, d).withColumn("id", F.col("exit_ms"))))
 
 
 @query(
@@ -169,29 +169,50 @@ def _(spark, d):
     return portfolio.combinations(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name")).distinct()).select("size", "combo")
 
 
-PAIR = """wt AS (SELECT 'a' AS combo, series AS name, CASE series WHEN 'click' THEN 0.25 WHEN 'view' THEN 0.75 END AS weight FROM (SELECT DISTINCT series FROM bars) WHERE series IN ('click', 'view')),
+#: All series, with weights that rise by name and sum to 1.
+ALL = """wt AS (SELECT 'a' AS combo, series AS name, row_number() OVER (ORDER BY series) * 2.0::DOUBLE / (count(*) OVER () * (count(*) OVER () + 1)) AS weight FROM (SELECT DISTINCT series FROM bars)),
  sr AS (SELECT ts_ms, series AS name, r / 100 AS r FROM rt WHERE r IS NOT NULL), pp AS (SELECT ts_ms, sum(r * weight) AS p FROM sr JOIN wt USING (name) GROUP BY ts_ms)"""
 
 
-def weighted(spark):
-    return spark.createDataFrame([("a", 0, "click", 0.25), ("a", 0, "view", 0.75)], "combo string, weights_id long, name string, weight double")
+def weighted(r):
+    names = r.select(F.col("series").alias("name")).distinct().groupBy().agg(F.sort_array(F.collect_set("name")).alias("x"))
+    each = names.select(F.size("x").alias("n"), F.posexplode("x").alias("k", "name"))
+    return each.select(F.lit("a").alias("combo"), F.lit(0).cast("long").alias("weights_id"), "name", ((F.col("k") + 1) * 2.0 / (F.col("n") * (F.col("n") + 1))).alias("weight"))
 
 
 @query(
     "portfolio_weights",
-    f"""WITH bars, {RET}, {PAIR}, eq AS (SELECT *, exp(sum(ln(1 + p)) OVER (ORDER BY ts_ms)) AS e FROM pp), f AS (SELECT *, 1 - e / greatest(1, max(e) OVER (ORDER BY ts_ms)) AS fall FROM eq)
+    f"""WITH bars, {RET}, {ALL}, eq AS (SELECT *, exp(sum(ln(1 + p)) OVER (ORDER BY ts_ms)) AS e FROM pp), f AS (SELECT *, 1 - e / greatest(1, max(e) OVER (ORDER BY ts_ms)) AS fall FROM eq)
     SELECT 'a' AS combo, round(log10(arg_max(e, ts_ms)), 6) AS total, round(avg(p) * sqrt(365) / stddev_pop(p), 6) AS sharpe, round(max(fall), 6) AS max_drawdown FROM f""",
 )
 def _(spark, d):
     r = returns(spark, d).filter("r is not null").withColumn("r", F.col("r") / 100)
-    m = portfolio.metrics(r, weighted(spark))
+    m = portfolio.metrics(r, weighted(r))
     return rounded(m.select("combo", F.log10(F.col("total") + 1).alias("total"), "sharpe", "max_drawdown"))
 
 
-@query("diversification_ratio", f"WITH bars, {RET}, {PAIR}, sd AS (SELECT name, stddev_pop(r) AS s FROM sr GROUP BY name) SELECT 'a' AS combo, round((SELECT sum(s * weight) FROM sd JOIN wt USING (name)) / stddev_pop(p), 6) AS diversification FROM pp")
+@query("diversification_ratio", f"WITH bars, {RET}, {ALL}, sd AS (SELECT name, stddev_pop(r) AS s FROM sr GROUP BY name) SELECT 'a' AS combo, round((SELECT sum(s * weight) FROM sd JOIN wt USING (name)) / stddev_pop(p), 6) AS diversification FROM pp")
 def _(spark, d):
     r = returns(spark, d).filter("r is not null").withColumn("r", F.col("r") / 100)
-    return rounded(portfolio.metrics(r, weighted(spark)).select("combo", "diversification"))
+    return rounded(portfolio.metrics(r, weighted(r)).select("combo", "diversification"))
+
+
+@query(
+    "portfolio_ranking",
+    f"""WITH bars, {RET}, sr AS (SELECT ts_ms, series AS name, r / 100 AS r FROM rt WHERE r IS NOT NULL), s AS (SELECT DISTINCT name FROM sr), v AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS w),
+    cb AS (SELECT [name] AS m FROM s UNION ALL SELECT [a.name, b.name] FROM s a JOIN s b ON a.name < b.name UNION ALL SELECT [a.name, b.name, c.name] FROM s a JOIN s b ON a.name < b.name JOIN s c ON b.name < c.name),
+    ws AS (SELECT m, [w] AS w FROM cb, v WHERE len(m) = 1 UNION ALL SELECT m, [x.w, y.w] FROM cb, v x, v y WHERE len(m) = 2 UNION ALL SELECT m, [x.w, y.w, z.w] FROM cb, v x, v y, v z WHERE len(m) = 3),
+    gr AS (SELECT DISTINCT array_to_string(m, '+') AS combo, m, list_transform(w, lambda q: round(q / list_sum(w), 12)) AS w FROM ws), ex AS (SELECT combo, w, unnest(m) AS name, unnest(w) AS x FROM gr),
+    pp AS (SELECT combo, w, ts_ms, sum(r * x) AS p FROM ex JOIN sr USING (name) GROUP BY ALL), pm AS (SELECT combo, w, avg(p) * sqrt(365) / stddev_pop(p) AS sharpe, stddev_pop(p) AS sd FROM pp GROUP BY ALL),
+    dv AS (SELECT combo, w, sum(x * sx) AS parts FROM ex JOIN (SELECT name, stddev_pop(r) AS sx FROM sr GROUP BY name) USING (name) GROUP BY ALL)
+    SELECT combo, w[1] AS first_weight, w[2] AS second_weight, round(sharpe, 6) AS sharpe, round(parts / sd, 6) AS diversification FROM pm JOIN dv USING (combo, w)""",
+)
+def _(spark, d):
+    """Sharpe ratio and diversification of every combination and weights of the grid, from moments."""
+    r = returns(spark, d).filter("r is not null").withColumn("r", F.col("r") / 100)
+    grid = portfolio.weight_grid(portfolio.combinations(r.select(F.col("series").alias("name")).distinct())).withColumn("weights", F.transform("weights", lambda w: F.round(w, 12))).distinct().withColumn("weights_id", F.xxhash64("weights"))
+    x = portfolio.ranked(r, grid).join(grid.select("combo", "weights_id", F.get("weights", F.lit(0)).alias("first_weight"), F.get("weights", F.lit(1)).alias("second_weight")), ["combo", "weights_id"])
+    return x.select("combo", "first_weight", "second_weight", F.round("sharpe", 6).alias("sharpe"), F.round("diversification", 6).alias("diversification"))
 
 
 @query("portfolio_search")
@@ -234,7 +255,7 @@ def _(spark, d):
 @query("validation_layers")
 def _(spark, d):
     """The four layers over each series' simulated trades: windows, folds, deflated Sharpe ratio, shuffles."""
-    return rounded(V.layers(hourly(spark, d), simulation.trades(simulated(spark, d)), simulation.equity(simulated(spark, d)), n_trials=20, sims=40))
+    return rounded(V.layers(hourly(spark, d), simulation.trades(simulated(spark, d)), simulation.equity(simulated(spark, d)), n_trials=20))
 
 
 @query("funding_accrual", "WITH bars, s AS (SELECT series, count(*) AS n FROM bars GROUP BY series) SELECT series, round(1000 * 0.08 * 0.5 * 0.0001 * ((n - 1) // 8), 6)::DOUBLE AS funding FROM s")
