@@ -102,3 +102,78 @@ def test_trials_are_one_job(spark, sf_dir):
     b = hourly(spark, sf_dir).filter(F.col("series").isin("click", "view"))
     scores = search.evaluate(b, "cycle_no_htf", [{"confidence_min": 20.0, "min_bars": 3}, {"confidence_min": 101.0}], min_trades=1)
     assert scores[0] != search.metrics.REJECTED and scores[1] == search.metrics.REJECTED
+
+
+def stored(spark, hours, c, series="S"):
+    return spark.createDataFrame([("a", series, "1h", h * STEP, c, c, c, c, 1.0) for h in hours], f"exchange string, series string, tf string, {store.BAR}")
+
+
+def test_versions_stay_readable(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    assert store.load(spark, path).count() == 0
+    assert store.save(stored(spark, range(3), 1.0), path) == 1
+    assert store.save(stored(spark, range(3), 1.0, "T"), path) == 2
+    assert store.delete(spark, path, series="S") == 3
+    assert [r["series"] for r in store.listing(spark, path).collect()] == ["T"]
+    assert store.load(spark, path, version=2).count() == 6
+    assert store.delete(spark, path) == 4 and store.load(spark, path).count() == 0
+    store.save(stored(spark, range(2), 5.0), path)
+    store.clean(spark, path, 1)
+    assert store.versions(spark, path) == [5] and store.load(spark, path).count() == 2
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Six writers of overlapping hours of one partition, and of one of their own each."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/store"
+    jobs = [stored(spark, range(10 * k, 10 * k + 15), float(k)).union(stored(spark, [k], 1.0, f"own{k}")) for k in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda d: store.save(d, path), jobs))
+    assert sorted(numbers) == list(range(1, 7))
+    got = {r["ts_ms"] // STEP: r["c"] for r in store.load(spark, path, series="S").collect()}
+    assert sorted(got) == list(range(65))
+    assert all(got[h] in {float(k) for k in range(6) if 10 * k <= h < 10 * k + 15} for h in got)
+    assert store.listing(spark, path).count() == 7
+
+
+def test_a_claim_without_a_version_stops_writers(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/store"
+    store.save(stored(spark, range(2), 1.0), path)
+    open(f"{path}/versions/v2.claim", "w").close()
+    monkeypatch.setattr(store, "WAIT_S", 0.2)
+    with pytest.raises(TimeoutError):
+        store.save(stored(spark, range(3), 2.0), path)
+    assert store.load(spark, path).count() == 2
+
+
+def test_get_downloads_what_is_missing(spark, tmp_path, monkeypatch):
+    """The server has hours 0 to 2999 without 1000 to 1019; the store has 500 to 599 of X."""
+    path = f"{tmp_path}/store"
+    store.save(stored(spark, range(500, 600), 9.0, "X"), path)
+    module = tmp_path / "paged.py"
+    module.write_text(f"import urllib.parse\nSTEP = {STEP}\n\n\ndef asked(url):\n    q = {{k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(url).query).items()}}\n    end, n = int(q['endTime']), int(q['limit'])\n    hours = [h for h in range(3000) if h * STEP < end and not 1000 <= h < 1020][-n:]\n    return {{'code': '00000', 'data': [[str(h * STEP), '1', '3', '0.5', '2', str(h), '0'] for h in hours]}}\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(module))
+    got = store.get(spark, path, "a", ["X", "Y"], "1h", 450 * STEP, 1100 * STEP, warm_up=50, transport="paged:asked", rate="1000")
+    hours = {s: sorted(r["ts_ms"] // STEP for r in got.filter(F.col("series") == s).collect()) for s in "XY"}
+    want = [h for h in range(400, 1101) if not 1000 <= h < 1020]
+    assert hours == {"X": want, "Y": want}
+    kept = {r["c"] for r in got.filter((F.col("series") == "X") & F.col("ts_ms").between(500 * STEP, 599 * STEP)).collect()}
+    assert kept == {9.0} and store.versions(spark, path) == [1, 2]
+    store.get(spark, path, "a", ["X"], "1h", 450 * STEP, 1100 * STEP, warm_up=50, transport="nowhere:at_all")
+    assert store.versions(spark, path) == [1, 2]
+
+
+def test_rate_is_kept():
+    import time
+
+    o = {"exchange": "a", "symbols": "X", "tf": "1h", "start_ms": "0", "end_ms": str(1000 * STEP), "transport": f"{__name__}:pages", "rate": "40", "parallel": "2"}
+    import sys
+
+    sys.modules.setdefault(__name__, sys.modules[pages.__module__])
+    reader = rest.CandleReader(o)
+    began = time.monotonic()
+    assert len([r for p in reader.partitions() for r in reader.read(p)]) == 1000
+    n = -(-1000 // rest.EXCHANGES["a"]["page"])
+    assert time.monotonic() - began >= (n - 1) * 0.05

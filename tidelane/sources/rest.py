@@ -93,16 +93,27 @@ class CandleReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         step = TIME_FRAMES[self.o["tf"]] * 1000
         span = step * EXCHANGES[self.o["exchange"]]["page"] * int(self.o.get("pages", 50))
-        start, end = int(self.o["start_ms"]), int(self.o["end_ms"])
-        return [Slice(s.strip(), a, min(a + span, end)) for s in self.o["symbols"].split(",") for a in range(start, end, span)]
+        if "ranges" in self.o:  # JSON: symbol, first and last but one time of each
+            ranges = json.loads(self.o["ranges"])
+        else:
+            ranges = [(s.strip(), int(self.o["start_ms"]), int(self.o["end_ms"])) for s in self.o["symbols"].split(",")]
+        return [Slice(s, a, min(a + span, end)) for s, start, end in ranges for a in range(start, end, span)]
 
     def read(self, part: Slice) -> Iterator[tuple]:
-        """Pages backward from the slice's end; a page that brings nothing earlier ends it."""
+        """Pages backward from the slice's end to its start, through gaps of any length.
+
+        With the options rate (requests a second in all) and parallel (tasks that run at once, 8), a task waits between
+        its requests for its share of the rate.
+        """
+        pause, asked_at = int(self.o.get("parallel", 8)) / float(self.o["rate"]) if "rate" in self.o else 0.0, None
         how = EXCHANGES[self.o["exchange"]]
         name, _, function = self.o.get("transport", f"{__name__}:fetch").partition(":")
         get = getattr(importlib.import_module(name), function)
-        at, seen, sparse = part.end, set(), 0
-        while at > part.start and sparse < 8:
+        at, seen = part.end, set()
+        while at > part.start:
+            if asked_at is not None:
+                time.sleep(max(0.0, asked_at + pause - time.monotonic()))
+            asked_at = time.monotonic()
             asked = {how["symbol"]: part.symbol, how["tf"]: self.o["tf"], how["end"]: at, how["limit"]: how["page"]}
             if "start" in how:
                 asked[how["start"]] = max(part.start, at - TIME_FRAMES[self.o["tf"]] * 1000 * how["page"])
@@ -112,7 +123,6 @@ class CandleReader(DataSourceReader):
             for ts, *prices in fresh:
                 yield part.symbol, self.o["tf"], ts, *prices
             before = min((r[0] for r in page), default=at)
-            sparse = 0 if fresh else sparse + 1
             at = before if before < at else at - TIME_FRAMES[self.o["tf"]] * 1000 * how["page"]
 
 
