@@ -201,13 +201,16 @@ def links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> Da
             want, texts = batch.column("set_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in blocks([len(t or "") for t in texts], 4_000_000):
                 sets = shingle_sets(texts[a:b], width)
+                names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
                 # rows that repeat a doc_id with another text are not the representative
-                good = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == want[a + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([want[a + i] for i in good], pa.int64()), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["set_id", "shingles"])
+                good = [i for i, name in enumerate(names) if name is not None and want[a + i] in (None, name)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in good], pa.int64()), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["set_id", "shingles"])
         released(_MEMO)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep", "set_id").hint("merge"), "rep")
-    sets = texts.select("set_id", "text").mapInArrow(load, "set_id long, shingles binary").dropDuplicates(["set_id"])
+    # sets that only rows without a doc_id hold have no representative: those rows name their sets themselves
+    nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("set_id"), "text")
+    sets = texts.select("set_id", "text").unionByName(nameless).mapInArrow(load, "set_id long, shingles binary").dropDuplicates(["set_id"])
     dealt = sets.join(_tiles(members.select("set_id", "n_shingles", "cluster"), percent), "set_id")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +225,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of width-word shingles. A text with
     fewer words is one shingle; without words (null, empty, blank) the set is empty and links with nothing.
-    component_id is the least doc_id reachable. Repeated rows are copies of each other; other columns are ignored.
+    component_id is the least doc_id reachable, through rows without one as well. Repeated rows are copies of each other;
+    other columns are ignored.
     """
     described = cut(describe(docs, width, percent / 100), "described")
     found = links(docs, described, width, percent)
