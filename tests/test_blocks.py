@@ -125,3 +125,10 @@ def test_last_before_and_intervals(spark, walk, span):
     assert got == want
     near = blocks.last_before(detail, walk, ["c"], span).filter("asof_c is null").count()
     assert near == sum(not opens.get(s) or t < opens[s][0] for s, t, _ in fine)
+
+
+@pytest.mark.parametrize("rows", [32, 4096])
+def test_percentile_over_blocks(walk, rows):
+    d = walk.withColumn("x", F.round(F.col("c") - F.col("o"), 1))  # ties
+    got, want = series(blocks.strength(d, "x", 50, 60, "y", rows), "y"), series(W.strength(d, "x", 50, 60, "y"), "y")
+    assert got == want and {True, False} == set(got["long"])

@@ -135,7 +135,7 @@ def _(b):
 
 @column("cycle_strength", ["strong"], f"WITH bars, d AS (SELECT *, abs(c - o) AS a FROM bars) SELECT series, bar_idx, bar_idx < 100 OR a >= quantile_cont(a, 0.6) OVER ({P} ROWS 100 PRECEDING) AS strong FROM d")
 def _(b):
-    return blocks.spread(b.withColumn("x", F.col("c") - F.col("o")), lambda d: W.strength(d, "x", 100, 60), 100, 0, ROWS)
+    return blocks.strength(b.withColumn("x", F.col("c") - F.col("o")), "x", 100, 60, rows=ROWS)
 
 
 @column("ob_range", ["range_high", "range_low"], f"WITH bars SELECT series, bar_idx, max(h) OVER w AS range_high, min(l) OVER w AS range_low FROM bars WINDOW w AS ({P} ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)")
