@@ -32,8 +32,9 @@ SIDES = [f"{side}_{what}" for side in "ab" for what in ("ids", "ends", "of")]
 class Side:
     """A tokenizer as its token bytes by id, a cutter of texts into words that it never merges across, and ids of words."""
 
-    def __init__(self, token: list[bytes], words: Callable[[list[str]], list[list[str]]], encode: Callable[[list[str]], list[list[int]]]):
-        self.token, self.words, self.encode = token, words, encode
+    def __init__(self, token: list[bytes], words: Callable[[list[str]], list[list[str]]], encode: Callable[[list[str]], list[list[int]]], lead: str = ""):
+        """lead: stands before each word but is not part of it."""
+        self.token, self.words, self.encode, self.lead = token, words, encode, lead
         self.size = np.array([len(t) for t in token], np.int32)
         self.memo: dict[str, bytes] = {}
         self.lossy: set[str] = set()  # words whose tokens do not spell them
@@ -42,15 +43,16 @@ class Side:
         """Each text's ids; none where the tokens' bytes are not the text's."""
         cut_up = self.words(texts)
         memo = self.memo
-        new = list(set().union(*map(set, cut_up)).difference(memo)) if cut_up else []
+        new = list({w for words in cut_up for w in words if w not in memo})
+        token, lead = self.token, self.lead
         for w, ids in zip(new, self.encode(new)):
             memo[w] = struct.pack(f"<{len(ids)}i", *ids)
-            if b"".join([self.token[i] for i in ids]) != w.encode("utf-8", "surrogatepass"):
+            if b"".join([token[i] for i in ids]) != (lead + w).encode("utf-8", "surrogatepass"):
                 self.lossy.add(w)
         out = []
         for text, words in zip(texts, cut_up):
             ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4")
-            spells = self.lossy.isdisjoint(words) or b"".join([self.token[i] for i in ids.tolist()]) == text.encode("utf-8", "surrogatepass")
+            spells = not self.lossy or self.lossy.isdisjoint(words) or b"".join([self.token[i] for i in ids.tolist()]) == text.encode("utf-8", "surrogatepass")
             out.append(ids if spells else None)
         if len(memo) > MEMO:  # the frequent words are there by now; those of this call go
             for w in new:
@@ -102,20 +104,20 @@ def piece_side(path: str) -> Side:
     space = model.piece_to_id("▁")
 
     def encode(words: list[str]) -> list[list[int]]:
-        """The model puts the leading space back, but not before nothing."""
-        return [ids or [space] for ids in model.encode([w[1:] for w in words], num_threads=1)]
+        """The model puts a space before each, but not before nothing."""
+        return [ids or [space] for ids in model.encode(words, num_threads=1)]
 
-    words = lambda texts: [[x] if x else [] for x in texts]
+    words = lambda texts: [[x[1:]] if x else [] for x in texts]
     if _plain(model) and not any("▁" in p.lstrip("▁") for p in pieces):
-        return Side(token, lambda texts: list(map(_spaced, texts)), encode)
-    return Side(token, words, encode)
+        return Side(token, lambda texts: list(map(_spaced, texts)), encode, " ")
+    return Side(token, words, encode, " ")
 
 
 def _spaced(text: str) -> list[str]:
-    """A text that begins with a space, cut before each space that follows another character."""
+    """A text that begins with a space, cut at each space that follows another character; those spaces are left out."""
     if not text:
         return []
-    return SEGMENT.findall(text) if "  " in text or text[-1] == " " else [" " + w for w in text[1:].split(" ")]
+    return [w[1:] for w in SEGMENT.findall(text)] if "  " in text or text[-1] == " " else text[1:].split(" ")
 
 
 def _plain(model) -> bool:
