@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import blocks, cut, least_of_top, released
+from .common import blocks, cut, least_of_top
 from .packing import _tokenizer
 from .token_count import BLOCK_CHARS, _loaded, pretokens
 
-MEMO = 300_000  # words of a tokenizer kept in a worker
+MEMO = 400_000  # words of a tokenizer kept in a worker, from task to task
 BROADCAST_PAIRS = 1_000_000  # pairs that are broadcast; they are the most frequent
 SEGMENT = re.compile(" +[^ ]*")
 SIDES = [f"{side}_{what}" for side in "ab" for what in ("ids", "ends", "of")]
@@ -41,18 +41,19 @@ class Side:
 
     def ids(self, texts: list[str]) -> list[np.ndarray | None]:
         """Each text's ids; none where the tokens' bytes are not the text's."""
-        cut_up = self.words(texts)
-        memo = self.memo
-        new = list({w for words in cut_up for w in words if w not in memo})
-        token, lead = self.token, self.lead
+        cut_up, memo, lead, token = self.words(texts), self.memo, self.lead, self.token
+        known = [list(map(memo.get, words)) for words in cut_up]
+        new = list({w for words, got in zip(cut_up, known) if None in got for w, x in zip(words, got) if x is None})
         for w, ids in zip(new, self.encode(new)):
             memo[w] = struct.pack(f"<{len(ids)}i", *ids)
             if b"".join([token[i] for i in ids]) != (lead + w).encode("utf-8", "surrogatepass"):
                 self.lossy.add(w)
         out = []
-        for text, words in zip(texts, cut_up):
-            ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4")
-            spells = not self.lossy or self.lossy.isdisjoint(words) or b"".join([self.token[i] for i in ids.tolist()]) == text.encode("utf-8", "surrogatepass")
+        for text, words, got in zip(texts, cut_up, known):
+            if None in got:
+                got = [memo[w] if x is None else x for w, x in zip(words, got)]
+            ids = np.frombuffer(b"".join(got), "<i4")
+            spells = not self.lossy or self.lossy.isdisjoint(words) or b"".join([token[i] for i in ids.tolist()]) == text.encode("utf-8", "surrogatepass")
             out.append(ids if spells else None)
         if len(memo) > MEMO:  # the frequent words are there by now; those of this call go
             for w in new:
@@ -157,15 +158,14 @@ def tokenized(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     for column, x in zip(columns, each):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([docs[start:end], *map(listed, columns)], ["doc_id", *SIDES])
-        released(a_side.memo, b_side.memo)
 
     ints = ArrayType(IntegerType(), False)
     schema = StructType([StructField("doc_id", LongType()), *(StructField(c, ints, False) for c in SIDES)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """row, doc_id, n_a, n_b, n_groups, groups_sha256 and links (id of A times 2^32 plus id of B, in order) of each text.
+def aligned(tokens: DataFrame, ids: int) -> DataFrame:
+    """ids: one more than the greatest id. row, doc_id, n_a, n_b, n_groups, groups_sha256 and links (id of A times 2^32 plus id of B, in order) of each text.
 
     row tells rows apart, whatever their doc_id.
     """
@@ -175,6 +175,9 @@ def aligned(tokens: DataFrame) -> DataFrame:
     # the link before each, too: groups end at links
     t = t.withColumns({f"{x}_from": F.concat(F.array(F.lit(-1)), f"{x}_at") for x in "ab"})
 
+    # an id as text is looked up: the optimizer makes one array of this
+    written = F.split(F.lit(",".join(map(str, range(ids)))), ",", -1)
+
     def ids_of(x: str, before: Column, last: Column) -> Column:
         """The side's ids after place `before` up to `last`, joined."""
         return F.array_join(F.slice(f"{x}_ids", before + 2, last - before).cast("array<string>"), ",")
@@ -182,7 +185,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     def group(a: Column, k: Column) -> Column:
         """Group k, whose last token of A is a."""
         b, a0, b0 = F.get("b_at", k), F.get("a_from", k), F.get("b_from", k)
-        single = F.concat(F.get("a_ids", a).cast("string"), F.lit("|"), F.get("b_ids", b).cast("string"))
+        single = F.concat(F.get(written, F.get("a_ids", a)), F.lit("|"), F.get(written, F.get("b_ids", b)))
         return F.when((a - a0 == 1) & (b - b0 == 1), single).otherwise(F.concat(ids_of("a", a0, a), F.lit("|"), ids_of("b", b0, b)))
 
     groups = F.array_join(F.transform("a_at", group), ";")
@@ -212,7 +215,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
     Null and empty texts, and texts that a tokenizer's tokens do not spell, have zeros and ''. Rows that repeat a doc_id
     stand for themselves and all count. Other columns are ignored. Each shared end is one link, as no token is empty.
     """
-    rows = cut(aligned(tokenized(docs, a_path, b_path)), "aligned")
+    ids = max(len(byte_side(a_path).token), len(piece_side(b_path).token))
+    rows = cut(aligned(tokenized(docs, a_path, b_path), ids), "aligned")
     pairs = pair_counts(rows)
     links = rows.select("row", F.explode("links").alias("pair"))
     added = [F.sum("n").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best")]
