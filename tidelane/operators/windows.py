@@ -171,3 +171,34 @@ def gaps_and_islands(df: DataFrame, x: str) -> DataFrame:
 def with_floor(alpha: Column, floor: float) -> Column:
     """Alpha, the floor at least where one is set."""
     return F.greatest(alpha, F.lit(float(floor))) if floor > 0 else alpha
+
+
+def alpha_summary(df: DataFrame, x: str = "alpha", floor: float = 0.1, warm_up: int = 100) -> DataFrame:
+    """Per series, from bar `warm_up` on: mean, sd, low, high and percentiles of x, the share that the floor lifts, and
+    mean, median and sd with the floor."""
+    d = df.filter(F.col("bar_idx") >= warm_up).withColumn("_f", with_floor(F.col(x), floor))
+    each = [F.percentile(x, k / 100).alias(f"p{k}") for k in (10, 25, 50, 75, 90)]
+    return d.groupBy("series").agg(
+        F.avg(x).alias("mean"),
+        F.stddev_pop(x).alias("sd"),
+        F.min(x).alias("low"),
+        F.max(x).alias("high"),
+        *each,
+        (F.avg((F.col(x) < floor).cast("double")) * 100).alias("clipped"),
+        F.avg("_f").alias("floor_mean"),
+        F.percentile("_f", 0.5).alias("floor_median"),
+        F.stddev_pop("_f").alias("floor_sd"),
+    )
+
+
+def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = 19) -> DataFrame:
+    """series, bin (from 0), low, high, n: values between low and high by bins of equal width, empty ones as well.
+
+    A bin has its lower edge, the last one its upper edge too.
+    """
+    width = (high - low) / bins
+    inside = df.filter(F.col(x).between(low, high)).withColumn("bin", F.least(F.floor((F.col(x) - low) / width), F.lit(bins - 1)))
+    n = inside.groupBy("series", "bin").agg(F.count("*").alias("n"))
+    every = df.select("series").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    out = every.join(n, ["series", "bin"], "left").fillna(0, ["n"])
+    return out.select("series", "bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n")

@@ -51,14 +51,29 @@ def _(spark, d):
     return B.train_validation(hourly(spark, d)).select("series", "bar_idx", "part")
 
 
+def validate_sql(frm: str) -> str:
+    """Counts of each fault in bars of frm."""
+    return f"""s AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY series ORDER BY ts_ms) AS step FROM {frm}),
+    q AS (SELECT series, count(*) AS n_bars, sum((o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL OR v IS NULL)::INT)::BIGINT AS n_null, sum(coalesce(h < greatest(o, c) - 1e-10, false)::INT)::BIGINT AS bad_high, sum(coalesce(l > least(o, c) + 1e-10, false)::INT)::BIGINT AS bad_low,
+    sum(coalesce(step = 0, false)::INT)::BIGINT AS n_duplicate, sum(coalesce(step > 7200000, false)::INT)::BIGINT AS n_gap FROM s GROUP BY series) SELECT *, n_null = 0 AND n_duplicate = 0 AND n_bars > 0 AS valid FROM q"""
+
+
+@query("candle_validate", f"WITH bars, {validate_sql('bars')}")
+def _(spark, d):
+    return B.validate(hourly(spark, d), HOUR)
+
+
 @query(
-    "candle_validate",
-    """WITH bars, s AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY series ORDER BY ts_ms) AS step FROM bars)
-    SELECT series, count(*) AS n_bars, 0::BIGINT AS n_null, sum((h < greatest(o, c) - 1e-10)::INT)::BIGINT AS bad_high, sum((l > least(o, c) + 1e-10)::INT)::BIGINT AS bad_low,
-    sum(coalesce(step = 0, false)::INT)::BIGINT AS n_duplicate, sum(coalesce(step > 7200000, false)::INT)::BIGINT AS n_gap, true AS valid FROM s GROUP BY series""",
+    "candle_faults",
+    f"""WITH bars, bad AS (SELECT series, ts_ms, o, CASE WHEN bar_idx % 7 = 3 THEN o - 1 ELSE h END AS h, CASE WHEN bar_idx % 5 = 2 THEN c + 1 ELSE l END AS l, c, CASE WHEN bar_idx % 11 = 4 AND series <> 'view' THEN NULL ELSE v END AS v FROM bars
+    UNION ALL SELECT series, ts_ms, o, h, l, c, v FROM bars WHERE bar_idx % 13 = 6 AND series <> 'click'), {validate_sql('bad')}""",
 )
 def _(spark, d):
-    return B.validate(hourly(spark, d), HOUR)
+    """Bars with faults put in by their position: high and low on the wrong side, no volume, bars twice."""
+    b, at = hourly(spark, d), F.col("bar_idx")
+    twice = b.filter((at % 13 == 6) & (F.col("series") != "click"))
+    bad = b.withColumns({"h": F.when(at % 7 == 3, F.col("o") - 1).otherwise(F.col("h")), "l": F.when(at % 5 == 2, F.col("c") + 1).otherwise(F.col("l")), "v": F.when((at % 11 == 4) & (F.col("series") != "view"), None).otherwise(F.col("v"))})
+    return B.validate(bad.unionByName(twice).drop("bar_idx"), HOUR)
 
 
 @query(

@@ -255,6 +255,28 @@ def _(b):
     return folds.adaptive_alpha(b, "kalman")
 
 
+KALMAN_ALPHA = KALMAN.replace(" SELECT series, bar_idx, round(greatest", ", al AS (SELECT series, bar_idx, greatest").replace(", 6) AS alpha FROM r", " AS alpha FROM r)")
+
+
+@query(
+    "alpha_summary",
+    f"""{KALMAN_ALPHA}, f AS (SELECT *, greatest(alpha, 0.1) AS fl FROM al WHERE bar_idx >= 100)
+    SELECT series, round(avg(alpha), 6) AS mean, round(stddev_pop(alpha), 6) AS sd, round(min(alpha), 6) AS low, round(max(alpha), 6) AS high, {", ".join(f"round(quantile_cont(alpha, {k / 100}), 6) AS p{k}" for k in (10, 25, 50, 75, 90))},
+    round(avg((alpha < 0.1)::INT) * 100, 6) AS clipped, round(avg(fl), 6) AS floor_mean, round(quantile_cont(fl, 0.5), 6) AS floor_median, round(stddev_pop(fl), 6) AS floor_sd FROM f GROUP BY series""",
+)
+def _(spark, d):
+    return rounded(W.alpha_summary(folds.adaptive_alpha(hourly(spark, d), "kalman")))
+
+
+@query(
+    "alpha_histogram",
+    f"""{KALMAN_ALPHA}, f AS (SELECT * FROM al WHERE bar_idx >= 100), b AS (SELECT series, unnest(range(19)) AS bin FROM (SELECT DISTINCT series FROM f)), n AS (SELECT series, least(floor((alpha - 0.05) / (0.45 / 19)), 18)::BIGINT AS bin, count(*) AS n FROM f GROUP BY ALL)
+    SELECT b.series, b.bin, round(0.05 + b.bin * 0.45 / 19, 6)::DOUBLE AS low, round(0.05 + (b.bin + 1) * 0.45 / 19, 6)::DOUBLE AS high, coalesce(n.n, 0) AS n FROM b LEFT JOIN n ON n.series = b.series AND n.bin = b.bin""",
+)
+def _(spark, d):
+    return rounded(W.histogram(folds.adaptive_alpha(hourly(spark, d), "kalman").filter("bar_idx >= 100"), "alpha", 0.05, 0.5))
+
+
 for _name in ("homodyne", "mama", "autocorrelation"):
 
     @query(f"{_name}_alpha")
