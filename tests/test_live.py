@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidelane.functions import kernels
 from tidelane.operators import live, signals
 from tidelane.plans.queries_bars import fine
 from tidelane.plans.registry import HOUR, hourly
-from tidelane.streaming import candles as C
 
 LOOSE = {"confidence_min": 30.0, "min_bars": 3}
 
@@ -24,14 +24,48 @@ def test_whole_bars_equal_the_columns(spark, sf_dir, name, method):
     assert want and rows(live.incremental(b, name, alpha_method=method, **LOOSE)) == want
 
 
-def test_streamed_bars_equal_the_columns(spark, sf_dir, tmp_path):
-    b = hourly(spark, sf_dir)
+@pytest.fixture
+def typed_state(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize(("name", "method"), [("cycle", "manual"), ("cycle_pine", "kalman")])
+def test_streamed_bars_equal_the_columns(spark, sf_dir, tmp_path, typed_state, name, method):
+    """In two runs over the same checkpoint, so that the second starts from the kept state alone."""
+    b = hourly(spark, sf_dir).cache()
     middle = b.approxQuantile("ts_ms", [0.5], 0.0)[0]
     for part in (b.filter(F.col("ts_ms") < middle), b.filter(F.col("ts_ms") >= middle)):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = C.run_once(live.stream(stream, "cycle", **LOOSE), "stream_signals", "append", f"{tmp_path}/cp")
-    assert rows(got) == rows(signals.REGISTRY["cycle"].signals(b, **LOOSE))
+        stream = live.stream(spark.readStream.schema(b.schema).parquet(f"{tmp_path}/in"), name, alpha_method=method, **LOOSE)
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(signals.REGISTRY[name].signals(b, alpha_method=method, **LOOSE))
+
+
+@pytest.mark.parametrize("method", ["manual", "kalman", "homodyne", "mama", "autocorrelation"])
+def test_state_by_name_goes_on_where_it_was(method):
+    p = signals.REGISTRY["cycle_pine"].defaults | {"alpha_method": method}
+    bars = [(k * 3_600_000, 101.0 + k % 7, 99.0 - k % 5, 100.0 + (k * k) % 3, 5.0 + k % 4) for k in range(120)]
+    one, two = live.Readings(p), live.Readings(p)
+    for k, bar in enumerate(bars):
+        if k % 10 == 0:
+            kept, two = dict(kernels.numbers(two)), live.Readings(p)
+            kernels.restore(two, kept)
+        assert one.step(p, *bar) == two.step(p, *bar)
+
+
+def test_state_without_a_reading_starts_it_anew():
+    p = signals.REGISTRY["cycle_pine"].defaults
+    old, new = live.Readings(p), live.Readings(p)
+    for k in range(20):
+        old.step(p, k * 3_600_000, 2.0 + k, 1.0 + k, 1.5 + k, 3.0)
+    kept = {n: v for n, v in kernels.numbers(old) if n not in ("bucket", "held")} | {"gone.away": 1.0}
+    kernels.restore(new, kept)
+    assert (new.n, new.held) == (20, None)
+    new.step(p, 20 * 3_600_000, 22.0, 21.0, 21.5, 3.0)
+    assert new.held == old.lines.ago(0)
 
 
 def test_open_bars_against_prefixes(spark, sf_dir):
@@ -42,7 +76,7 @@ def test_open_bars_against_prefixes(spark, sf_dir):
     p = signals.REGISTRY["cycle"].defaults | LOOSE
     want, done, last = {}, {}, {}
     for r in forms:
-        key, bar = r["series"], (r["h"], r["l"], r["c"], r["v"])
+        key, bar = r["series"], (r["ts_ms"], r["h"], r["l"], r["c"], r["v"])
         n = len(done.setdefault(key, []))
         at = live.Readings(p)  # from the start over all whole bars before, without a kept state
         if n >= 10 and n - last.get(key, -99) >= p["min_bars"] and n < 60:

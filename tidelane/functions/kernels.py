@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
 
 class Ring:
@@ -27,6 +28,37 @@ class Ring:
         return (min(self.items), max(self.items)) if self.items else (self.empty, self.empty)
 
 
+def numbers(x, path: str = "") -> Iterator[tuple[str, float | list | None]]:
+    """The state of a kernel and the kernels in it by name: numbers, none where there is no value yet, and lists."""
+    for name, v in vars(x).items():
+        at = f"{path}{name}"
+        if isinstance(v, Ring):
+            yield at, [float(i) for i in v.items]
+        elif v is None or isinstance(v, (int, float)):
+            yield at, v
+        elif isinstance(v, tuple):
+            yield at, [float(i) for i in v]
+        elif hasattr(v, "__dict__"):
+            yield from numbers(v, f"{at}.")
+
+
+def restore(x, kept: dict) -> None:
+    """Gives a new kernel the state that `numbers` named; what was not kept stays as it starts."""
+    for path, v in kept.items():
+        *way, name = path.split(".")
+        at = x
+        for step in way:
+            at = getattr(at, step, None)
+        if at is None:
+            continue
+        now = getattr(at, name, None)
+        if isinstance(now, Ring):
+            now.items.clear()
+            now.items.extend(v)
+        else:
+            setattr(at, name, int(v) if isinstance(now, int) and v is not None else v)
+
+
 def clamp(x: float, low: float, high: float) -> float:
     return max(low, min(high, x))
 

@@ -2,6 +2,9 @@
 
 Fed with whole bars it gives what the column form of the strategy gives. An open bar is judged on a copy of the state of the
 bars before it, so only a bar's last, whole form moves the state; a bar gives one signal at most.
+
+Streams keep the state as named numbers (`kernels.numbers`), not as objects: a version that adds a reading goes on from an
+older one's checkpoint, and the new reading starts there.
 """
 
 from __future__ import annotations
@@ -12,15 +15,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidelane.functions import kernels
 
 from . import htf
 from .signals import REGISTRY, WEIGHTS, with_exits
 
-#: Flat strategies that can go bar by bar: kind of score, and whether the trend must hold.
-KINDS = {"cycle": ("v7", False), "cycle_v63": ("v63", True)}
+#: Strategies that can go bar by bar: kind of score, and the parts that must hold. Those with a part `htf` hold the trend
+#: line of the last bar before the current bar of the higher time frame and enter at the middle of the bar where MIDDLE says.
+KINDS = {"cycle": ("v7", ()), "cycle_v63": ("v63", ("trend",)), "cycle_pine": ("generic", ("trend", "htf")), "cycle_soft_htf": ("soft_htf", ()), "cycle_no_htf": ("no_htf", ("trend",))}
+MIDDLE = {"cycle_pine"}
 FOUND = "bar_idx long, ts_ms long, direction int, confidence double, entry double, atr double"
 
 
@@ -32,12 +37,17 @@ class Readings:
         self.trend, self.atr = kernels.Trend(p["trend_alpha"]), kernels.Smooth(1 / p["atr_period"])
         self.lines, self.cycles, self.volumes = kernels.Ring(3), kernels.Ring(p["strength_lookback"] + 1), kernels.Ring(p["volume_period"])
         self.n, self.close, self.trigger, self.fisher = 0, None, 0.0, 0.0
+        self.bucket, self.held = None, None  # bar of the higher time frame, and the line before it
 
-    def step(self, p: dict, high: float, low: float, close: float, volume: float) -> tuple[int, dict, float]:
+    def step(self, p: dict, ts_ms: int, high: float, low: float, close: float, volume: float) -> tuple[int, dict, float]:
         """The side of a cross (0: none), the parts of its score, and the mean true range."""
         before, trigger, fisher = self.cycles.ago(0), self.trigger, self.fisher
         _, cycle, self.trigger, self.fisher = self.oscillator.step((high + low) / 2)
         line = self.trend.step(close)
+        bucket = ts_ms // (p["htf_seconds"] * 1000)
+        if bucket != self.bucket:
+            self.held = self.lines.ago(0) if self.n else line
+        self.bucket = bucket
         tr = high - low if self.close is None else max(high - low, abs(high - self.close), abs(low - self.close))
         atr, self.close = self.atr.step(tr), close
         self.lines.push(line)
@@ -53,6 +63,7 @@ class Readings:
         parts = {
             "cross": True,
             "trend": side * (line - self.lines.ago(2)) > 0 or not p["use_trend"],
+            "htf": side * (close - self.held) >= 0,
             "zone": cycle < p["oversold"] if side == 1 else cycle > p["overbought"],
             "volume": mean > 0 and volume / mean >= p["volume_mult"] or not p["use_volume"],
             "fisher": side * (self.fisher - fisher) > 0,
@@ -73,7 +84,8 @@ class Live:
     """Readings and throttle of one series."""
 
     def __init__(self, strategy: str, p: dict):
-        (self.kind, self.needs_trend), self.p = KINDS[strategy], p
+        (self.kind, self.needs), self.p = KINDS[strategy], p
+        self.at_middle = strategy in MIDDLE
         self.readings, self.last, self.day, self.n = Readings(p), -(10**9), None, 0
         self.kept: bytes | None = None  # the readings before an open bar
 
@@ -85,9 +97,9 @@ class Live:
             self.kept = self.kept or pickle.dumps(self.readings)
             at = pickle.loads(self.kept)
         bar = at.n
-        side, parts, atr = at.step(self.p, high, low, close, volume)
+        side, parts, atr = at.step(self.p, ts_ms, high, low, close, volume)
         score = min(100.0, float(sum(w for name, w in WEIGHTS[self.kind].items() if parts.get(name))))
-        if not side or score < self.p["confidence_min"] or self.needs_trend and not parts["trend"] or bar - self.last < self.p["min_bars"] or bar == self.last:
+        if not side or score < self.p["confidence_min"] or not all(parts[name] for name in self.needs) or bar - self.last < self.p["min_bars"] or bar == self.last:
             return None
         most, day = self.p.get("max_signals_per_day"), ts_ms // 86_400_000
         if day != self.day:
@@ -95,7 +107,7 @@ class Live:
         if most and self.n >= most:
             return None
         self.last, self.n = bar, self.n + 1
-        return bar, ts_ms, side, score, close, atr
+        return bar, ts_ms, side, score, (high + low) / 2 if self.at_middle else close, atr
 
 
 def _parameters(strategy: str, params: dict) -> dict:
@@ -140,20 +152,48 @@ def open_bars(bars: DataFrame, detail: DataFrame, seconds: int) -> DataFrame:
     return forms.unionByName(bare.select("series", "ts_ms", "bar_idx", "h", "l", "c", "v", F.lit(True).alias("whole")))
 
 
+class _Kept(StatefulProcessor):
+    """Live signals of a series between triggers: counters as a value, single readings and rings as maps by name.
+
+    Readings of an open bar are not kept: the next form of the bar starts from the whole bars before, which are.
+    """
+
+    def __init__(self, strategy: str, p: dict):
+        self.strategy, self.p = strategy, p
+
+    def init(self, handle) -> None:
+        self.counters = handle.getValueState("counters", "last long, day long, n long")
+        self.single = handle.getMapState("single", "name string", "value double")
+        self.rings = handle.getMapState("rings", "name string", "items array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        live = Live(self.strategy, self.p)
+        if self.counters.exists():
+            live.last, live.day, live.n = self.counters.get()
+            kept = {name: value for (name,), (value,) in self.single.iterator()}
+            kernels.restore(live.readings, kept | {name: list(items) for (name,), (items,) in self.rings.iterator()})
+        x = pd.concat(list(rows)).sort_values(["ts_ms", "whole"])
+        found = [live.step(*bar) for bar in x[["ts_ms", "h", "l", "c", "v", "whole"]].itertuples(index=False, name=None)]
+        self.counters.update((live.last, live.day, live.n))
+        for name, value in kernels.numbers(live.readings):
+            if isinstance(value, list):
+                self.rings.updateValue((name,), (value,))
+            else:
+                self.single.updateValue((name,), (None if value is None else float(value),))
+        yield pd.DataFrame([(key[0], *f) for f in found if f], columns=["series", *(f.split()[0] for f in FOUND.split(", "))])
+
+    def close(self) -> None:
+        pass
+
+
 def stream(bars: DataFrame, strategy: str = "cycle", **params) -> DataFrame:
     """`incremental` over a stream of bars, whose state is kept between triggers.
 
     Bars of a series must come in order across triggers; inside one they are sorted, so a trigger's size bounds memory.
+    Typed states need the session's spark.sql.streaming.stateStore.providerClass to be RocksDBStateStoreProvider.
     """
     p = _parameters(strategy, params)
     source = bars if "whole" in bars.columns else bars.withColumn("whole", F.lit(True))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = pickle.loads(state.get[0]) if state.exists else Live(strategy, p)
-        x = pd.concat(list(frames)).sort_values(["ts_ms", "whole"])
-        found = [live.step(*bar) for bar in x[["ts_ms", "h", "l", "c", "v", "whole"]].itertuples(index=False, name=None)]
-        state.update((pickle.dumps(live),))
-        yield pd.DataFrame([(key[0], *f) for f in found if f], columns=["series", *(f.split()[0] for f in FOUND.split(", "))])
-
-    got = source.groupBy("series").applyInPandasWithState(step, f"series string, {FOUND}", "state binary", "append", GroupStateTimeout.NoTimeout)
+    source = source.select("series", "ts_ms", "h", "l", "c", "v", "whole")
+    got = source.groupBy("series").transformWithStateInPandas(_Kept(strategy, p), f"series string, {FOUND}", "Append", "None")
     return with_exits(got, p)
