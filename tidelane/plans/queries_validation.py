@@ -8,7 +8,7 @@ from tidelane.operators import bars as B
 from tidelane.operators import portfolio, signals, simulation
 from tidelane.operators import validation as V
 
-from . import search
+from . import search, study
 from .queries_metrics import T, trades
 from .registry import hourly, query, rounded
 
@@ -305,6 +305,73 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(r["window_id"], float(r["is_score"]), float(r["oos_score"]), float(r["params"]["confidence_min"])) for r in rows], "window_id long, is_score double, oos_score double, confidence_min double"))
 
 
+# --- studies: every window of every series is searched in the same rounds ---
+
+CROSSED = [search.Param("fast", "int", 2, 20, 2), search.Param("slow", "int", 22, 60, 2)]
+#: Scores of all 200 points over spans sp (series, window_id, part, lo, hi), as sc.
+CROSSED_SQL = """cu AS MATERIALIZED (SELECT series, bar_idx, c, sum(c) OVER w AS total, lead(c) OVER w - c AS step FROM bars WINDOW w AS (PARTITION BY series ORDER BY bar_idx)),
+    mk AS MATERIALIZED (SELECT a.series, a.bar_idx, k, (a.total - coalesce(b.total, 0)) / k AS m FROM cu a JOIN (SELECT unnest(range(2, 61, 2)) AS k) ON a.bar_idx >= k - 1 LEFT JOIN cu b ON b.series = a.series AND b.bar_idx = a.bar_idx - k),
+    pt AS (SELECT f AS fast, s AS slow FROM (SELECT unnest(range(2, 21, 2)) AS f), (SELECT unnest(range(22, 61, 2)) AS s)),
+    sc AS MATERIALIZED (SELECT sp.series, window_id, part, fast, slow, CASE WHEN stddev_pop(g) > 0 THEN round(avg(g) / stddev_pop(g), 9) ELSE 0 END AS score FROM sp, pt,
+      LATERAL (SELECT coalesce(sign(x.m - y.m), 0) * step AS g FROM cu LEFT JOIN mk x ON x.series = cu.series AND x.bar_idx = cu.bar_idx AND x.k = fast LEFT JOIN mk y ON y.series = cu.series AND y.bar_idx = cu.bar_idx AND y.k = slow
+        WHERE cu.series = sp.series AND cu.bar_idx >= lo AND cu.bar_idx < hi - 1) GROUP BY ALL)"""
+WALKED = f"""w AS (SELECT series, unnest(range(5)) AS window_id, floor(n_bars / 5 * 0.25)::BIGINT AS o, floor(n_bars / 5 * 0.75)::BIGINT AS i, n_bars FROM sz),
+    wi AS (SELECT series, window_id, window_id * (i + o) AS a, window_id * (i + o) + i AS b, least(window_id * (i + o) + i + o, n_bars) AS z FROM w WHERE window_id * (i + o) + i < n_bars)"""
+
+
+def crossed_windows(spark, d):
+    """Walk-forward windows, whose in-sample span is searched; its last quarter is a first test."""
+    w = V.walk_forward_windows(sizes(spark, d))
+    third = (F.col("is_start") + F.floor((F.col("is_end") - F.col("is_start")) * 0.75)).cast("long")
+    return w.withColumns({"lo": F.col("is_start"), "hi": F.col("is_end"), "opt_end": third})
+
+
+def crossed_score(spark, d):
+    return study.crossovers(hourly(spark, d), 60)
+
+
+@query(
+    "crossover_walk_forward",
+    f"""WITH bars, {SIZES}, {WALKED}, sp AS (SELECT series, window_id, 'is' AS part, a AS lo, b AS hi FROM wi UNION ALL SELECT series, window_id, 'oos', b, z FROM wi), {CROSSED_SQL},
+    be AS (SELECT * FROM sc WHERE part = 'is' QUALIFY row_number() OVER (PARTITION BY series, window_id ORDER BY score DESC, fast, slow) = 1)
+    SELECT series, window_id, fast, slow, round(be.score, 6) AS is_score, round(o.score, 6) AS oos_score FROM be JOIN sc o USING (series, window_id, fast, slow) WHERE o.part = 'oos'""",
+)
+def _(spark, d):
+    """The best of 200 pairs of moving averages in each window of each series, and what it is worth afterwards."""
+    score, keys = crossed_score(spark, d), ["series", "window_id"]
+    t = score(study.grid(crossed_windows(spark, d), CROSSED))
+    return rounded(study.tested(t, keys, score, [("oos", "oos_start", "oos_end")]).select(*keys, F.col("fast").cast("long").alias("fast"), F.col("slow").cast("long").alias("slow"), F.col("score").alias("is_score"), "oos_score"))
+
+
+@query(
+    "crossover_dual_test",
+    f"""WITH bars, {SIZES}, {WALKED}, cut AS (SELECT *, a + floor((b - a) * 0.75)::BIGINT AS m FROM wi),
+    sp AS (SELECT series, window_id, 'opt' AS part, a AS lo, m AS hi FROM cut UNION ALL SELECT series, window_id, 'test1', m, b FROM cut UNION ALL SELECT series, window_id, 'test2', b, z FROM cut), {CROSSED_SQL},
+    tp AS (SELECT *, row_number() OVER (PARTITION BY series, window_id ORDER BY score DESC, fast, slow) AS place FROM sc WHERE part = 'opt'),
+    t1 AS (SELECT sc.* FROM sc JOIN tp USING (series, window_id, fast, slow) WHERE place <= 3 AND sc.part = 'test1' AND sc.score > 0 QUALIFY row_number() OVER (PARTITION BY series, window_id ORDER BY sc.score DESC, fast, slow) = 1)
+    SELECT tp.series, tp.window_id, t1.fast, t1.slow, round(tp.score, 6) AS opt_score, round(t1.score, 6) AS test1_score, round(t2.score, 6) AS test2_score, round((t1.score - t2.score) / abs(t1.score) * 100, 6) AS degradation
+    FROM tp LEFT JOIN t1 ON t1.series = tp.series AND t1.window_id = tp.window_id LEFT JOIN sc t2 ON t2.series = t1.series AND t2.window_id = t1.window_id AND t2.fast = t1.fast AND t2.slow = t1.slow AND t2.part = 'test2' WHERE tp.place = 1""",
+)
+def _(spark, d):
+    """Search, first and second test in each window: the best three of the search, the best of them that earns in the first
+    test, and what it loses in the second."""
+    score, keys = crossed_score(spark, d), ["series", "window_id"]
+    t = score(study.grid(crossed_windows(spark, d).withColumn("hi", F.col("opt_end")), CROSSED))
+    r = study.tested(t, keys, score, [("test1", "opt_end", "is_end"), ("test2", "oos_start", "oos_end")], top=3, gate=F.col("score") > 0)
+    lost = (F.col("test1_score") - F.col("test2_score")) / F.abs("test1_score") * 100
+    return rounded(r.select(*keys, F.col("fast").cast("long").alias("fast"), F.col("slow").cast("long").alias("slow"), F.col("score").alias("opt_score"), "test1_score", "test2_score", lost.alias("degradation")))
+
+
+@query("crossover_study")
+def _(spark, d):
+    """`crossover_walk_forward` by a study of 72 trials a window instead of all 200 points."""
+    score, keys = crossed_score(spark, d), ["series", "window_id"]
+    t = study.tpe(crossed_windows(spark, d), keys, CROSSED, score)
+    n = t.groupBy(*keys).agg(F.count("*").alias("n_trials"))
+    r = study.tested(t, keys, score, [("oos", "oos_start", "oos_end")])
+    return rounded(r.join(n, keys).select(*keys, "fast", "slow", "n_trials", F.col("score").alias("is_score"), "oos_score"))
+
+
 @query("alpha_floor", "SELECT l_orderkey, l_linenumber, greatest(l_discount, 0.03)::DOUBLE AS alpha FROM lineitem")
 def _(spark, d):
     from tidelane.operators.windows import with_floor
