@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -66,25 +66,27 @@ def cycle(df: DataFrame, method: str = "manual", x: str = "c", fisher_lookback:
     return series_fold(df, [x], ["alpha", "cycle", "trigger", "fisher"], lambda: kernels.Oscillator(method, fisher_lookback, trigger_ema, manual_alpha).step)
 
 
-def throttle(signals: DataFrame, least_bars: int, per_day: int | None = None, day_ms: int = 86_400_000) -> DataFrame:
-    """Adds accepted (1.0 or 0.0) to candidate signals: at least least_bars after the last accepted one of the series, at
-    most per_day a UTC day. Needs series, bar_idx, ts_ms."""
+def throttle(signals: DataFrame, least_bars: int | Column, per_day: int | Column | None = None, day_ms: int = 86_400_000, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Adds accepted (1.0 or 0.0) to candidate signals: at least least_bars after the last accepted one of the key, at most
+    per_day a UTC day (null: any number). Needs the keys, bar_idx, ts_ms; as columns the limits may differ from key to key."""
+    least, most = (x if isinstance(x, Column) else F.lit(x) for x in (least_bars, per_day))
+    limits = {"_least": least.cast("long"), "_most": F.coalesce(most.cast("long"), F.lit(1 << 62))}
 
     def make():
         state = {"bar": -(10**9), "day": None, "n": 0}
 
-        def step(bar, ms):
+        def step(bar, ms, least, most):
             day = ms // day_ms
             if day != state["day"]:
                 state["day"], state["n"] = day, 0
-            if bar - state["bar"] < least_bars or per_day is not None and state["n"] >= per_day:
+            if bar - state["bar"] < least or state["n"] >= most:
                 return 0.0
             state["bar"], state["n"] = bar, state["n"] + 1
             return 1.0
 
         return step
 
-    return series_fold(signals, ["bar_idx", "ts_ms"], ["accepted"], make)
+    return fold(signals.withColumns(limits), list(keys), ["bar_idx"], ["bar_idx", "ts_ms", *limits], ["accepted"], make).drop(*limits)
 
 
 def capped_levels(df: DataFrame, pivots: tuple[str, str] = ("pivot_high", "pivot_low"), most: int = 40) -> DataFrame:

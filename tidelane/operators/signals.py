@@ -49,6 +49,28 @@ class Strategy:
         return with_exits(a.filter("accepted = 1").drop("accepted"), p)
 
 
+    def of_trials(self, bars: DataFrame, trials: list[dict]) -> DataFrame:
+        """Signals of all trials in one table with `trial`, the place in the list.
+
+        Trials that differ in nothing but GATES share one table of candidates, so a search of gates is one branch of the plan
+        however many trials it has.
+        """
+        alike: dict[str, list[int]] = {}
+        for k, t in enumerate(trials):
+            alike.setdefault(repr(sorted((n, v) for n, v in t.items() if n not in GATES)), []).append(k)
+        found = None
+        for places in alike.values():
+            p = self.defaults | trials[places[0]]
+            gates = [F.struct(F.lit(k).alias("trial"), *(F.lit((self.defaults | trials[k]).get(n) or None).cast(t).alias(f"_{n}") for n, t in GATES.items())) for k in places]
+            c = self.candidates(bars, p).select("*", F.inline(F.array(*gates))).filter("confidence >= coalesce(_confidence_min, 0)")
+            a = folds.throttle(c, F.coalesce("_min_bars", F.lit(0)), F.col("_max_signals_per_day"), keys=("series", "trial"))
+            s = with_exits(a.filter("accepted = 1").drop("accepted", *(f"_{n}" for n in GATES)), p)
+            found = s if found is None else found.unionByName(s)
+        return found
+
+
+#: Parameters that accept or reject candidates and change nothing else, with their types.
+GATES = {"confidence_min": "double", "min_bars": "long", "max_signals_per_day": "long"}
 REGISTRY: dict[str, Strategy] = {}
 
 

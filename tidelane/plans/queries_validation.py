@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelane.operators import bars as B
 from tidelane.operators import portfolio, signals, simulation
 from tidelane.operators import validation as V
+from tidelane.operators.tables import held
 
 from . import search, study
 from .queries_metrics import T, trades
@@ -269,7 +270,7 @@ def _(spark, d):
 
 # --- search: rounds of trials over all series; the numbers of trials are the searches' own parameters ---
 
-SEARCHED = [search.Param("confidence_min", "float", 40.0, 50.0, 10.0), search.Param("min_bars", "int", 5, 15, 10)]
+SEARCHED = [search.Param("confidence_min", "float", 40.0, 60.0, 2.5), search.Param("min_bars", "int", 4, 24, 1)]
 
 
 def found(spark, rows):
@@ -278,31 +279,34 @@ def found(spark, rows):
 
 
 def scored(spark, d):
-    b = hourly(spark, d)
+    b = held(hourly(spark, d))
     return lambda trials: search.evaluate(b, "cycle_no_htf", trials)
 
 
 @query("search_grid")
 def _(spark, d):
+    """All 189 points."""
     trials = [r.asDict() for r in search.grid(spark, SEARCHED).collect()]
     return found(spark, sorted(zip(scored(spark, d)(trials), trials), key=lambda x: (-x[0], sorted(x[1].items()))))
 
 
 @query("search_tpe")
 def _(spark, d):
-    return found(spark, search.tpe(scored(spark, d), SEARCHED, n_trials=8, batch=4, start=4))
+    return found(spark, search.tpe(scored(spark, d), SEARCHED))
 
 
 @query("search_genetic")
 def _(spark, d):
-    return found(spark, search.genetic(scored(spark, d), SEARCHED, population=4, generations=2))
+    return found(spark, search.genetic(scored(spark, d), SEARCHED))
 
 
 @query("search_walk_forward")
 def _(spark, d):
-    """Two windows over the common positions of all series."""
-    rows = search.walk_forward(hourly(spark, d), "cycle_no_htf", SEARCHED[:1] + [search.Param("min_bars", "int", 5, 5, 1)], [(0, 300, 300, 400), (200, 500, 500, 600)])
-    return rounded(spark.createDataFrame([(r["window_id"], float(r["is_score"]), float(r["oos_score"]), float(r["params"]["confidence_min"])) for r in rows], "window_id long, is_score double, oos_score double, confidence_min double"))
+    """All 189 points in the walk-forward windows, each window's best over all series and its score afterwards."""
+    trials = [r.asDict() for r in search.grid(spark, SEARCHED).collect()]
+    r = search.walk_forward(held(hourly(spark, d)), "cycle_no_htf", trials, V.walk_forward_windows(sizes(spark, d)), min_trades=1)
+    named = spark.createDataFrame([(k, float(t["confidence_min"]), int(t["min_bars"])) for k, t in enumerate(trials)], "trial long, confidence_min double, min_bars long")
+    return rounded(r.join(F.broadcast(named), "trial").select("window_id", "confidence_min", "min_bars", "is_score", "oos_score"))
 
 
 # --- studies: every window of every series is searched in the same rounds ---

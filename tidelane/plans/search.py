@@ -7,10 +7,12 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators import metrics, signals, simulation
+from tidelane.operators.tables import held
+from tidelane.operators.validation import in_windows
 
 
 @dataclass(frozen=True)
@@ -71,25 +73,32 @@ def effective_trials(params: list[Param]) -> int:
     return total
 
 
-def evaluate(bars: DataFrame, strategy: str, trials: list[dict], objective: str = "sharpe", min_trades: int = 10, bar_seconds: int = 3600, settings: simulation.Settings | None = None) -> list[float]:
-    """Scores of trials, each over all series together: the mean of the series' objective, -999 with few trades.
+def scores(bars: DataFrame, strategy: str, trials: list[dict], objective: str = "sharpe", min_trades: int = 10, bar_seconds: int = 3600, settings: simulation.Settings | None = None, window: str | None = None) -> DataFrame:
+    """A row a trial (its place in the list), and a window if bars have one: score, the mean of the series' objective, -999
+    with few trades over all series.
 
-    All trials' signals are one table keyed by trial, so simulation and metrics are one job.
+    All trials' signals are one table keyed by trial, so simulation and metrics are one job. Bars of several windows start
+    from position 0 in each.
     """
-    found = None
-    for k, t in enumerate(trials):
-        s = signals.REGISTRY[strategy].signals(bars, **t).withColumn("trial", F.lit(k))
-        found = s if found is None else found.unionByName(s)
+    if window:
+        bars = bars.withColumn("series", F.concat_ws("/", "series", window))
+    found = signals.REGISTRY[strategy].of_trials(bars, trials)
     every = bars.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))))
     keys = ("series", "trial")
     tagged = simulation.simulate(every, found, settings, keys)
     run = F.concat_ws("/", *keys)
     e = metrics.equity_summary(simulation.equity(tagged, keys).withColumn("run", run), (settings or simulation.Settings()).initial, bar_seconds)
     t = metrics.trade_summary(simulation.trades(tagged, keys).withColumn("run", run))
-    r = e.join(t, "run", "left").withColumn("trial", F.element_at(F.split("run", "/"), -1).cast("int")).fillna(0)
+    part = lambda k: F.element_at(F.split("run", "/"), k).cast("long")
+    r = e.join(t, "run", "left").withColumns({"trial": part(-1)} | ({window: part(-2)} if window else {})).fillna(0)
     value = metrics.composite(r) if objective == "composite" else F.col({"sharpe": "sharpe", "return": "total_return", "calmar": "calmar"}[objective])
-    rows = r.groupBy("trial").agg(F.avg(value).alias("score"), F.sum("n_trades").alias("n")).collect()  # a row a trial
-    score = {x["trial"]: x["score"] if x["n"] >= min_trades else metrics.REJECTED for x in rows}
+    r = r.groupBy("trial", *([window] if window else [])).agg(F.avg(value).alias("score"), F.sum("n_trades").alias("n_trades"))
+    return r.withColumn("score", F.when(F.col("n_trades") >= min_trades, F.col("score")).otherwise(metrics.REJECTED))
+
+
+def evaluate(bars: DataFrame, strategy: str, trials: list[dict], **how) -> list[float]:
+    """`scores` of trials as a list, each over all series together."""
+    score = {x["trial"]: x["score"] for x in scores(bars, strategy, trials, **how).collect()}  # a row a trial
     return [score.get(k, metrics.REJECTED) for k in range(len(trials))]
 
 
@@ -172,32 +181,19 @@ def genetic(score: Ask, params: list[Param], population: int = 20, generations:
     return sorted(unique.values(), key=lambda d: -d[0])
 
 
-def walk_forward(bars: DataFrame, strategy: str, params: list[Param], windows: list[tuple[int, int, int, int]], **how) -> list[dict]:
-    """For each window (is_start, is_end, oos_start, oos_end): the best in-sample trial of the grid and its later score."""
-    trials = [r.asDict() for r in grid(bars.sparkSession, params).collect()]  # the grid is the caller's choice of trials
-    out = []
-    for k, (a, b, c, d) in enumerate(windows):
-        part = lambda lo, hi: bars.filter((F.col("bar_idx") >= lo) & (F.col("bar_idx") < hi)).withColumn("bar_idx", F.col("bar_idx") - lo)
-        scores = evaluate(part(a, b), strategy, trials, **how)
-        best = max(range(len(trials)), key=lambda i: scores[i])
-        out.append({"window_id": k, "params": trials[best], "is_score": scores[best], "oos_score": evaluate(part(c, d), strategy, [trials[best]], **how)[0]})
-    return out
-
-
-def rolling(bars: DataFrame, strategy: str, params: list[Param], windows: list[dict], tries: int = 24, top: int = 3, gate: Callable[[float], bool] = lambda s: s > 0, seed: int = 42, **how) -> list[dict]:
-    """Rolling search with two tests. For each window (opt, test1, test2: pairs of positions): a search on opt, the best few
-    on test1, and the best that passes the gate there on test2; without one the window is empty. Scores and degradation."""
-    out = []
-    for k, w in enumerate(windows):
-        part = lambda key: bars.filter((F.col("bar_idx") >= w[key][0]) & (F.col("bar_idx") < w[key][1])).withColumn("bar_idx", F.col("bar_idx") - w[key][0])  # noqa: E731, B023
-        found = tpe(lambda trials: evaluate(part("opt"), strategy, trials, **how), params, tries, start=min(20, tries // 2), seed=seed + k)  # noqa: B023
-        best = [t for _, t in found[:top]]
-        first = evaluate(part("test1"), strategy, best, **how)
-        ranked = sorted(((s, i) for i, s in enumerate(first) if gate(s)), reverse=True)
-        row = {"window_id": k, "opt_score": found[0][0], "params": None, "test1_score": None, "test2_score": None, "degradation": None}
-        if ranked:
-            s, i = ranked[0]
-            row |= {"params": best[i], "test1_score": s, "test2_score": evaluate(part("test2"), strategy, [best[i]], **how)[0]}
-            row["degradation"] = (s - row["test2_score"]) / abs(s) * 100 if s else 0.0
-        out.append(row)
-    return out
+def walk_forward(bars: DataFrame, strategy: str, trials: list[dict], windows: DataFrame, **how) -> DataFrame:
+    """For each window the trial (its place in the list; ties: the first) with the best in-sample score over all series, that
+    score, and the trial's score afterwards: window_id, trial, is_score, oos_score.
+
+    windows: series, window_id, is_start, is_end, oos_start, oos_end. All windows are one job a span; only the trials that
+    are some window's best run on the later spans.
+    """
+    w = Window.partitionBy("window_id").orderBy(F.desc("score"), "trial")
+    first = scores(in_windows(bars, windows, "is_start", "is_end"), strategy, trials, window="window_id", **how)
+    best = held(first.withColumn("_place", F.row_number().over(w)).filter("_place = 1").select("window_id", "trial", F.col("score").alias("is_score")))
+    chosen = sorted(r["trial"] for r in best.select("trial").distinct().collect())  # some of the caller's trials
+    if not chosen:
+        return best.withColumn("oos_score", F.lit(None).cast("double"))
+    later = scores(in_windows(bars, windows, "oos_start", "oos_end"), strategy, [trials[k] for k in chosen], window="window_id", **how)
+    later = later.select("window_id", F.element_at(F.array(*map(F.lit, chosen)), F.col("trial").cast("int") + 1).cast("long").alias("trial"), F.col("score").alias("oos_score"))
+    return best.join(later, ["window_id", "trial"], "left").fillna(metrics.REJECTED, ["oos_score"])
