@@ -42,3 +42,11 @@ def test_walk_forward_against_windows_one_by_one(spark, bars):
         later = search.evaluate(part("oos_start", "oos_end"), "cycle_no_htf", trials, min_trades=1)
         best = max(range(len(trials)), key=lambda i: (first[i], -i))
         assert (r["is_score"], r["oos_score"]) == pytest.approx((first[best], later[r["trial"]])) and first[r["trial"]] == pytest.approx(first[best])
+
+
+def test_estimator_asks_for_new_trials_until_there_are_none():
+    space = [search.Param("x", "int", 0, 30, 1), search.Param("y", "float", -2.0, 2.0, 0.25)]
+    found = search.tpe(lambda ts: [-abs(t["x"] - 21) - abs(t["y"]) for t in ts], space, 100, start=8)
+    assert len(found) == 100 and len({(t["x"], t["y"]) for _, t in found}) >= 99  # the random start may draw one twice
+    tiny = search.tpe(lambda ts: [-abs(t["x"] - 1) for t in ts], [search.Param("x", "int", 0, 2, 1)], 40, start=8)
+    assert len(tiny) == 40 and tiny[0] == (0, {"x": 1})

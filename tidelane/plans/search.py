@@ -119,9 +119,9 @@ def _known(score: Ask, params: list[Param], seen: dict) -> Ask:
 
 def tpe(score: Ask, params: list[Param], n_trials: int = 60, batch: int = 8, start: int = 20, seed: int = 42, share: float = 0.25) -> list[tuple[float, dict]]:
     """Tree-structured Parzen estimator: after random trials each batch takes the candidates whose density among the best
-    share of trials is largest against the density among the rest. Best first."""
-    rng, done = random.Random(seed), []
-    ask = _known(score, params, {})
+    share of trials is largest against the density among the rest, new ones if any was drawn. Best first."""
+    rng, done, seen = random.Random(seed), [], {}
+    ask = _known(score, params, seen)
 
     def density(p: Param, x, among: list) -> float:
         if not among:
@@ -146,7 +146,8 @@ def tpe(score: Ask, params: list[Param], n_trials: int = 60, batch: int = 8, sta
 
             drawn = [{p.name: near(p) for p in params} for _ in range(24 * n)]
             worth = lambda t: sum(math.log(density(p, t[p.name], [g[p.name] for g in good]) / density(p, t[p.name], [r[p.name] for r in rest])) for p in params)
-            trials = sorted(drawn, key=worth, reverse=True)[:n]
+            new = {k: t for t in drawn if (k := tuple(sorted(active(params, t).items()))) not in seen}
+            trials = sorted(new.values() or drawn, key=worth, reverse=True)[:n]
         done += list(zip(ask(trials), trials))
     return sorted(done, key=lambda d: -d[0])
 
