@@ -36,7 +36,7 @@ def same(a, b) -> bool:
     return math.isnan(a) and math.isnan(b) or math.isclose(a, b, rel_tol=1e-6, abs_tol=1.1e-6)
 
 
-@pytest.mark.parametrize("name", ["cagr_calmar", "objective_calmar", "run_summary", "profit_factor", "run_reconciled", "objective_composite"])
+@pytest.mark.parametrize("name", ["cagr_calmar", "objective_calmar", "run_summary", "profit_factor", "run_reconciled", "objective_composite", "wfo_aggregate"])
 def test_nothing_to_divide_by(spark, folder, name):
     df = catalog.queries()[name](spark, folder)
     con = duckdb.connect()

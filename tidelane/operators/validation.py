@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .metrics import ratio
+from .metrics import profit_factor, ratio
 
 
 def walk_forward_windows(sizes: DataFrame, n_windows: int = 5, oos: float = 0.25, anchored: bool = False) -> DataFrame:
@@ -186,9 +186,11 @@ def layers(bars: DataFrame, trades: DataFrame, equity: DataFrame, n_trials: int,
     return robustness(wfe.join(lost, "series").join(dsr, "series").join(p, "series"))
 
 
-def window_aggregate(windows: DataFrame, initial: float = 1000.0) -> DataFrame:
+def window_aggregate(windows: DataFrame, initial: float = 1000.0, plain: bool = False) -> DataFrame:
     """Over window results (run, window_id, ret in percent, days, degradation): mean, median, deviation, compounded
-    equity and return, drawdown, win rate, profit factor, mean degradation of windows where it is not nearly 0."""
+    equity and return, drawdown, win rate, profit factor, mean degradation of windows where it is not nearly 0.
+
+    The profit factor is 999 where no window lost, or the plain quotient."""
     w = Window.partitionBy("run").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
     e = windows.withColumn("equity", initial * F.exp(F.sum(F.log(F.greatest(1 + F.col("ret") / 100, F.lit(1e-9)))).over(w)))
     e = e.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(initial)))
@@ -200,7 +202,7 @@ def window_aggregate(windows: DataFrame, initial: float = 1000.0) -> DataFrame:
         F.max_by("equity", "window_id").alias("final"),
         F.max((F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("drawdown"),
         F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
-        ratio(F.sum(F.greatest("ret", F.lit(0.0))), F.sum(F.greatest(-F.col("ret"), F.lit(0.0))), 999.0).alias("profit_factor"),
+        profit_factor(F.sum(F.greatest("ret", F.lit(0.0))), F.sum(F.greatest(-F.col("ret"), F.lit(0.0))), plain).alias("profit_factor"),
         F.avg(F.when(F.abs("degradation") > 0.001, F.col("degradation"))).alias("degradation"),
         F.sum("days").alias("days"),
     )
