@@ -91,3 +91,32 @@ def test_repeats_and_nothing(spark):
     assert got == sorted((-1 if i is None else i, *w) for (i, _), w in zip(rows, by_hand([t for _, t in rows])))
     assert alignment.align(docs, A, B).filter("doc_id is null").count() == 1
     assert alignment.align(docs.limit(0), A, B).count() == 0
+
+
+MIXED = [
+    "x\n  word", "a \n b", "a\t b \tc", "a \x1c b", "a  b  c", "a  　 b", "the cat x▁y sat", "the cat sat ▁", "ends in space ",
+    "it's 'tis rock 'n' roll's", "one\n\n two\r\n three", " \n", "\n ", "the  cat   sat", "<|endoftext|> the <s> cat", "é ﬁ ① 日本 語 😀 the cat", "\x85 a \x85",
+]
+
+
+def test_white_space_and_lossy_words(spark):
+    docs = spark.createDataFrame(list(enumerate(MIXED)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs, A, B).collect()}
+    for k, want in enumerate(by_hand(MIXED)):
+        assert got[k] == want, MIXED[k]
+
+
+def test_a_word_is_aligned_once_for_many_texts(spark):
+    texts = ["the cat sat on the mat", "on the mat sat the cat"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    row = alignment.tokenized(docs, A, B).collect()
+    assert sum(len(r.a_ids) for r in row) == len(alignment.byte_side(A).encode(["the cat sat on mat"])[0])
+
+
+def test_pretokens_of_all_characters():
+    t = Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 97 == 0)]
+    texts = ["".join(f"a{c}1{c}'{c} {c}." for c in chars[k : k + 500]) for k in range(0, len(chars), 500)]
+    for text, got in zip(texts, alignment.byte_side(A).encode(texts)):
+        assert got == t.encode(" " + text, add_special_tokens=False).ids
